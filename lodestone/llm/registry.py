@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, url_filter
+from lodestone.llm import mixing, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op7_quality": quality.op7_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
