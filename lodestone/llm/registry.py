@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, quality, toxicity, url_filter
+from lodestone.llm import embedding_dedup, mixing, quality, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+        "op5_topk": topk.op5_topk,
         "op7_quality": quality.op7_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -15,4 +17,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.op2_sql(), "op9_mix_sources": mixing.mixing_sql()}
+    return {
+        "op2_url_filter": url_filter.op2_sql(),
+        "op4_embedding_dedup": embedding_dedup.op4_sql(),
+        "op5_topk": topk.op5_sql(),
+        "op9_mix_sources": mixing.mixing_sql(),
+    }
