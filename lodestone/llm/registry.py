@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, mixing, quality, topk, toxicity, url_filter
+from lodestone.llm import embedding_dedup, jaccard_join, mixing, quality, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_topk": topk.op5_topk,
         "op7_quality": quality.op7_quality,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_toxicity": toxicity.op10_toxicity,
     }
