@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, jaccard_join, mixing, quality, suffix_dedup, topk, toxicity, url_filter
+from lodestone.llm import bpe, embedding_dedup, jaccard_join, mixing, quality, suffix_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_bpe": bpe.op3_bpe,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_topk": topk.op5_topk,
         "op7_quality": quality.op7_quality,
