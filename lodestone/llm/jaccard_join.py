@@ -9,9 +9,9 @@ Candidates then pass
 * the suffix filter (shared prefix shingles plus the longer suffix must reach the overlap that ``t`` needs),
 
 and are verified once, on whole shingle sets.  As links only have to connect documents, each class is first verified
-against its most promising partners; other candidates are verified only while they lie in different components.  Groups
-of many classes under one shingle are compared with one hub after another, each time a number of pairs linear in the
-group, until the pairs between different components are few enough to be listed.
+against its most promising partners, among them one hub of the large groups that it is in; other candidates are verified
+only while they lie in different components.  Groups of many classes under one shingle are cut into blocks, and a task
+that compares two blocks passes on only pairs of different components that the filters leave.
 
 The order needs frequencies of frequent shingles only: blocks of the corpus count their repeated shingles exactly, the
 sums are ranked, and a table of at most ``MAX_FREQUENT`` is sent to the tasks.  Any order gives the same result.
@@ -40,8 +40,8 @@ MAX_FREQUENT = 1_000_000
 BLOCK_SHINGLES = 4_000_000
 #: Groups up to this size are listed pair by pair; larger ones are compared with hubs.
 SMALL_GROUP = 16
-#: Hub rounds over large groups before what is left is listed whatever its number.
-HUB_ROUNDS = 8
+#: Classes of a large group that are compared in one block.
+BLOCK = 1_024
 #: Text hashes of documents to verify are broadcast up to so many (8 bytes each).
 MAX_BROADCAST_TEXTS = 500_000
 _FACTORS = _bytes.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -162,23 +162,72 @@ def _positional_filter(n: Column, i: Column, m: Column, j: Column) -> Column:
     return F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= _overlap_needed(n, m)
 
 
-def _pairs(members: DataFrame, condition: Column | None = None) -> DataFrame:
+def _pairs(members: DataFrame) -> DataFrame:
     """Pairs of different classes under one shingle that pass the length and positional filters."""
     a, b = members.alias("a"), members.alias("b")
     on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node"))
     on &= _length_filter(F.col("a.n"), F.col("b.n")) & _positional_filter(F.col("a.n"), F.col("a.place"), F.col("b.n"), F.col("b.place"))
-    if condition is not None:
-        on &= condition
     return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
 
 
-def _star(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each group's hub, the member with the most shared prefix, and the pairs of the others with it."""
-    hubs = members.groupBy("shingle").agg(F.max(F.struct("weight", "node", "n", "place")).alias("hub"))
-    with_hub = members.join(hubs, "shingle").filter(F.col("node") != F.col("hub.node"))
-    fits = _length_filter(F.col("n"), F.col("hub.n")) & _positional_filter(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
-    pairs = with_hub.filter(fits).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    return pairs, with_hub.drop("hub")
+def _stars(members: DataFrame) -> DataFrame:
+    """Each class with the hub that it meets under most large groups; a group's hub shares most of its own prefix."""
+    hubs = members.groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    met = members.join(hubs, "shingle").filter((F.col("node") != F.col("hub.node")) & _length_filter(F.col("n"), F.col("hub.n")))
+    met = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("k"))
+    best = met.groupBy("node").agg(F.max(F.struct("k", "hub")).alias("best"))
+    return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b"))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of different components from pairs of blocks; rows come sorted by shingle and block.
+
+    A pair is passed on under the first large group that it shares.  ``large`` holds a class's shingles of large groups
+    and ``small`` the number of its prefix shingles in small ones, which bound what a pair shares in its prefixes.
+    """
+    num, den = SIMILARITY
+    keys = ["shingle", "i", "j"]
+    kept: pa.Table | None = None  # the pair of blocks that the last batch may not have ended
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {c: table[c].to_numpy() for c in (*keys, "own", "node", "root", "n", "small")}
+        new = np.ones(len(table), bool)
+        new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in keys], axis=0)
+        starts = np.append(np.flatnonzero(new), len(table))
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            root, n, small, own = (cols[c][lo:hi] for c in ("root", "n", "small", "own"))
+            if hi - lo < 2 or (root == root[0]).all():
+                continue
+            lists = table["large"].slice(lo, hi - lo).combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            values, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            held = np.zeros((hi - lo, len(values)), np.float32)
+            held[np.repeat(np.arange(hi - lo), sizes), at] = 1
+            shared = held @ held.T + np.minimum(small[:, None], small[None, :])
+            total = n[:, None] + n[None, :]
+            need = -(-num * total // (num + den))
+            suffix = -(-num * n // den) - 1
+            fits = (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])) & (root[:, None] != root[None, :])
+            fits &= shared + np.maximum(suffix[:, None], suffix[None, :]) >= need
+            if cols["i"][lo] != cols["j"][lo]:
+                fits &= own[:, None] != own[None, :]
+            a, b = np.nonzero(np.triu(fits, 1))
+            first = (held[a] * held[b]).argmax(1)
+            here = values[first] == cols["shingle"][lo]
+            node = cols["node"][lo:hi]
+            a, b = node[a[here]], node[b[here]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([kept, table]) if kept is not None else table
+        same = np.all([table[c].to_numpy() == table[c][-1].as_py() for c in keys], axis=0)
+        cut = int(np.argmax(same))
+        kept = table.slice(cut).combine_chunks()
+        if cut:
+            yield from of(table.slice(0, cut).combine_chunks())
+    if kept is not None and kept.num_rows:
+        yield from of(kept)
 
 
 class _Verifier:
@@ -305,40 +354,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = best.select(F.least("node", "best.partner").alias("a"), F.greatest("node", "best.partner").alias("b"))
 
     # Large groups: hubs are the classes whose prefixes are shared most.
-    weight = members.groupBy("node").agg((F.sum(F.log2("size")) / (F.max("n") + 4)).alias("weight"))
-    crowd = scratch.save(members.filter(large).join(weight, "node").select("shingle", "node", "n", "place", "weight"))
-    stars, rest = _star(crowd)
+    of_node = members.groupBy("node").agg(
+        (F.sum(F.log2("size")) / (F.max("n") + 4)).alias("weight"),
+        F.count_if(~large).alias("small"),
+        F.sort_array(F.collect_list(F.when(large, F.col("shingle")))).alias("large"),
+    )
+    crowd = members.filter(large).join(of_node.filter(F.size("large") > 0), "node")
+    crowd = scratch.save(crowd.select("shingle", "size", "node", "n", "weight", "small", "large"))
     check = _Verifier(scratch, docs, classes)
-    check.verify(best.unionByName(stars))
+    check.verify(best.unionByName(_stars(crowd)))
     roots = scratch.save(check.roots())
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            side_roots = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            pairs = pairs.join(side_roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        return pairs.filter("root_a <> root_b").select("a", "b")
-
-    pending = [apart(found.select("a", "b"))]
-    for turn in range(HUB_ROUNDS + 1):
-        rooted = scratch.save(_rooted(rest, roots))
-        parts = rooted.groupBy("shingle", "root").agg(F.count("*").alias("k"))
-        open_groups = parts.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("r"))
-        open_groups = scratch.save(open_groups.filter("r > 1"))
-        n, pairs = open_groups.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2, F.lit(0))).first()
-        if not n:
-            break
-        rest = rooted.join(open_groups.select("shingle"), "shingle").drop("root")
-        if pairs <= SMALL_GROUP * n or turn == HUB_ROUNDS:
-            rest = rooted.join(open_groups.select("shingle"), "shingle")
-            pending.append(_pairs(rest, F.col("a.root") != F.col("b.root")).select("a", "b"))
-            break
-        stars, rest = _star(scratch.save(rest))
-        check.verify(apart(stars))
-        roots = scratch.save(check.roots())
-    last = pending[0]
-    for more in pending[1:]:
-        last = last.unionByName(more)
-    check.verify(last)
+    pending = found.select("a", "b")
+    for side in "ab":
+        side_roots = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pending = pending.join(side_roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    pending = pending.filter("root_a <> root_b").select("a", "b")
+
+    rooted = scratch.save(_rooted(crowd, roots))
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+    blocks = rooted.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    blocks = blocks.select("shingle", "i", "j", "own", "node", "root", "n", "small", "large")
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks.repartition(partitions, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    check.verify(pending.unionByName(blocks.mapInArrow(_block_pairs, "a long, b long")))
     roots = check.roots()
 
     named = _rooted(classes.select("node", "doc_id"), roots)
