@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _bytes
-from lodestone.llm._scratch import Scratch
+from lodestone.llm._scratch import Scratch, broadcast_if_small
 
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE vocabularies; (?U) makes \s mean all white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -192,7 +192,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None)
                 )
 
     rows = scratch.save(words.mapInArrow(ranked, "text_hash long, place int, coded binary, word string"))
-    texts = rows.filter("coded IS NOT NULL").select("text_hash", F.col("place").alias("n"), "coded")
+    texts = rows.filter("coded IS NOT NULL").groupBy("text_hash").agg(F.first("place").alias("n"), F.first("coded").alias("coded"))
     rest = rows.filter("word IS NOT NULL").select("text_hash", "place", "word").join(table.select("word", "ids"), "word")
     rest = rest.groupBy("text_hash").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
 
@@ -259,17 +259,22 @@ def decode_ids(spark: SparkSession, ids: Column, path: str | None = None) -> Col
     return decoded(ids)
 
 
+#: Rows that are broadcast at most to get their ids; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with a column ``ids``, as the tokenizers library encodes each whole text without added special tokens.
+    """``docs`` without its text, with ``ids``, as the tokenizers library encodes each whole text without added
+    special tokens.
 
     Null texts count as empty and get an empty array.  Special tokens' strings in a text are special tokens.  Repeated
     rows stay; other columns stay, whatever their names, but one named ids is replaced.  An empty table gives an empty
     result.
     """
-    done = encode_texts(spark, docs, path).groupBy("text_hash").agg(F.first("ids").alias("ids"))
-    names = [c for c in docs.columns if c != "ids"]
+    names = [c for c in docs.columns if c not in ("ids", "text")]
     rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return rows.join(done, "text_hash").select("row.*", "ids")
+    rows = broadcast_if_small(Scratch(spark).save(rows), MAX_BROADCAST_ROWS)
+    return encode_texts(spark, docs, path).join(rows, "text_hash").select("row.*", "ids")
 
 
 def encode_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -282,8 +287,7 @@ def encode_digests(spark: SparkSession, docs: DataFrame, path: str | None = None
         sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha(decode_ids(spark, F.col("ids"), path)).alias("decoded_sha256"),
     )
-    # Tasks that met the same text made equal rows.
-    done = Scratch(spark).save(done.groupBy("text_hash").agg(*[F.min(c).alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]))
+    done = Scratch(spark).save(done)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     return rows.join(done, "text_hash").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 

@@ -291,14 +291,41 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+#: Kept documents that are broadcast at most when duplicates are dropped; more are joined by shuffle.
+MAX_BROADCAST_KEPT = 1_000_000
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns as they are.
+
+    Of rows with that id the one with the smallest text hash stays; of a component without ids, likewise.  Rows
+    without words have no duplicates, but equal rows of them are one.
+    """
+    keys = ["doc_id", "text_hash"]
+    found = jaccard_components(spark, docs.select("doc_id", "text"), ("text_hash", "node", "root"))
+    named = found.filter("root IS NOT NULL AND doc_id <=> component_id")
+    kept = named.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    kept = kept.unionByName(found.filter("root IS NULL").select(*keys).distinct())
+    kept = Scratch(spark).save(kept)
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    repeated = found.groupBy(*keys).count().filter("count > 1")
+    small = broadcast_if_small(kept, MAX_BROADCAST_KEPT).alias("k")
+    on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    rows = hashed.alias("d").join(small, on, "left_semi")
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(keys)
+    return rows.select(*docs.columns)
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text).
 
     A-Z is lower-cased and words are runs of non-space bytes; the set holds the distinct 5-word shingles, or the whole
     sequence where there are fewer words.  Rows link at Jaccard similarity 0.75 or more; ``component_id`` is the
     smallest doc_id reachable, the row's own included.  Null, empty and wordless texts have an empty set and no link.
     Repeated rows and ids stay as they are; null ids never name a component (a component of null ids has none).  Other
-    columns are ignored, whatever their names.  An empty table gives an empty result.
+    columns are ignored, whatever their names.  An empty table gives an empty result.  ``more`` adds columns:
+    ``text_hash``, ``node`` (the shingle set's name) and ``root`` (the component's).
     """
     scratch = Scratch(spark)
     order = spark.sparkContext.broadcast(RareFirst(*frequent_shingles(scratch, docs)))
@@ -385,11 +412,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     named = _rooted(classes.select("node", "doc_id"), roots)
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(named.select("node", "root").join(names, "root").select("node", "component_id"))
+    named = scratch.save(named.select("node", "root").join(names, "root").select("node", "root", "component_id"))
     scratch.drop(members, crowd, groups)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    rows = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), *more)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,7 @@ def mix_sources(
     share: tuple[int, int] = (3, 2),
     cap: int = 2,
     seed: int = 7,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of each document that the mix takes.
 
@@ -76,14 +77,14 @@ def mix_sources(
     rows and null ids included).  ``size`` counts words; a null or empty text has size 0 and takes nothing.
     A null source is a source of its own, last in order.  A source whose texts are all empty has target 0.
     ``copies`` is 0 to ``cap``; ``taken = copies * size``.  An empty table gives an empty result.  Columns
-    other than doc_id, text and source are ignored, whatever their names.
+    other than doc_id, text and source are ignored, whatever their names, but for those in ``keep``, which are carried along.
     """
     scratch = Scratch(spark)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sizes = docs.select("doc_id", "source", size.alias("size")).withColumn(
+    sizes = docs.select("doc_id", "source", *keep, size.alias("size")).withColumn(
         "skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     )
-    sizes = scratch.save(sizes.select("doc_id", "source", "skey", "size"))
+    sizes = scratch.save(sizes.select("doc_id", "source", "skey", "size", *keep))
     targets = scratch.save(source_targets(sizes, weights, share, cap))
     rows = sizes.join(broadcast_if_small(targets, MAX_BROADCAST_SOURCES), "skey")
     rows = rows.withColumn("h", _hash(F.col("doc_id").cast("string"), F.col("size").cast("string"))).withColumn(
@@ -102,10 +103,33 @@ def mix_sources(
     crossed = F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset)
     copies = F.least(crossed, F.lit(cap)).cast("long")
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep
     )
 
 
+#: Documents whose copies are broadcast at most when a mix is written out; more are joined by shuffle.
+MAX_BROADCAST_DOCUMENTS = 1_000_000
+
+
+def write_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: every row as often as its copies say, all columns as they are.
+
+    Rows with equal doc_id, source and text share their copies: one of them stands for all.
+    """
+    keys = ["doc_id", "source", "text_hash"]
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    taken = mix_sources(spark, hashed.select("doc_id", "source", "text", "text_hash"), keep=("text_hash",), **options)
+    taken = taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = Scratch(spark).save(taken)
+    if not taken.filter("rows > 1").isEmpty():
+        hashed = hashed.dropDuplicates(keys)
+    taken = broadcast_if_small(taken.filter("copies > 0"), MAX_BROADCAST_DOCUMENTS).alias("t")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    rows = hashed.alias("d").join(taken, same[0] & same[1] & same[2])
+    rows = rows.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy_"))
+    return rows.select(*docs.columns)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sources weighing 3, 1, 2 and sharing 150 % of all words, at most doubled."""
     return mix_sources(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, embedding_dedup, jaccard_join, mixing, quality, suffix_dedup, topk, toxicity, url_filter
+from lodestone.llm import bpe, embedding_dedup, jaccard_join, mixing, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_topk": topk.op5_topk,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op7_quality": quality.op7_quality,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_mix_sources": mixing.op9_mix_sources,
