@@ -1,0 +1 @@
+"""Lodestone: page-audit analytics and training-data operators on Spark."""
