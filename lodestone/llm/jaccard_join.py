@@ -307,14 +307,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = named.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
     kept = kept.unionByName(found.filter("root IS NULL").select(*keys).distinct())
     kept = Scratch(spark).save(kept)
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
     repeated = found.groupBy(*keys).count().filter("count > 1")
     small = broadcast_if_small(kept, MAX_BROADCAST_KEPT).alias("k")
     on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
     rows = hashed.alias("d").join(small, on, "left_semi")
     if not repeated.isEmpty():
         rows = rows.dropDuplicates(keys)
-    return rows.select(*docs.columns)
+    return rows.select("row.*")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -358,10 +358,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     classes = scratch.save(classes)
 
     prefixes = known.filter(F.size("prefix") > 0).select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
-    groups = prefixes.groupBy("shingle").agg(F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y"))
-    groups = scratch.save(groups.filter("x <> y").select("shingle", "size"))
-    members = prefixes.join(groups, "shingle").select("shingle", "size", "node", "n", "place").distinct()
-    members = scratch.save(members)
+    # Shingles met once join nothing; what repeats only as copies of one class goes after the second count.
+    repeated = scratch.save(prefixes.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle"))
+    met = scratch.save(prefixes.join(repeated, "shingle").select("shingle", "node", "n", "place").distinct())
+    groups = met.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
+    members = scratch.save(met.join(groups, "shingle").select("shingle", "size", "node", "n", "place"))
 
     # Small groups: all pairs under a shingle, a number linear in the rows.
     large = F.col("size") > SMALL_GROUP
@@ -386,8 +387,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
         F.count_if(~large).alias("small"),
         F.sort_array(F.collect_list(F.when(large, F.col("shingle")))).alias("large"),
     )
-    crowd = members.filter(large).join(of_node.filter(F.size("large") > 0), "node")
-    crowd = scratch.save(crowd.select("shingle", "size", "node", "n", "weight", "small", "large"))
+    of_node = scratch.save(of_node.filter(F.size("large") > 0))
+    crowd = scratch.save(members.filter(large).join(of_node.select("node", "weight"), "node").select("shingle", "size", "node", "n", "weight"))
     check = _Verifier(scratch, docs, classes)
     check.verify(best.unionByName(_stars(crowd)))
     roots = scratch.save(check.roots())
@@ -398,13 +399,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
         pending = pending.join(side_roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     pending = pending.filter("root_a <> root_b").select("a", "b")
 
-    rooted = scratch.save(_rooted(crowd, roots))
+    rooted = scratch.save(_rooted(crowd.drop("weight"), roots))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
     blocks = rooted.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    blocks = blocks.select("shingle", "i", "j", "own", "node", "root", "n", "small", "large")
+    blocks = blocks.join(of_node.drop("weight"), "node").select("shingle", "i", "j", "own", "node", "root", "n", "small", "large")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = blocks.repartition(partitions, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     check.verify(pending.unionByName(blocks.mapInArrow(_block_pairs, "a long, b long")))
@@ -413,7 +414,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     named = _rooted(classes.select("node", "doc_id"), roots)
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.save(named.select("node", "root").join(names, "root").select("node", "root", "component_id"))
-    scratch.drop(members, crowd, groups)
+    scratch.drop(met, members, crowd, repeated, of_node)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     rows = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), *more)
