@@ -195,12 +195,12 @@ def fit_toxicity(
             )
 
     table = texts.mapInArrow(design, "y int, at array<int>, value array<double>")
-    # A row count that neither follows partition order nor ties: sort by content before the sums.
-    table = table.orderBy("y", "at", "value").toArrow()
-    y = table["y"].to_numpy()
-    sizes = np.array([len(x) for x in table["at"].to_pylist()], np.int64)
-    cols = np.concatenate([np.asarray(x, np.int64) for x in table["at"].to_pylist()] or [np.zeros(0, np.int64)])
-    values = np.concatenate([np.asarray(x, float) for x in table["value"].to_pylist()] or [np.zeros(0)])
+    # The sums of the fit must not depend on the order in which partitions arrive.
+    found = sorted(zip(*(c.to_pylist() for c in table.toArrow().columns), strict=True))
+    y = np.array([f[0] for f in found])
+    sizes = np.array([len(f[1]) for f in found], np.int64)
+    cols = np.concatenate([np.asarray(f[1], np.int64) for f in found])
+    values = np.concatenate([np.asarray(f[2], float) for f in found])
     rows = np.repeat(np.arange(len(y)), sizes)
     swap = y[rows] == -1
     n_swaps = int((y == -1).sum())  # they come first
