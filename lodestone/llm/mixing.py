@@ -117,8 +117,8 @@ def write_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Rows with equal doc_id, source and text share their copies: one of them stands for all.
     """
     keys = ["doc_id", "source", "text_hash"]
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    taken = mix_sources(spark, hashed.select("doc_id", "source", "text", "text_hash"), keep=("text_hash",), **options)
+    hashed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    taken = mix_sources(spark, docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")), keep=("text_hash",), **options)
     taken = taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     taken = Scratch(spark).save(taken)
     if not taken.filter("rows > 1").isEmpty():
@@ -126,8 +126,8 @@ def write_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     taken = broadcast_if_small(taken.filter("copies > 0"), MAX_BROADCAST_DOCUMENTS).alias("t")
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     rows = hashed.alias("d").join(taken, same[0] & same[1] & same[2])
-    rows = rows.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy_"))
-    return rows.select(*docs.columns)
+    rows = rows.select("d.row", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy"))
+    return rows.select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

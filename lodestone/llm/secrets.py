@@ -209,7 +209,8 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, model: RandomForestClassi
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, model: RandomForestClassificationModel | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret in ``text`` replaced by ``mask``; other texts and all other columns as they are."""
-    hashed = docs.select("source", "text", F.xxhash64("text").alias("text_hash"))
+    path = [F.col("source")] if "source" in docs.columns else []
+    hashed = docs.select(*path, "text", F.xxhash64("text").alias("text_hash"))
     found = scan_secrets(spark, hashed, model).filter("is_secret").groupBy("text_hash").agg(F.collect_set("candidate").alias("secrets"))
     # Longest first, so that a secret inside another one leaves no rest.
     found = found.withColumn("secrets", F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a)))

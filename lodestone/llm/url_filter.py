@@ -88,11 +88,10 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     best = hits.groupBy("host", "path").agg(
         F.min(F.struct((-F.length(rule)).alias("rank"), rule.alias("rule"), "verdict")).alias("best")
     )
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    named = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
     return named.join(best, ["host", "path"], "left").select(
-        *[c for c in named.columns],
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        "row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
 
