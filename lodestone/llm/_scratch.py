@@ -7,6 +7,7 @@ does not name such a folder (tests on one machine) is a local one set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,8 +40,29 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """Like ``save``, in as many buckets of ``column`` as shuffles have partitions: joins on it don't move these rows.
+
+        The table's entry in the catalog is dropped at once; the returned reader keeps what it needs of it.
+        """
+        self.count += 1
+        name = f"lodestone_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.base}/{self.count}")
+        writer.bucketBy(buckets, column).saveAsTable(name)
+        self.release()
+        table = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return table
+
+    def release(self) -> None:
+        """Shuffle files go once the driver sees that nothing refers to them; a written step makes it look now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -131,19 +131,20 @@ class Head:
         return known[coded.indices.to_numpy()]
 
 
-def head_words(table: DataFrame) -> Head:
-    """The words whose counts reach a power of two, as small a one as HEAD_WORDS allows."""
-    short = table.filter(F.octet_length("word") <= HEAD_BYTES)
-    octaves = short.groupBy(F.floor(F.log2("n")).cast("int").alias("octave")).count().collect()  # at most 64 rows
+def head_condition(table: DataFrame) -> Column:
+    """Which words of the table are in the head: those whose counts reach a power of two, as small a one as HEAD_WORDS
+    allows, and of the next octave as many as fit, by hash.  Any choice gives the same ids."""
+    short = F.octet_length("word") <= HEAD_BYTES
+    octave_of = F.floor(F.log2("n")).cast("int")
+    octaves = table.filter(short).groupBy(octave_of.alias("octave")).count().collect()  # at most 64 rows
     least, total = 64, 0
     for octave, n in sorted(octaves, reverse=True):
         if total + n > HEAD_WORDS:
-            # As many of this octave as fit, by hash: any choice gives the same ids.
-            share = (HEAD_WORDS - total) / n * 0.98
-            edge = (F.floor(F.log2("n")) == octave) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
-            return Head(short.filter((F.floor(F.log2("n")) >= least) | edge).toArrow())
+            share = int((HEAD_WORDS - total) / n * 0.98 * (1 << 20))
+            edge = (octave_of == octave) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+            return short & ((octave_of >= least) | edge)
         least, total = octave, total + n
-    return Head(short.filter(F.floor(F.log2("n")) >= least).toArrow())
+    return short & (octave_of >= least)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -154,10 +155,11 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None)
     text = F.coalesce("text", F.lit(""))
     words = docs.select(F.xxhash64(text).alias("text_hash"), split_words(text, list(read.special)).alias("words"))
     table = word_table(scratch, words, vocabulary)
-    head = spark.sparkContext.broadcast(head_words(table))
+    in_head = head_condition(table)
+    head = spark.sparkContext.broadcast(Head(table.filter(in_head).toArrow()))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A text's row has its ranks; its other rows have the places and words that the head doesn't know."""
+        """A text's ranks, and the places and words that the head doesn't know."""
         import zstandard
 
         press, seen = zstandard.ZstdCompressor(level=3), set()
@@ -180,20 +182,22 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None)
                 holes = np.flatnonzero(ranks == _HOLE)
                 of = np.searchsorted(edges, holes, "right") - 1
                 holes, of = holes[new[of]], of[new[of]]
-                n, m = len(rows), len(holes)
+                rest = pa.StructArray.from_arrays([pa.array((holes - edges[of]).astype(np.int32)), values.take(pa.array(holes))], ["place", "word"])
+                ends_of = np.searchsorted(of, np.append(rows, part.num_rows)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate((names[rows], names[of]))),
-                        pa.array(np.concatenate((edges[rows + 1] - edges[rows], holes - edges[of])).astype(np.int32)),
-                        pa.array(coded + [None] * m, pa.binary()),
-                        pa.concat_arrays([pa.nulls(n, values.type), values.take(pa.array(holes))]),
+                        pa.array(names[rows]),
+                        pa.array((edges[rows + 1] - edges[rows]).astype(np.int32)),
+                        pa.array(coded, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends_of), rest),
                     ],
-                    ["text_hash", "place", "coded", "word"],
+                    ["text_hash", "n", "coded", "rest"],
                 )
 
-    rows = scratch.save(words.mapInArrow(ranked, "text_hash long, place int, coded binary, word string"))
-    texts = rows.filter("coded IS NOT NULL").groupBy("text_hash").agg(F.first("place").alias("n"), F.first("coded").alias("coded"))
-    rest = rows.filter("word IS NOT NULL").select("text_hash", "place", "word").join(table.select("word", "ids"), "word")
+    kind = "text_hash long, n int, coded binary, rest array<struct<place:int,word:string>>"
+    texts = words.mapInArrow(ranked, kind).groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("n", "coded", "rest")])
+    texts = scratch.save_bucketed(texts, "text_hash")
+    rest = texts.select("text_hash", F.inline("rest")).join(table.filter(~in_head).select("word", "ids"), "word")
     rest = rest.groupBy("text_hash").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([names, lists], ["text_hash", "ids"])
 
-    joined = texts.join(rest, "text_hash", "left").select("text_hash", "n", "coded", "rest")
+    joined = texts.drop("rest").join(rest, "text_hash", "left").select("text_hash", "n", "coded", "rest")
     return joined.mapInArrow(assembled, "text_hash long, ids array<int>")
 
 
