@@ -1,15 +1,15 @@
-"""Byte-level BPE encoding and decoding over a table of distinct words.
+"""Byte-level BPE encoding and decoding over distinct words.
 
-Texts are split into words in Spark, and the table of distinct words is encoded, each word once.  Ids come back to their
-places by two joins on the word: the most frequent words (``HEAD_WORDS`` at most, so a bounded table) are broadcast, and
-all others are shuffled as (text, position, word) rows, of which none can be frequent.  Between the two, a text travels
-as the compressed list of its words' ranks.  Decoding joins ids to their pieces; the vocabulary is bounded and broadcast.
-
-Each different text is encoded once and its result joined back to its rows, so copies of a text make no hot group.
+Texts are split into words in Spark and gathered in chunks of about ``CHUNK_WORDS``.  A chunk's texts become compressed
+lists of places in the chunk's own list of distinct words, written once to shared storage, bucketed by chunk.  The lists'
+words are shuffled by word, each distinct word is encoded once, and its ids are joined back by chunk and place: a word
+travels once for each chunk, however often it occurs, so no word is hot, and nothing is broadcast or collected that grows
+with the corpus.  Decoding joins ids to their pieces; the vocabulary is bounded and broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -18,19 +18,21 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm import _bytes
-from lodestone.llm._scratch import Scratch, broadcast_if_small
+from lodestone.llm._scratch import Scratch
 
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE vocabularies; (?U) makes \s mean all white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of the broadcast head at most, and their longest in bytes.
-HEAD_WORDS, HEAD_BYTES = 1 << 20, 48
-_HOLE = 0xFFFFFF
-#: Words that a task handles at once.
-SLICE_WORDS = 500_000
+#: Words after which a task begins another chunk; a longer text is in one chunk all the same.
+CHUNK_WORDS = 3_000_000
+#: Words of a chunk's list in one row; rows of the shuffle by word whose ids are packed by chunk together.
+LIST_WORDS, PACK_ROWS = 50_000, 200_000
+#: Texts whose ids are put together at once.
+SLICE_TEXTS = 500
 
 
 def default_tokenizer() -> str:
@@ -47,10 +49,11 @@ class Vocabulary:
             self.text = f.read()
         spec = json.loads(self.text)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.size = 1 + max([*spec["model"]["vocab"].values(), *self.special.values()])
+        self.pieces = spec["model"]["vocab"] | self.special
+        self.size = 1 + max(self.pieces.values())
 
     def __getstate__(self) -> dict:
-        return {"text": self.text, "special": self.special, "size": self.size}
+        return {"text": self.text, "size": self.size}
 
     @cached_property
     def tokenizer(self):
@@ -62,17 +65,24 @@ class Vocabulary:
         made.no_padding()
         return made
 
-    @cached_property
-    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def kind(self) -> type:
+        return np.uint16 if self.size <= 1 << 16 else np.int32
+
+    def piece_table(self) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' bytes in order of id, and their offsets."""
         # The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, others follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
         found = [b""] * self.size
-        for piece, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        for piece, k in self.pieces.items():
             found[k] = piece.encode() if piece in self.special else bytes(byte_of[c] for c in piece)
-        return np.frombuffer(b"".join(found), np.uint8), np.cumsum([0, *map(len, found)])
+        return _table(found)
+
+
+def _table(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(items), np.uint8), np.cumsum([0, *map(len, items)])
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,146 +106,184 @@ def split_words(text: Column, special: list[str]) -> Column:
     return F.when(has, F.flatten(pieces)).otherwise(words(text))
 
 
-def word_table(scratch: Scratch, words: DataFrame, vocabulary) -> DataFrame:
-    """``word, n, ids``: every distinct word of the column ``words``, its count, and its ids (4 bytes each)."""
+def _planes(values: np.ndarray) -> bytes:
+    """Integers by significance of their bytes, which compresses well."""
+    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = vocabulary.value.tokenizer
-        for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            ids = [np.array(e.ids, np.int32).tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return scratch.save(counts.mapInArrow(encoded, "word string, n long, ids binary"))
-
-
-class Head:
-    """The frequent words in order of rank, with their ids."""
-
-    def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        n = table["n"].to_numpy()
-        order = pc.sort_indices(table, [("n", "descending"), ("word", "ascending")]) if len(n) else pa.array([], pa.int64())
-        table = table.take(order).combine_chunks()
-        words = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-        self.words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        data, offsets = _bytes.flat(table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.binary()))
-        self.ids, self.offsets = np.frombuffer(data.tobytes(), np.int32), offsets // 4
-
-    def ranks(self, words: pa.Array) -> np.ndarray:
-        """Each word's rank, _HOLE where it isn't a head word."""
-        coded = words.dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=self.words)
-        known = known.fill_null(_HOLE).to_numpy(zero_copy_only=False).astype(np.uint32)
-        return known[coded.indices.to_numpy()]
-
-
-def head_condition(table: DataFrame) -> Column:
-    """Which words of the table are in the head: those whose counts reach a power of two, as small a one as HEAD_WORDS
-    allows, and of the next octave as many as fit, by hash.  Any choice gives the same ids."""
-    short = F.octet_length("word") <= HEAD_BYTES
-    octave_of = F.floor(F.log2("n")).cast("int")
-    octaves = table.filter(short).groupBy(octave_of.alias("octave")).count().collect()  # at most 64 rows
-    least, total = 64, 0
-    for octave, n in sorted(octaves, reverse=True):
-        if total + n > HEAD_WORDS:
-            share = int((HEAD_WORDS - total) / n * 0.98 * (1 << 20))
-            edge = (octave_of == octave) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
-            return short & ((octave_of >= least) | edge)
-        least, total = octave, total + n
-    return short & (octave_of >= least)
-
-
-def encode_texts(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``text_hash, ids``: the ids of every different text of ``docs.text`` (null: empty), in array<int>."""
-    scratch = Scratch(spark)
-    read = Vocabulary(path or default_tokenizer())
-    vocabulary = spark.sparkContext.broadcast(read)
-    text = F.coalesce("text", F.lit(""))
-    words = docs.select(F.xxhash64(text).alias("text_hash"), split_words(text, list(read.special)).alias("words"))
-    table = word_table(scratch, words, vocabulary)
-    in_head = head_condition(table)
-    head = spark.sparkContext.broadcast(Head(table.filter(in_head).toArrow()))
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A text's ranks, and the places and words that the head doesn't know."""
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _chunker(chunk_words: int):
+    """Cuts a task's texts into chunks."""
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts (row, n words, their places in the chunk's list) and of parts of that list (from place n on)."""
         import zstandard
 
-        press, seen = zstandard.ZstdCompressor(level=3), set()
+        press, chunk = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        total = 0
+
+        def rows_of(chunk: int) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            row, lists = (table[c].chunk(0) for c in ("row", "words"))
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            places = coded.indices.to_numpy(zero_copy_only=False)
+            texts = [press.compress(_planes(places[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            names, n = ["chunk", "row", "n", "coded", "words"], len(row)
+            none = pa.nulls(n, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), row, pa.array(np.diff(edges).astype(np.int32)), pa.array(texts, pa.binary()), none], names)
+            words = coded.dictionary
+            first = np.arange(0, len(words), LIST_WORDS, dtype=np.int32)
+            if len(first):
+                parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(words)).astype(np.int32)), words)
+                n = len(first)
+                none = pa.nulls(n, row.type), pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), none[0], pa.array(first), none[1], parts], names)
+
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            at = 0
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = done = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_WORDS, "right")) - 1)
-                part = batch.slice(at, to - at)
-                at = to
-                lists = part.column(1)
-                values, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                ranks = head.value.ranks(values)
-                names = part.column(0).to_numpy()
-                new = np.array([h not in seen and not seen.add(h) for h in names.tolist()])
-                planes = ranks.view(np.uint8).reshape(-1, 4)
-                rows = np.flatnonzero(new)
-                coded = [press.compress(planes[edges[k] : edges[k + 1], :3].T.tobytes()) for k in rows]
-                holes = np.flatnonzero(ranks == _HOLE)
-                of = np.searchsorted(edges, holes, "right") - 1
-                holes, of = holes[new[of]], of[new[of]]
-                rest = pa.StructArray.from_arrays([pa.array((holes - edges[of]).astype(np.int32)), values.take(pa.array(holes))], ["place", "word"])
-                ends_of = np.searchsorted(of, np.append(rows, part.num_rows)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[rows]),
-                        pa.array((edges[rows + 1] - edges[rows]).astype(np.int32)),
-                        pa.array(coded, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends_of), rest),
-                    ],
-                    ["text_hash", "n", "coded", "rest"],
-                )
-
-    kind = "text_hash long, n int, coded binary, rest array<struct<place:int,word:string>>"
-    texts = words.mapInArrow(ranked, kind).groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("n", "coded", "rest")])
-    texts = scratch.save_bucketed(texts, "text_hash")
-    rest = texts.select("text_hash", F.inline("rest")).join(table.filter(~in_head).select("word", "ids"), "word")
-    rest = rest.groupBy("text_hash").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
-
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+                to = max(at + 1, int(np.searchsorted(ends, done + chunk_words - total, "right")))
+                held.append(batch.slice(at, to - at))
+                total, at, done = total + int(ends[to - 1]) - done, to, int(ends[to - 1])
+                if total >= chunk_words or at < batch.num_rows:
+                    yield from rows_of(chunk)
+                    held, total, chunk = [], 0, chunk + 1
+        if held:
+            yield from rows_of(chunk)
+
+    return chunked
+
+
+def _encoder(vocabulary):
+    """Ids of words that come sorted, each distinct word encoded once; packed by chunk, places as differences."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, kind = vocabulary.value.tokenizer, vocabulary.value.kind
+        last, last_ids = None, np.zeros(0, kind)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            chunk, place, size = (np.concatenate([h[k] for h in held]) for k in range(3))
+            ids = np.concatenate([h[3] for h in held])
+            order = np.lexsort((place, chunk))
+            starts = (np.cumsum(size) - size)[order]
+            chunk, place, size = chunk[order], place[order], size[order]
+            cut = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            columns = [
+                pa.array(chunk[cut[:-1]]),
+                pa.array([_planes(np.diff(place[a:b], prepend=0)) for a, b in spans], pa.binary()),
+                pa.array([_planes(size[a:b]) for a, b in spans], pa.binary()),
+                pa.array([_gather(ids, starts[a:b], size[a:b]).tobytes() for a, b in spans], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "places", "sizes", "ids"])
 
-        unpress, table = zstandard.ZstdDecompressor(), head.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                names, counts, coded, rest = (part.column(k) for k in range(4))
-                found = []
-                for n, c, r in zip(counts.to_pylist(), coded, rest, strict=True):
-                    planes = np.frombuffer(unpress.decompress(c.as_buffer(), max_output_size=3 * n + 1) if n else b"", np.uint8).reshape(3, -1)
-                    ranks = planes[0] + (planes[1].astype(np.int64) << 8) + (planes[2].astype(np.int64) << 16)
-                    hole = ranks == _HOLE
-                    ranks[hole] = 0
-                    sizes = np.where(hole, 0, (table.offsets[ranks + 1] - table.offsets[ranks]) if len(table.offsets) > 1 else 0)
-                    if r.values is not None and len(r.values):
-                        places = r.values.field("place").to_numpy()
-                        data, edges = _bytes.flat(r.values.field("ids"))
-                        sizes[places] = np.diff(edges) // 4  # copies of a text repeat equal rows
-                        starts = np.cumsum(sizes) - sizes
-                        ids = np.zeros(int(sizes.sum()), np.int32)
-                        known = np.flatnonzero(~hole)
-                        spread = np.repeat(starts[known] - (np.cumsum(sizes[known]) - sizes[known]), sizes[known])
-                        ids[spread + np.arange(len(spread))] = _gather(table.ids, table.offsets[ranks[known]], sizes[known])
-                        own = np.diff(edges) // 4
-                        spread = np.repeat(starts[places] - (np.cumsum(own) - own), own)
-                        ids[spread + np.arange(len(spread))] = np.frombuffer(data.tobytes(), np.int32)
-                    else:
-                        ids = _gather(table.ids, table.offsets[ranks], sizes) if len(ranks) else np.zeros(0, np.int32)
-                    found.append(ids)
-                edges = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([names, lists], ["text_hash", "ids"])
-
-    joined = texts.drop("rest").join(rest, "text_hash", "left").select("text_hash", "n", "coded", "rest")
-    return joined.mapInArrow(assembled, "text_hash long, ids array<int>")
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = [last_ids] if words[0] == last else []
+            known += [np.array(e.ids, kind) for e in tokenizer.encode_batch(words[len(known) :], add_special_tokens=False)]
+            last, last_ids = words[-1], known[-1]
+            sizes = np.fromiter(map(len, known), np.int64, len(known))
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            ids = _gather(np.concatenate(known), (np.cumsum(sizes) - sizes)[at], sizes[at])
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), sizes[at], ids))
+            if sum(len(h[0]) for h in held) >= PACK_ROWS:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    return encoded
+
+
+def _assembler(vocabulary: Vocabulary, finish):
+    """Puts a chunk's texts together; ``finish`` makes result columns of a slice's ids and the edges of its texts."""
+    kind = vocabulary.kind
+
+    def assembled(texts: pa.Table, packs: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        joined = lambda c, get, none: np.concatenate([get(v) for v in packs[c].to_pylist()] or [np.zeros(0, none)])
+        place = joined("places", lambda v: np.cumsum(_unplanes(v)), np.int64)
+        size = joined("sizes", _unplanes, np.int32).astype(np.int64)
+        ids = joined("ids", lambda v: np.frombuffer(v, kind), kind)
+        order = np.argsort(place)
+        starts, size = (np.cumsum(size) - size)[order], size[order]
+        found = []
+        for at in range(0, texts.num_rows, SLICE_TEXTS):
+            part = texts.slice(at, SLICE_TEXTS)
+            n = part["n"].to_numpy()
+            places = np.concatenate([_unplanes(unpress.decompress(c, max_output_size=4 * k + 1)) for c, k in zip(part["coded"].to_pylist(), n.tolist(), strict=True)])
+            ends = np.concatenate(([0], np.cumsum(size[places])))
+            flat = _gather(ids, starts[places], size[places])
+            found.append([part["row"], *finish(flat, ends[np.concatenate(([0], np.cumsum(n)))])])
+        columns = [pa.chunked_array([c for x in column for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]) for column in zip(*found, strict=True)]
+        return pa.table(columns, names=["row", *finish.names])
+
+    return assembled
+
+
+def encode_rows(spark: SparkSession, docs: DataFrame, path: str | None, names: list[str], finish, kinds: str, chunk_words: int) -> DataFrame:
+    """The columns ``names`` of every row of ``docs`` with what ``finish`` makes of its ids (of types ``kinds``)."""
+    vocabulary = Vocabulary(path or default_tokenizer())
+    shared = spark.sparkContext.broadcast(vocabulary)
+    words = split_words(F.coalesce("text", F.lit("")), list(vocabulary.special)).alias("words")
+    rows = docs.select(F.struct(*([F.col(f"`{c}`") for c in names] or [F.lit(0).alias("none")])).alias("row"), words)
+    chunks = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
+    chunks = chunks.add("n", T.IntegerType()).add("coded", T.BinaryType()).add("words", T.ArrayType(T.StringType()))
+    chunks = Scratch(spark).save_bucketed(rows.mapInArrow(_chunker(chunk_words), chunks), "chunk")
+    listed = chunks.filter("words IS NOT NULL").select("chunk", "n", F.posexplode("words").alias("k", "word"))
+    listed = listed.select("word", "chunk", (F.col("n") + F.col("k")).alias("place"))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = listed.repartition(partitions, "word").sortWithinPartitions("word")
+    packs = listed.mapInArrow(_encoder(shared), "chunk long, places binary, sizes binary, ids binary")
+    texts = chunks.filter("coded IS NOT NULL").select("chunk", "row", "n", "coded")
+    both = texts.groupBy("chunk").cogroup(packs.groupBy("chunk"))
+    result = T.StructType([texts.schema["row"], *T._parse_datatype_string(kinds).fields])
+    done = both.applyInArrow(_assembler(vocabulary, finish), result)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *finish.names)
+
+
+class _Ids:
+    names = ("ids",)
+
+    def __call__(self, flat: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))]
+
+
+class _Digests:
+    """Number of ids, SHA-256 of the decimal ids joined by commas, and SHA-256 of the decoded text."""
+
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.pieces = vocabulary.piece_table()
+        self.decimals = _table([b"%d," % k for k in range(vocabulary.size)])
+
+    def __call__(self, flat: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        listed = [sha(raw[:-1]) for raw in _joined(self.decimals, flat, edges)]
+        decoded = [sha(raw.decode("utf-8", "replace").encode()) for raw in _joined(self.pieces, flat, edges)]
+        return [pa.array(np.diff(edges)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+
+
+def _joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each text, its ids' entries of the table one after another."""
+    data, offsets = table
+    size = np.diff(offsets)[ids]
+    raw = _gather(data, offsets[ids], size).tobytes()
+    ends = np.concatenate(([0], np.cumsum(size)))[edges].tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def decode_ids(spark: SparkSession, ids: Column, path: str | None = None) -> Column:
@@ -243,31 +291,22 @@ def decode_ids(spark: SparkSession, ids: Column, path: str | None = None) -> Col
 
     Each id is looked up in the broadcast table of pieces.  Null arrays give null; ids outside the vocabulary fail.
     """
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(path or default_tokenizer()))
+    pieces = spark.sparkContext.broadcast(Vocabulary(path or default_tokenizer()).piece_table())
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        data, offsets = vocabulary.value.pieces
-        size, out = np.diff(offsets), []
-        for at in range(0, len(column), 500):
-            part = column.slice(at, 500)
-            k = part.flatten().to_numpy()
-            flat = _gather(data, offsets[k], size[k])
+        out = []
+        for at in range(0, len(column), SLICE_TEXTS):
+            part = column.slice(at, SLICE_TEXTS)
             counts = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(size[k])))[np.concatenate(([0], np.cumsum(counts)))]
-            raw = flat.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            out += [t if ok else None for t, ok in zip(texts, part.is_valid().to_pylist(), strict=True)]
+            texts = _joined(pieces.value, part.flatten().to_numpy(), np.concatenate(([0], np.cumsum(counts))))
+            out += [t.decode("utf-8", "replace") if ok else None for t, ok in zip(texts, part.is_valid().to_pylist(), strict=True)]
         return pa.array(out, pa.string())
 
     return decoded(ids)
 
 
-#: Rows that are broadcast at most to get their ids; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``docs`` without its text, with ``ids``, as the tokenizers library encodes each whole text without added
     special tokens.
 
@@ -276,24 +315,16 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
     result.
     """
     names = [c for c in docs.columns if c not in ("ids", "text")]
-    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = broadcast_if_small(Scratch(spark).save(rows), MAX_BROADCAST_ROWS)
-    return encode_texts(spark, docs, path).join(rows, "text_hash").select("row.*", "ids")
-
-
-def encode_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row: digests of the ids and of their decoded text."""
-    done = encode_texts(spark, docs, path)
-    sha = lambda c: F.sha2(c, 256)
-    done = done.select(
-        "text_hash",
-        F.size("ids").cast("long").alias("n_tokens"),
-        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        sha(decode_ids(spark, F.col("ids"), path)).alias("decoded_sha256"),
-    )
-    done = Scratch(spark).save(done)
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return rows.join(done, "text_hash").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_rows(spark, docs, path, names, _Ids(), "ids array<int>", chunk_words)
+
+
+def encode_digests(
+    spark: SparkSession, docs: DataFrame, path: str | None = None, names: tuple[str, ...] = ("doc_id",), chunk_words: int = CHUNK_WORDS
+) -> DataFrame:
+    """The columns ``names`` and ``n_tokens, ids_sha256, decoded_sha256`` for every row: digests of the ids and of their
+    decoded text."""
+    digests = _Digests(Vocabulary(path or default_tokenizer()))
+    return encode_rows(spark, docs, path, list(names), digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", chunk_words)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,18 +76,17 @@ def test_hash_compared_sort_agrees_with_bytes():
             assert common[k] == n
 
 
-@pytest.mark.parametrize("head", [1 << 20, 200])
-def test_bpe_agrees_with_the_library(spark, docs, table, head, monkeypatch):
+@pytest.mark.parametrize("chunk_words", [bpe.CHUNK_WORDS, 200])
+def test_bpe_agrees_with_the_library(spark, docs, table, chunk_words):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "HEAD_WORDS", head)
     library = Tokenizer.from_file(bpe.default_tokenizer())
     want = []
     for i, t in zip(table.doc_id, table.text):
         ids = library.encode(t or "", add_special_tokens=False).ids
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((None if pd.isna(i) else int(i), len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
-    assert counted(bpe.encode_digests(spark, docs).collect()) == counted(want)
+    assert counted(bpe.encode_digests(spark, docs, chunk_words=chunk_words).collect()) == counted(want)
 
 
 def test_bpe_round_trip_keeps_other_columns(spark, docs):
