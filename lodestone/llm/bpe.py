@@ -28,7 +28,7 @@ from lodestone.llm._scratch import Scratch
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE vocabularies; (?U) makes \s mean all white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words after which a task begins another chunk; a longer text is in one chunk all the same.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 8_000_000
 #: Words of a chunk's list in one row; rows of the shuffle by word whose ids are packed by chunk together.
 LIST_WORDS, PACK_ROWS = 50_000, 200_000
 #: Texts whose ids are put together at once.
