@@ -154,6 +154,7 @@ def _chunker(chunk_words: int):
                 if total >= chunk_words or at < batch.num_rows:
                     yield from rows_of(chunk)
                     held, total, chunk = [], 0, chunk + 1
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from rows_of(chunk)
 
@@ -262,11 +263,10 @@ class _Ids:
 
 
 class _Digests:
-    """Number of ids, SHA-256 of the decimal ids joined by commas, and SHA-256 of the decoded text."""
+    """Number of ids, SHA-256 of the decimal ids joined by commas, and SHA-256 of the decoded text; the ids, if asked for."""
 
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, with_ids: bool):
+        self.names = ("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
         self.pieces = vocabulary.piece_table()
         self.decimals = _table([b"%d," % k for k in range(vocabulary.size)])
 
@@ -274,7 +274,8 @@ class _Digests:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         listed = [sha(raw[:-1]) for raw in _joined(self.decimals, flat, edges)]
         decoded = [sha(raw.decode("utf-8", "replace").encode()) for raw in _joined(self.pieces, flat, edges)]
-        return [pa.array(np.diff(edges)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+        ids = _Ids()(flat, edges) if "ids" in self.names else []
+        return [pa.array(np.diff(edges)), pa.array(listed, pa.string()), pa.array(decoded, pa.string()), *ids]
 
 
 def _joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
@@ -319,12 +320,18 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
 
 
 def encode_digests(
-    spark: SparkSession, docs: DataFrame, path: str | None = None, names: tuple[str, ...] = ("doc_id",), chunk_words: int = CHUNK_WORDS
+    spark: SparkSession,
+    docs: DataFrame,
+    path: str | None = None,
+    names: tuple[str, ...] = ("doc_id",),
+    with_ids: bool = False,
+    chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """The columns ``names`` and ``n_tokens, ids_sha256, decoded_sha256`` for every row: digests of the ids and of their
-    decoded text."""
-    digests = _Digests(Vocabulary(path or default_tokenizer()))
-    return encode_rows(spark, docs, path, list(names), digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", chunk_words)
+    decoded text; ``ids`` too, if asked for."""
+    digests = _Digests(Vocabulary(path or default_tokenizer()), with_ids)
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return encode_rows(spark, docs, path, list(names), digests, kinds, chunk_words)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
