@@ -36,9 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's doc_id, lang, source, token ids, their number, and a digest of their decoded text."""
-    rows = bpe.encode(spark, docs.select("doc_id", "lang", "source", "text"))
-    decoded = F.sha2(bpe.decode_ids(spark, F.col("ids")), 256)
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
+    done = bpe.encode_digests(spark, docs, names=("doc_id", "lang", "source"), with_ids=True)
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
