@@ -255,9 +255,9 @@ def lexical_support(spark, folder):
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as guidance rows: the name is the text's first 40 characters."""
+    """Documents as guidance rows: the name is the whole text."""
     return read(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("block"), F.substring(F.lower("text"), 1, 40).alias("name"), F.col("source").alias("source_org"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("block"), F.col("text").alias("name"), F.col("source").alias("source_org"),
         F.when(F.col("doc_id") % 3 == 0, "https://x.example/a/b").alias("source_url"), F.when(F.col("doc_id") % 2 == 0, "extracted").alias("provenance"),
         F.format_string("2026-%02d-01", F.col("doc_id") % 12 + 1).alias("last_verified"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"),
         F.when(F.col("doc_id") % 7 == 0, "retired").otherwise("active").alias("status"), F.lit(None).cast("string").alias("superseded_by"),

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import itertools
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import clusters, retrieval, store, visibility
+from lodestone.plans import queries
 
 
 def test_delta(spark):
@@ -88,6 +93,32 @@ def test_clusters(spark):
     assert {(r.id, r.root) for r in roots.collect()} == {(k, 0) for k in range(31)} | {(50, 50), (51, 50)}
 
 
+def test_pairs_see_whole_texts_and_null_blocks(spark, tmp_path):
+    """Against brute force: copies that begin differently pair, texts that share only an opening don't, nor do blocks."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    opening = "permission is hereby granted free of charge to any person obtaining a copy "
+    texts = [("en", opening + " ".join(rng.sample(words, 60))) for _ in range(6)]
+    for lang in ("en", "de", None, None):
+        base = rng.sample(words, 60)
+        texts += [(lang, "other beginning here " + " ".join(base)), (lang, " ".join(base[4:] + rng.sample(words, 5))), (lang, " ".join(base[:30]))]
+        texts += [(lang, " ".join(base)), (lang, " ".join(reversed(base)).upper())]
+    rows = [(k, text, lang, "org") for k, (lang, text) in enumerate([*texts, ("en", None), (None, "")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    bags = {k: (lang, frozenset(re.findall("[a-z0-9]+", text.lower())) - set(retrieval.STOP)) for k, (lang, text) in enumerate(texts)}
+    least, want = {}, set()
+    for k, bag in bags.items():
+        first = least.setdefault(bag, k)
+        if first < k:
+            want.add((bag[0], first, k, 1.0))
+    for (p, x), (q, y) in itertools.combinations(least, 2):
+        if p == q and len(x & y) / len(x | y) >= clusters.JACCARD:
+            want.add((p, *sorted((least[p, x], least[q, y])), round(len(x & y) / len(x | y), 6)))
+    got = [(r.block, r.a, r.b, r.jaccard) for r in queries.QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(p is None for p, *_ in want) and not any(a < 6 and b < 6 for _, a, b, _ in want)
+
+
 def test_visibility(spark):
     row = spark.range(1).select(
         visibility.cites_domain(F.array(F.lit("https://blog.x.example/a"), F.lit("https://y.example")), F.lit("x.example")).alias("cited"),
