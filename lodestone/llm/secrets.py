@@ -17,12 +17,20 @@ from lodestone.llm._scratch import Scratch
 
 #: A name, an assignment and a value; or a run of token characters.
 NAMES = r"(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|auth|private)[_-]?key)s?"
-ASSIGNED = rf"(?i:{NAMES}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"']{{6,}})"
-RUN = r"[A-Za-z0-9_+/=.\-]{16,}+"
+_TOKEN = r"[A-Za-z0-9_+/=.\-]"
+#: The name may be the end of a longer one (DB_PASSWORD) and have more parts (ACCESS_KEY_ID).  Only where a run begins, so the search stays linear.
+KEY = rf"(?<!{_TOKEN}){_TOKEN}*?{NAMES}(?:[_.\-][A-Za-z0-9_.\-]*)?[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
+ASSIGNED = rf"(?i:{KEY}[^\s\"']{{6,}})"
+RUN = rf"{_TOKEN}{{16,}}+"
 CANDIDATE = f"{ASSIGNED}|{RUN}"
+#: A run that is itself an assignment, of a value long enough to be a run.
+_RUN_KEY = r"[A-Za-z_][A-Za-z0-9_.\-]*={1,2}"
+_VALUE = rf"^(?:(?i:{KEY})([^\s\"']{{6,}})|{_RUN_KEY}([A-Za-z0-9_+/.\-]{{16,}}=*))$"
 _MARK = "\u0001"
 #: Characters of text before and after a candidate that count as its neighbourhood.
 NEAR = 48
+#: Parts of a split text that hold its neighbourhood at least: a candidate has ten characters or more.
+_NEAR_PARTS = 2 * (NEAR // 10 + 1) + 1
 THRESHOLD = 0.5
 #: Findings that a forest is fitted on at most.
 MAX_FIT_ROWS = 50_000
@@ -90,17 +98,18 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.drop("nth", "candidate", "before", "after", "parts").withColumn("parts", parts).drop(text)
     rows = rows.filter(F.size("parts") > 1)
     p = F.col("parts")
+    near = lambda first, n, end: F.array_join(F.transform(F.slice(p, first, n), lambda x: end(x, F.lit(NEAR))), "")
     hits = F.transform(
         F.sequence(F.lit(1), F.floor(F.size(p) / 2).cast("int")),
         lambda k: F.struct(
             F.element_at(p, 2 * k).alias("hit"),
-            F.right(F.element_at(p, 2 * k - 1), F.lit(NEAR)).alias("left"),
-            F.left(F.element_at(p, 2 * k + 1), F.lit(NEAR)).alias("after"),
+            F.right(near(F.greatest(2 * k - _NEAR_PARTS, F.lit(1)), F.least(2 * k - 1, F.lit(_NEAR_PARTS)), F.right), F.lit(NEAR)).alias("left"),
+            F.left(near(2 * k + 1, F.lit(_NEAR_PARTS), F.left), F.lit(NEAR)).alias("after"),
         ),
     )
     rows = rows.select(*[c for c in rows.columns if c != "parts"], F.posexplode(hits).alias("nth", "found"))
     hit = F.col("found.hit")
-    value = F.regexp_extract(hit, rf"^{ASSIGNED[:4]}{NAMES}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?)(\S+)$", 1)
+    value = F.concat(F.regexp_extract(hit, _VALUE, 1), F.regexp_extract(hit, _VALUE, 2))
     candidate = F.when(value == "", hit).otherwise(F.regexp_replace(value, r"[^A-Za-z0-9_+/=]+$", ""))
     key = F.when(value == "", F.lit("")).otherwise(F.left(hit, F.length(hit) - F.length(value)))
     rows = rows.select(
