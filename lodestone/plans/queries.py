@@ -271,7 +271,7 @@ def jaccard_pairs(spark, folder):
 
 
 def elected(spark: SparkSession, folder: str) -> DataFrame:
-    rows = corpus(spark, folder)
+    rows = retrieval.trusted(corpus(spark, folder))
     roots = clusters.components(clusters.candidate_pairs(rows))
     return clusters.elect(rows.join(roots, "id"))
 

@@ -119,6 +119,24 @@ def test_pairs_see_whole_texts_and_null_blocks(spark, tmp_path):
     assert any(p is None for p, *_ in want) and not any(a < 6 and b < 6 for _, a, b, _ in want)
 
 
+def test_plan_faults(spark):
+    corpus = spark.createDataFrame([(1, "active", None), (2, "active", ""), (3, "Retired", None), (4, None, "1"), (5, "active", None), (6, "active", None)], "id long, status string, superseded_by string")
+    plan = [(1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False), (1, 5, False), (6, 6, True), (6, 5, False), (6, 1, False), (6, 9, False)]
+    faults = clusters.plan_faults(spark.createDataFrame(plan, "root long, id long, canonical boolean"), corpus).collect()
+    want = [("demoted and canonical", 1), ("demoted twice", 5), ("not citeable", 3), ("not citeable", 4), ("not in corpus", 9)]
+    assert sorted((r.fault, r.id) for r in faults) == want
+
+
+def test_retired_rows_are_not_elected(spark, tmp_path):
+    """Of equal texts 7 is retired and would win by its date; it neither wins nor is demoted."""
+    rows = [(k, "the very same words in every one of them", "en", "Google" if k == 7 else "org") for k in (7, 8, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.canonical for r in queries.QUERIES["canonical_election"](spark, str(tmp_path)).collect()}
+    assert set(got) == {8, 9} and sum(got.values()) == 1
+    assert {r.status: r.n for r in queries.QUERIES["demoted_corpus"](spark, str(tmp_path)).collect()} == {"active": 1, "superseded": 1, "retired": 1}
+    assert queries.QUERIES["demotion_plan_faults"](spark, str(tmp_path)).count() == 0
+
+
 def test_visibility(spark):
     row = spark.range(1).select(
         visibility.cites_domain(F.array(F.lit("https://blog.x.example/a"), F.lit("https://y.example")), F.lit("x.example")).alias("cited"),
