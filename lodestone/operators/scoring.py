@@ -6,7 +6,7 @@ na count as na.  Points are summed as integers (pass 2, warn 1), so no score dep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.rounding import clamp, py_round
@@ -253,3 +253,30 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(F.col("was").isNull()).alias("n_new"),
         F.count_if(F.col("now").isNull()).alias("n_gone"),
     )
+
+
+def median_of_others(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``median_<value>`` and ``hosts``: the median and number of all other rows whose value is positive.
+
+    Leaving one row out moves the middle by one place at most, so the few values around it serve all rows.  They are
+    found in the table of distinct values with their counts.
+    """
+    counts = rows.filter(F.col(value) > 0).groupBy(value).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    places = sorted({k for k in range((total - 2) // 2, total // 2 + 2) if 0 <= k < total})
+    near = F.lit(False)
+    for k in places:
+        near = near | ((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
+    held = upto.filter(near)
+    spans = [(r["upto"] - r["n"], r["upto"], r[value]) for r in held.collect()]
+    at = {k: v for k in places for first, end, v in spans if first <= k < end}
+
+    def middle(size: int, pick) -> Column:
+        return (pick((size - 1) // 2) + pick(size // 2)) / F.lit(2.0) if size > 0 else F.lit(None).cast("double")
+
+    # Without the row itself, what stands at a place is the next value unless the row is larger.
+    others = middle(total - 1, lambda k: F.when(F.col(value) > at[k], F.lit(at[k])).otherwise(F.lit(at[k + 1])))
+    counted = F.coalesce(F.col(value) > 0, F.lit(False))
+    rows = rows.withColumn(f"median_{value}", F.when(counted, others).otherwise(middle(total, lambda k: F.lit(at[k]))))
+    return rows.withColumn("hosts", F.lit(total).cast("long") - counted.cast("long"))

@@ -154,7 +154,7 @@ def check_summary(spark, folder):
 @query
 def anchor_text_generic(spark, folder):
     rows = read(spark, folder, "pages").select(F.explode(H.anchor_texts(F.col("html"))).alias("anchor"))
-    return rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 5")
+    return rows.filter(F.col("anchor").isin(H.GENERIC_ANCHORS)).groupBy("anchor").agg(F.count("*").alias("n"))
 
 
 @query
@@ -171,9 +171,9 @@ def near_equal_pages(spark, folder):
 
 @query
 def host_median_depth(spark, folder):
-    """Each host's deepest page beside the median of all other hosts' deepest."""
-    rows = features(spark, folder).groupBy("host").agg(F.max("words").alias("words"))
-    return rows.groupBy(F.substring("host", 1, 1).alias("letter")).agg(F.median("words").alias("median_words"), F.count("*").alias("hosts"))
+    """Each host's deepest page beside the median of all other hosts' deepest; hosts without words are no others."""
+    rows = features(spark, folder).filter("host <> ''").groupBy("host").agg(F.max("words").alias("words"))
+    return scoring.median_of_others(rows, "words").select("host", "words", "median_words", "hosts")
 
 
 @query
@@ -415,9 +415,9 @@ def url_union(spark, folder):
 
 @query
 def upserted_audits(spark, folder):
-    old = read(spark, folder, "pages").filter("page_id % 2 = 0").select("page_id", H.host_of(F.col("url")).alias("domain"), F.lit("old").alias("mode"))
-    new = read(spark, folder, "pages").filter("page_id % 3 = 0").select("page_id", H.host_of(F.col("url")).alias("domain"), F.lit("new").alias("mode"))
-    return store.upsert(old, new, "page_id", "domain").groupBy("mode").agg(F.count("*").alias("n"))
+    pages = read(spark, folder, "pages").select("page_id", H.host_of(F.col("url")).alias("domain"))
+    new = pages.withColumn("mode", F.when(F.col("page_id") % 3 == 0, "new").otherwise("old"))
+    return store.upsert(pages.withColumn("mode", F.lit("old")), new, "page_id", "domain").groupBy("mode").agg(F.count("*").alias("n"))
 
 
 @query

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.rounding import clamp, loose_number, py_round
 from lodestone.operators import scoring
+from lodestone.plans import queries
 
 SCHEMA = "audit_id string, ord int, check_id string, section string, status string, severity string, observed_method string"
 MIXED = [
@@ -101,3 +105,20 @@ def test_compare_runs(spark):
     b = rows(spark, [("A1", "A", "fail", None), ("A3", "A", "fail", None)])
     got = {r.check_id: (r.n_same, r.n_flipped, r.n_new, r.n_gone) for r in scoring.compare_runs(a, b).collect()}
     assert got == {"A1": (0, 1, 0, 0), "A2": (0, 0, 0, 1), "A3": (0, 0, 1, 0)}
+
+
+@pytest.mark.parametrize("words", [[5], [0, 0], [5, 9], [0, 4, 4, 4, 7], [1, 2, 3, 4], [9, 1, 5, 5, 2, 8, 0], list(range(40, 1, -3))])
+def test_host_median_depth(spark, tmp_path, words):
+    pages = [(k, f"https://h{k}.example/", "<p>" + "w " * n + "</p>") for k, n in enumerate(words)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.host: (r.words, r.median_words, r.hosts) for r in queries.QUERIES["host_median_depth"](spark, str(tmp_path)).collect()}
+    others = [[w for j, w in enumerate(words) if j != k and w > 0] for k in range(len(words))]
+    assert got == {f"h{k}.example": (w, statistics.median(others[k]) if others[k] else None, len(others[k])) for k, w in enumerate(words)}
+
+
+def test_generic_anchors_and_upserts_see_all_pages(spark, tmp_path):
+    html = "<a href='/a'>Click <b>here</b></a><a href='/b'>Prices of 2026</a><a href='/c'>more</a>"
+    pages = [(k, f"https://h{k}.example/", html if k == 1 else "<a href='/'>more</a><a href='/'>Home</a>") for k in range(1, 8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.anchor: r.n for r in queries.QUERIES["anchor_text_generic"](spark, str(tmp_path)).collect()} == {"click here": 1, "more": 7}
+    assert {r["mode"]: r.n for r in queries.QUERIES["upserted_audits"](spark, str(tmp_path)).collect()} == {"old": 5, "new": 2}
