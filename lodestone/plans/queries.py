@@ -7,8 +7,8 @@ link checks and calls, documents for the guidance corpus, ``benchmark`` for retr
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -436,28 +436,29 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-def _drained(rows: DataFrame, mode: str, name: str) -> DataFrame:
-    """What a stream has written once its source is used up."""
-    base = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    at = f"{base.rstrip('/')}/streams/{name}" if base else str(Path(tempfile.mkdtemp()) / name)
-    import uuid
-
-    run = f"{name}_{uuid.uuid4().hex}"
-    done = rows.writeStream.format("memory").queryName(run).outputMode(mode).option("checkpointLocation", f"{at}/{run}").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return rows.sparkSession.table(run)
+def _drained(rows: DataFrame, name: str) -> DataFrame:
+    """What a stream has written once its source is used up: each batch's whole result replaces the last one's files."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    at = f"{base.rstrip('/')}/streams/{name}/{uuid.uuid4().hex}"
+    # A source without files makes no batch.
+    spark.createDataFrame([], rows.schema).write.parquet(f"{at}/out")
+    started = rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out"))
+    started = started.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
 
 
 @query
 def stream_tumbling(spark, folder):
-    return _drained(jobs.tumbling_counts(_stream(spark, folder)), "complete", "tumbling")
+    return _drained(jobs.tumbling_counts(_stream(spark, folder)), "tumbling")
 
 
 @query
 def stream_monthly_usage(spark, folder):
-    return _drained(jobs.monthly_usage(_stream(spark, folder)), "complete", "usage")
+    return _drained(jobs.monthly_usage(_stream(spark, folder)), "usage")
 
 
 @query
 def stream_sessions(spark, folder):
-    return _drained(jobs.sessions(_stream(spark, folder)), "complete", "sessions")
+    return _drained(jobs.sessions(_stream(spark, folder)), "sessions")

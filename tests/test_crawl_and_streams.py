@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import crawl
+from lodestone.plans import queries
 from lodestone.sources import tables
 from lodestone.streaming import jobs
 
@@ -98,6 +99,19 @@ def test_repeats_within_the_watermark(spark, tmp_path):
     assert len(_drain(spark, jobs.first_events(stream, ["event_id"]), "append", tmp_path, "once")) == 2
 
 
+def test_drained_streams_are_files(spark, tmp_path):
+    """The whole result is written by the tasks and read from files, not held in the driver."""
+    at = dt.datetime(2026, 1, 30)
+    rows = [(k, at + dt.timedelta(minutes=k * m), k % 3, "ab"[k % 2], 1.5) for m in (7, 200) for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    next((tmp_path / "in").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    for name, batch in (("tumbling", jobs.tumbling_counts), ("monthly_usage", jobs.monthly_usage), ("sessions", jobs.sessions)):
+        got = queries.QUERIES[f"stream_{name}"](spark, str(tmp_path))
+        want = batch(queries.read(spark, str(tmp_path), "events"))
+        assert got.inputFiles() and got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"id": "1", "title": "a"}, {"title": "b"}, {"id": "1", "title": "c"}]')
     got = tables.read_snapshot(spark, str(tmp_path / "s.json"), "id string, title string").collect()
