@@ -154,15 +154,17 @@ def plausible(claimed: Column, source: Column) -> Column:
     return (F.size(a) == 0) | (both >= 2) | (both >= 0.34 * F.size(a))
 
 
-def bind_rules(findings: DataFrame, bindings: DataFrame, corpus: DataFrame) -> DataFrame:
+def bind_rules(findings: DataFrame, bindings: DataFrame, corpus: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
     """Each measured finding's first binding whose status fits and whose row is trusted and faithful to its source.
 
     ``bindings``: base, ord, kind, id, statuses.  ``corpus``: kind, id, source_excerpt, provenance_status and the trust columns.
+    Bindings are broadcast after they were counted, and joined by shuffle beyond ``broadcast_rows``.
     """
     from lodestone.operators.scoring import base_of
 
     faithful = trusted(corpus).filter((F.col("provenance_status") == "verified") & (F.coalesce(F.trim("source_excerpt"), F.lit("")) != ""))
-    rows = findings.withColumn("base", base_of(F.col("check_id"))).join(F.broadcast(bindings.limit(10_000)), "base")
+    small = bindings.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = findings.withColumn("base", base_of(F.col("check_id"))).join(F.broadcast(bindings) if small else bindings, "base")
     rows = rows.filter(F.array_contains("statuses", F.col("status"))).join(faithful.select("kind", "id"), ["kind", "id"])
     first = rows.groupBy("audit_id", "check_id").agg(F.min(F.struct(F.col("bind_ord"), "kind", "id")).alias("b"))
     return first.select("audit_id", "check_id", F.col("b.kind").alias("kind"), F.col("b.id").alias("id"))

@@ -81,6 +81,15 @@ def test_bindings(spark):
     assert {r.id: r.reason for r in retrieval.binding_reasons(claims, corpus, pool).collect()} == {"1": "unsupported", "9": "missing"}
 
 
+def test_all_bindings_count(spark):
+    """The first of 12,000 bindings by order is the last row; broadcast or not, it is found."""
+    findings = spark.createDataFrame([("a", "D1_x", "fail")], "audit_id string, check_id string, status string")
+    bindings = spark.range(12_000).selectExpr("'D1' AS base", "cast(12000 - id AS int) AS bind_ord", "'rule' AS kind", "cast(id AS string) AS id", "array('fail') AS statuses")
+    corpus = spark.range(12_000).selectExpr("'rule' AS kind", "cast(id AS string) AS id", "'active' AS status", "cast(NULL AS string) AS superseded_by", "'x' AS source_excerpt", "'verified' AS provenance_status")
+    for bound in ({}, {"broadcast_rows": 20_000}):
+        assert [r.id for r in retrieval.bind_rules(findings, bindings, corpus, **bound).collect()] == ["11999"]
+
+
 def test_clusters(spark):
     names = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta gamma epsilon", "other thing", "", None]
     rows = spark.createDataFrame([(k, "b", n) for k, n in enumerate(names)], "id long, block string, name string")
