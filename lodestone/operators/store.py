@@ -123,12 +123,20 @@ def link_verdict(code: Column, error: Column) -> Column:
     )
 
 
-def running_jobs(jobs: DataFrame) -> DataFrame:
+def running_jobs(jobs: DataFrame, bucket_s: int = 3_600) -> DataFrame:
     """How many jobs (job_id, profile, started, ended) of its profile ran when each started, itself included.
 
-    An interval overlap counted as a running sum over starts and ends, without a join.
+    An interval overlap counted as a running sum over starts and ends, without a join of jobs.  Time is cut into buckets
+    of ``bucket_s`` seconds; the sum runs inside each from the level at its start, which comes from the buckets' totals.
     """
     edges = jobs.select("job_id", "profile", F.col("started").alias("at"), F.lit(1).alias("step"))
     edges = edges.unionByName(jobs.filter("ended IS NOT NULL").select("job_id", "profile", F.col("ended").alias("at"), F.lit(-1).alias("step")))
-    w = Window.partitionBy("profile").orderBy("at", "step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    return edges.withColumn("running", F.sum("step").over(w)).filter("step = 1").select("job_id", "profile", "running")
+    edges = edges.withColumn("bucket", F.floor(F.col("at").cast("double") / bucket_s))
+    totals = edges.groupBy("profile", "bucket").agg(F.sum("step").alias("steps"))
+    w = Window.partitionBy("profile").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    levels = totals.withColumn("level", F.coalesce(F.sum("steps").over(w), F.lit(0)))
+    x, y = edges.alias("x"), levels.alias("y")
+    same = F.col("x.profile").eqNullSafe(F.col("y.profile")) & F.col("x.bucket").eqNullSafe(F.col("y.bucket"))
+    w = Window.partitionBy("profile", "bucket").orderBy("at", "step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = x.join(y, same).select("x.*", "y.level").withColumn("running", F.col("level") + F.sum("step").over(w))
+    return rows.filter("step = 1").select("job_id", "profile", "running")

@@ -45,6 +45,22 @@ def test_running_jobs(spark):
     assert {r.job_id: r.running for r in store.running_jobs(jobs).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def test_running_jobs_of_one_profile_spread(spark):
+    """Against brute force across buckets, a null profile and equal moments included; one profile takes many tasks."""
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["full", None]), t := rng.randrange(40) * 900, rng.choice([t + 900, t + 20_000, None])) for k in range(120)]
+    jobs = spark.createDataFrame(rows, "job_id long, profile string, started long, ended long")
+    edges = sorted([(t, 1, k, p) for k, p, t, _ in rows] + [(e, -1, k, p) for k, p, _, e in rows if e is not None])
+    want = {k: sum(s for t2, s, j, q in edges if q == p and (t2, s, j) <= (t, 1, k)) for t, step, k, p in edges if step == 1}
+    assert {r.job_id: r.running for r in store.running_jobs(jobs).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = store.running_jobs(jobs.withColumn("profile", F.lit("full")))
+        assert one.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_tiers_and_trust(spark):
     names = ["developers of x", "Google", "www.moz.com", "unknown.example", None]
     rows = spark.createDataFrame([(n,) for n in names], "o string").select(retrieval.tier_of(F.col("o")).alias("t"), retrieval.tier_of(F.col("o"), True).alias("l")).collect()
