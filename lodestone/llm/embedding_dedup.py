@@ -5,8 +5,11 @@ the ``B * B`` directions of a rotation come from ``2 * B`` code words, and a vec
 threshold is decoded from two sorted lists without looking at the others.  Vectors are joined on shared filters, and
 every candidate pair is verified once, in double precision, under the smallest filter that both lists hold.
 
-Recall: a pair at cosine exactly 0.95 shares a filter with probability above 0.999 under the defaults (measured by the
-tests), closer pairs practically always.  The number of directions grows with the table, so lists stay short and the
+Recall: of random pairs at cosine exactly 0.95 in 64 dimensions, with the four rotations of the defaults, all shared a
+filter: 4,000 each with 256 and 512 (the check tables), 1,024 and 2,048 code words, 2,000 with 4,096, and
+600 with 32,768 (74 million rows, 30 GB).  Two rotations found 0.998, 0.996, 0.993, 0.985 and 0.952 with 256, 1,024, 2,048,
+4,096 and 32,768, as the chance falls slowly while code words grow.  Closer pairs are found more often.
+The number of directions grows with the table, so lists stay short and the
 rows under a filter few.  Filters with many members are cut into blocks of ``BLOCK`` and compared block by block; no
 pair leaves a task, only link counts and a spanning star of each block's links do.
 """
@@ -81,7 +84,7 @@ def near_vectors(
     threshold: float = THRESHOLD,
     expected: float = 8.0,
     least: int = 8,
-    rotations: int = 2,
+    rotations: int = 4,
     seed: int = 11,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row for each row of ``vectors`` (vec_id, embedding).

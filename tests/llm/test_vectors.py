@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,18 @@ def test_recall_at_the_threshold():
     codes = [embedding_dedup.CapCodes(64, 256, r, 8.0, 8, 11) for r in range(2)]
     a, b = ([np.concatenate(f) for f in zip(*(c.decode(z) for c in codes))] for z in (x, y))
     assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.99
+
+
+@pytest.mark.parametrize("code_words", [512, 2048])
+def test_recall_of_the_defaults_on_larger_tables(code_words):
+    """Unit vectors exactly at 0.95 share a filter however many code words a larger table has."""
+    rotations = inspect.signature(embedding_dedup.near_vectors).parameters["rotations"].default
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    codes = [embedding_dedup.CapCodes(64, code_words, r, 8.0, 8, 11) for r in range(rotations)]
+    a, b = ([np.concatenate(f) for f in zip(*(c.decode(z) for c in codes))] for z in (x, y))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.999
