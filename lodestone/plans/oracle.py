@@ -167,18 +167,22 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance D
 
 
 CORPUS = """corpus AS (
-  SELECT doc_id AS id, lang AS block, substr(lower(text), 1, 40) AS name, source AS source_org, CASE WHEN doc_id % 3 = 0 THEN 'https://x.example/a/b' END AS source_url,
+  SELECT doc_id AS id, lang AS block, coalesce(lower(text), '') AS name, source AS source_org, CASE WHEN doc_id % 3 = 0 THEN 'https://x.example/a/b' END AS source_url,
     CASE WHEN doc_id % 2 = 0 THEN 'extracted' END AS provenance, printf('2026-%02d-01', CAST(doc_id % 12 + 1 AS INT)) AS last_verified, (doc_id % 10) / 10.0::DOUBLE AS confidence,
     CASE WHEN doc_id % 7 = 0 THEN 'retired' ELSE 'active' END AS status FROM documents)"""
-PAIRS = CORPUS + f""",
-bags AS (SELECT id, block, {NAME_TOKENS.format("name")} AS bag FROM corpus),
+def pairs(rows: str) -> str:
+    return CORPUS + f""",
+bags AS (SELECT id, block, {NAME_TOKENS.format("name")} AS bag FROM corpus{rows}),
 sets AS (SELECT block, bag, min(id) AS id FROM bags WHERE len(bag) > 0 GROUP BY block, bag),
 spread AS (SELECT id, block, unnest(bag) AS token, len(bag) AS n FROM sets),
-shared AS (SELECT x.block, x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM spread x JOIN spread y ON x.block = y.block AND x.token = y.token AND x.id < y.id GROUP BY ALL),
+shared AS (SELECT x.block, x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM spread x JOIN spread y ON x.block IS NOT DISTINCT FROM y.block AND x.token = y.token AND x.id < y.id GROUP BY ALL),
 pairs AS (
   SELECT block, a, b, round(k / CAST(n + m - k AS DOUBLE), 6) AS jaccard FROM shared WHERE k / CAST(n + m - k AS DOUBLE) >= 0.6
-  UNION ALL SELECT g.block, s.id AS a, g.id AS b, 1.0::DOUBLE AS jaccard FROM bags g JOIN sets s ON g.block = s.block AND g.bag = s.bag AND s.id < g.id)"""
-ROOTS = "RECURSIVE " + PAIRS + """,
+  UNION ALL SELECT g.block, s.id AS a, g.id AS b, 1.0::DOUBLE AS jaccard FROM bags g JOIN sets s ON g.block IS NOT DISTINCT FROM s.block AND g.bag = s.bag AND s.id < g.id)"""
+
+
+def roots(rows: str) -> str:
+    return "RECURSIVE " + pairs(rows) + """,
 linked AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(id, seen) AS (SELECT a, a FROM linked UNION SELECT r.id, e.b FROM reach r JOIN linked e ON r.seen = e.a),
 roots AS (SELECT id, min(seen) AS root FROM reach GROUP BY id)"""
@@ -190,7 +194,7 @@ def tier(org: str, live: bool) -> str:
     return f"CASE {rows} " + (f"WHEN regexp_matches(trim({org}), '^[a-z0-9-]+(\\.[a-z0-9-]+)+$') THEN 4 " if live else "") + "ELSE 5 END"
 
 
-ELECTED = ROOTS + f""",
+ELECTED = roots(" WHERE status = 'active'") + f""",
 elected AS (
   SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY {tier('source_org', False)}, source_url IS NULL, provenance IS NULL, last_verified DESC, -confidence, id) AS nth
   FROM corpus JOIN roots USING (id))"""
@@ -227,10 +231,11 @@ SELECT audit_id, prior_id, count(*) FILTER (WHERE change = 'resolved') AS n_reso
     "top_issues": f"WITH {FINDINGS} SELECT page_id AS audit_id, row_number() OVER (PARTITION BY page_id ORDER BY status = 'warn', CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, ord) AS rank, check_id, status, severity FROM findings WHERE status IN ('fail', 'warn') QUALIFY rank <= 5",
     "severity_histogram": f"WITH {FINDINGS} SELECT page_id AS audit_id, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'medium') AS n_medium, count(*) FILTER (WHERE severity = 'low') AS n_low FROM findings WHERE status IN ('fail', 'warn') GROUP BY page_id",
     "check_summary": f"WITH {FINDINGS} SELECT check_id, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in ("pass", "warn", "fail", "na")) + f", CASE WHEN {IS_MEASURED} THEN 'measured' ELSE 'llm-judged' END AS tier FROM findings GROUP BY check_id",
-    "anchor_text_generic": f"WITH {FEATURES}, spread AS (SELECT unnest(anchors) AS anchor FROM feats) SELECT anchor, count(*) AS n FROM spread GROUP BY anchor HAVING count(*) >= 5",
+    "anchor_text_generic": f"WITH {FEATURES}, spread AS (SELECT unnest(anchors) AS anchor FROM feats) SELECT anchor, count(*) AS n FROM spread WHERE anchor IN ({GENERIC}) GROUP BY anchor",
     "same_title_groups": f"WITH {FEATURES} SELECT title, count(*) AS n, min(page_id) AS first_page FROM feats WHERE title <> '' GROUP BY title HAVING count(*) > 1",
     "near_equal_pages": rf"""WITH keyed AS (SELECT page_id, md5({squeeze("regexp_replace(regexp_replace(html, '(?i)(nonce|csrf[-_a-z]*)=[" + '"' + r"''][^" + '"' + r"'']*[" + '"' + r"'']', '', 'g'), '[0-9]{6,}', '', 'g')")}) AS key FROM pages) SELECT key, count(*) AS n, min(page_id) AS first_page FROM keyed GROUP BY key""",
-    "host_median_depth": f"WITH {FEATURES}, deep AS (SELECT host, max(words) AS words FROM feats GROUP BY host) SELECT substr(host, 1, 1) AS letter, CAST(median(words) AS DOUBLE) AS median_words, count(*) AS hosts FROM deep GROUP BY letter",
+    "host_median_depth": f"""WITH {FEATURES}, deep AS (SELECT host, max(words) AS words FROM feats WHERE host <> '' GROUP BY host)
+SELECT a.host, any_value(a.words) AS words, CAST(median(b.words) AS DOUBLE) AS median_words, count(b.host) AS hosts FROM deep a LEFT JOIN deep b ON a.host <> b.host AND b.words > 0 GROUP BY a.host""",
     "cross_variant_divergence": f"""WITH {FEATURES}, placed AS (SELECT page_id, host, words, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth, first_value(words) OVER (PARTITION BY host ORDER BY page_id) AS words_0 FROM feats)
 SELECT host, 'v' || page_id AS ua, abs(words - words_0) > 50 AND abs(words - words_0) > 0.2 * greatest(words, words_0) AS cloaked, page_id % 9 = 0 AS blocked, false AS diverged FROM placed WHERE nth > 1""",
     "rendering_classes": f"WITH {FEATURES} SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'bot_blocked' WHEN page_id % 17 = 0 THEN 'fetch_failed' WHEN page_id % 19 = 0 THEN 'unresolved_redirect' WHEN page_id % 23 = 0 THEN 'spa_no_ssr' WHEN words < 200 THEN 'minimal_content' WHEN words < 500 THEN 'partial_ssr' ELSE 'fully_accessible' END AS class FROM feats",
@@ -244,8 +249,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY -floor(releva
     "deprecation_guard": "SELECT lang, count(*) AS n FROM documents WHERE NOT ((regexp_matches(text, '(?i)disgusting|pathetic') AND NOT regexp_matches(text, '(?i)worthless')) OR (regexp_matches(text, '(?i)mit license') AND NOT regexp_matches(text, '(?i)no longer'))) GROUP BY lang",
     "lexical_support": f"""WITH {bm25(3)}, sides AS (SELECT query_id, h.doc_id, list_distinct({TOKENS.format('b.text')}) AS x, list_distinct({TOKENS.format('d.text')}) AS y FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.doc_id)
 SELECT query_id, doc_id, len(list_intersect(x, y)) >= 3 AND len(list_intersect(x, y)) >= 0.2 * least(len(x), len(y)) AS supported FROM sides""",
-    "jaccard_pairs": f"WITH {PAIRS} SELECT block, a, b, jaccard FROM pairs",
-    "dup_clusters": f"WITH {ROOTS} SELECT id, root FROM roots",
+    "jaccard_pairs": f"WITH {pairs("")} SELECT block, a, b, jaccard FROM pairs",
+    "dup_clusters": f"WITH {roots("")} SELECT id, root FROM roots",
     "canonical_election": f"WITH {ELECTED} SELECT root, nth, id, nth = 1 AS canonical FROM elected",
     "demotion_plan_faults": f"WITH {ELECTED} SELECT 'demoted twice' AS fault, id FROM elected WHERE nth > 1 GROUP BY id HAVING count(*) > 1",
     "demoted_corpus": f"WITH {ELECTED}, marked AS (SELECT CASE WHEN e.nth > 1 AND c.status = 'active' THEN 'superseded' ELSE c.status END AS status FROM corpus c LEFT JOIN elected e USING (id)) SELECT status, count(*) AS n FROM marked GROUP BY status",
@@ -267,7 +272,7 @@ running AS (SELECT *, sum(step) OVER (PARTITION BY profile ORDER BY moment, step
     "org_segments": f"WITH {CORPUS} SELECT source_org, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, 30 AS stale_days FROM corpus GROUP BY source_org",
     "paged_browse": f"WITH {CORPUS} SELECT id, block, confidence FROM corpus WHERE status = 'active' ORDER BY confidence DESC NULLS LAST, id LIMIT 25 OFFSET 25",
     "url_union": rf"WITH plain AS (SELECT regexp_replace(url, '#.*$', '') AS u, url FROM pages) SELECT {URL_KEY} AS url FROM plain UNION SELECT 'https://' || regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#:]*)', 1), '^www\.', '') FROM plain",
-    "upserted_audits": "SELECT CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS mode, count(*) AS n FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 GROUP BY mode",
+    "upserted_audits": "SELECT CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS mode, count(*) AS n FROM pages GROUP BY mode",
     "stream_tumbling": "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_monthly_usage": "SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS calls FROM events GROUP BY ALL",
 }
