@@ -10,8 +10,11 @@ Candidates then pass
 
 and are verified once, on whole shingle sets.  As links only have to connect documents, each class is first verified
 against its most promising partners, among them one hub of the large groups that it is in; other candidates are verified
-only while they lie in different components.  Groups of many classes under one shingle are cut into blocks, and a task
-that compares two blocks passes on only pairs of different components that the filters leave.
+only while they lie in different components.  Groups of many classes under one shingle are cut into blocks, those of the
+group's largest component apart from the others, which meet each other but not themselves; a task that compares two
+blocks passes on only pairs of different components that the filters leave.  Joins on a shingle, class or component
+deal out keys that hold many rows (``spread_join``).  A class goes by 64 bits of a 128-bit digest of its set, and by the
+other 64 where two sets share the first.
 
 The order needs frequencies of frequent shingles only: blocks of the corpus count their repeated shingles exactly, the
 sums are ranked, and a table of at most ``MAX_FREQUENT`` is sent to the tasks.  Any order gives the same result.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import _bytes
 from lodestone.llm._graph import connected_components
-from lodestone.llm._scratch import Scratch, broadcast_if_small
+from lodestone.llm._scratch import Scratch, broadcast_if_small, checked, exact_name, spread_join
 
 WORDS = 5
 #: The similarity from which two documents link, as a fraction.
@@ -41,7 +44,7 @@ BLOCK_SHINGLES = 4_000_000
 #: Groups up to this size are listed pair by pair; larger ones are compared with hubs.
 SMALL_GROUP = 16
 #: Classes of a large group that are compared in one block.
-BLOCK = 1_024
+BLOCK = 512
 #: Text hashes of documents to verify are broadcast up to so many (8 bytes each).
 MAX_BROADCAST_TEXTS = 500_000
 _FACTORS = _bytes.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -72,9 +75,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return out
 
 
-def _node(shingles: np.ndarray) -> int:
-    """64-bit name of a shingle set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a shingle set."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
 
 
 def _prefix_length(n):
@@ -84,7 +88,7 @@ def _prefix_length(n):
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several different sets of a block hold, with their number."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     block: list[np.ndarray] = []
 
     def counted() -> pa.RecordBatch:
@@ -93,7 +97,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, data, offsets in _bytes.chunks(batches):
         for s in shingle_sets(data, offsets):
-            if len(s) and (name := _node(s)) not in seen:
+            if len(s) and (name := _digest(s)) not in seen:
                 seen.add(name)
                 block.append(s)
         if sum(map(len, block)) >= BLOCK_SHINGLES:
@@ -170,10 +174,10 @@ def _pairs(members: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each class with the hub that it meets under most large groups; a group's hub shares most of its own prefix."""
     hubs = members.groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    met = members.join(hubs, "shingle").filter((F.col("node") != F.col("hub.node")) & _length_filter(F.col("n"), F.col("hub.n")))
+    met = spread_join(members, hubs, "shingle", sizes=sizes, by=("node",)).filter((F.col("node") != F.col("hub.node")) & _length_filter(F.col("n"), F.col("hub.n")))
     met = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("k"))
     best = met.groupBy("node").agg(F.max(F.struct("k", "hub")).alias("best"))
     return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b"))
@@ -231,10 +235,13 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Verifier:
-    """Verifies candidate pairs once each on whole shingle sets, and keeps what is linked."""
+    """Verifies candidate pairs once each on whole shingle sets, and keeps what is linked.
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame):
-        self.scratch, self.docs, self.classes = scratch, docs, classes
+    A class's set is read from one row that has it, of the text and id that ``classes`` names.
+    """
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, name: Column):
+        self.scratch, self.docs, self.classes, self.name = scratch, docs, classes, name
         self.tested: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
@@ -244,22 +251,28 @@ class _Verifier:
         pairs = self.scratch.save(pairs.select("a", "b").distinct())
         self.tested.append(pairs)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.scratch.save(nodes.join(self.classes, "node").select("text_hash").distinct())
-        small = broadcast_if_small(wanted, MAX_BROADCAST_TEXTS)
-        texts = self.docs.select("text", F.xxhash64("text").alias("text_hash")).join(small, "text_hash", "left_semi")
+        wanted = self.scratch.save(nodes.join(self.classes, "node").select("at.text_hash", F.col("at.doc_id").alias("only")))
+        texts = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        if wanted.count() <= MAX_BROADCAST_TEXTS:
+            texts = texts.join(F.broadcast(wanted), "text_hash")
+        else:
+            texts = spread_join(texts, wanted, "text_hash")
+        texts = texts.filter(F.col("doc_id").eqNullSafe(F.col("only")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            seen: set[tuple[int, int]] = set()
             for _, data, offsets in _bytes.chunks(batches):
                 found = {}
                 for s in shingle_sets(data, offsets):
-                    if len(s) and (name := _node(s)) not in seen:
+                    if len(s) and (name := _digest(s)) not in seen:
                         seen.add(name)
                         # The upper 48 bits: within a pair, n * m / 2**48 is the chance of one false match.
                         found[name] = (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "s"])
+                names = [pa.array([name[k] for name in found], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(list(found.values()), pa.binary())], ["node", "check", "s"])
 
-        held = texts.select("text").mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
+        held = texts.select("text").mapInArrow(sets, "node long, check long, s binary").withColumn("node", self.name)
+        held = held.groupBy("node").agg(F.first("s").alias("s"))
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             num, den = SIMILARITY
@@ -275,8 +288,11 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         held = self.scratch.save(held)
-        with_sets = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        with_sets = with_sets.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+        with_sets = pairs
+        for side in "ab":
+            sizes = pairs.groupBy(side).agg(F.count("*").alias("n_"))
+            with_sets = spread_join(with_sets, held.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side, sizes=sizes, by=("a", "b"))
+        with_sets = with_sets.select("a", "b", "sa", "sb")
         self.links.append(self.scratch.save(with_sets.mapInArrow(linked, "a long, b long")))
         self.scratch.drop(held, wanted)
 
@@ -332,11 +348,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for part, data, offsets in _bytes.chunks(batches):
             names, sizes, prefixes = [], [], []
             for s in shingle_sets(data, offsets):
-                name = _node(s) if len(s) else None
+                name = _digest(s) if len(s) else None
                 new = name is not None and name not in seen
                 names.append(name), sizes.append(len(s))
                 prefixes.append(order.value.prefix(s).view(np.int64) if new else None)
@@ -345,24 +361,37 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
             at = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes], dtype=np.int32)
             values = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+            halves = [pa.array([name and name[k] for name in names], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), lists],
-                ["doc_id", "text_hash", "node", "n", "prefix"],
+                [part.column(0), part.column(2), *halves, pa.array(sizes, pa.int64()), lists],
+                ["doc_id", "text_hash", "node", "check", "n", "prefix"],
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = rows.mapInArrow(described, f"doc_id {kind}, text_hash long, node long, n long, prefix array<long>")
-    rows = scratch.save(rows)
+    rows = rows.mapInArrow(described, f"doc_id {kind}, text_hash long, node long, check long, n long, prefix array<long>")
+    saved = scratch.save(rows)
+
+    def classes_of(name: Column) -> DataFrame:
+        named = saved.withColumn("node", name).filter("node IS NOT NULL").groupBy("node")
+        return scratch.save(named.agg(F.min(F.struct("text_hash", "doc_id")).alias("at"), F.min("doc_id").alias("doc_id"), *checked()))
+
+    name = F.col("node")
+    classes = classes_of(name)
+    if not classes.filter("check_x <> check_y").isEmpty():
+        name = exact_name(classes, "node")
+        classes = classes_of(name)
+    rows = saved.withColumn("node", name)
     known = rows.filter("node IS NOT NULL")
-    classes = known.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("doc_id"))
-    classes = scratch.save(classes)
 
     prefixes = known.filter(F.size("prefix") > 0).select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
     # Shingles met once join nothing; what repeats only as copies of one class goes after the second count.
-    repeated = scratch.save(prefixes.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle"))
-    met = scratch.save(prefixes.join(repeated, "shingle").select("shingle", "node", "n", "place").distinct())
-    groups = met.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
-    members = scratch.save(met.join(groups, "shingle").select("shingle", "size", "node", "n", "place"))
+    repeated = scratch.save(prefixes.groupBy("shingle").agg(F.count("*").alias("n_")).filter("n_ > 1"))
+    met = spread_join(prefixes, repeated.select("shingle"), "shingle", sizes=repeated, by=("node",))
+    met = scratch.save(met.select("shingle", "node", "n", "place").distinct())
+    groups = scratch.save(met.groupBy("shingle").agg(F.count("*").alias("n_")).filter("n_ > 1"))
+    members = spread_join(met, groups.withColumnRenamed("n_", "size"), "shingle", sizes=groups, by=("node",))
+    members = scratch.save(members.select("shingle", "size", "node", "n", "place"))
+    scratch.drop(met)
 
     # Small groups: all pairs under a shingle, a number linear in the rows.
     large = F.col("size") > SMALL_GROUP
@@ -389,8 +418,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     )
     of_node = scratch.save(of_node.filter(F.size("large") > 0))
     crowd = scratch.save(members.filter(large).join(of_node.select("node", "weight"), "node").select("shingle", "size", "node", "n", "weight"))
-    check = _Verifier(scratch, docs, classes)
-    check.verify(best.unionByName(_stars(crowd)))
+    crowds = groups.filter(F.col("n_") > SMALL_GROUP)
+    check = _Verifier(scratch, docs, classes, name)
+    check.verify(best.unionByName(_stars(crowd, crowds)))
     roots = scratch.save(check.roots())
 
     pending = found.select("a", "b")
@@ -400,10 +430,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     pending = pending.filter("root_a <> root_b").select("a", "b")
 
     rooted = scratch.save(_rooted(crowd.drop("weight"), roots))
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
-    blocks = rooted.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Members of a group's largest component don't meet each other, so their blocks are paired with the others' alone.
+    mixed = rooted.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle")
+    mixed = mixed.agg(F.max_by("root", "k").alias("first"), F.max("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1")
+    blocks = spread_join(rooted, mixed.select("shingle", "first", "k"), "shingle", sizes=crowds, by=("node",))
+    first = F.col("root") == F.col("first")
+    blocks = blocks.withColumns({"p": F.ceil(F.col("k") / BLOCK).cast("int"), "q": F.ceil((F.col("size") - F.col("k")) / BLOCK).cast("int")})
+    own = F.when(first, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q")))
+    other = F.sequence(F.when(first, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)
+    blocks = blocks.withColumn("own", own.cast("int")).withColumn("other", F.explode(other))
     blocks = blocks.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     blocks = blocks.join(of_node.drop("weight"), "node").select("shingle", "i", "j", "own", "node", "root", "n", "small", "large")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -411,12 +446,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
     check.verify(pending.unionByName(blocks.mapInArrow(_block_pairs, "a long, b long")))
     roots = check.roots()
 
-    named = _rooted(classes.select("node", "doc_id"), roots)
+    named = scratch.save(_rooted(classes.select("node", "doc_id"), roots))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(named.select("node", "root").join(names, "root").select("node", "root", "component_id"))
-    scratch.drop(met, members, crowd, repeated, of_node)
+    named = scratch.save(spread_join(named.select("node", "root"), names, "root").select("node", "root", "component_id"))
+    scratch.drop(members, crowd, repeated, groups, of_node)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    rows = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    rows = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node")
+    rows = spread_join(rows, named, "node", "left", by=("doc_id", "text_hash"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), *more)
 
 
