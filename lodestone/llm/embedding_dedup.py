@@ -11,7 +11,8 @@ filter: 4,000 each with 256 and 512 (the check tables), 1,024 and 2,048 code wor
 4,096 and 32,768, as the chance falls slowly while code words grow.  Closer pairs are found more often.
 The number of directions grows with the table, so lists stay short and the
 rows under a filter few.  Filters with many members are cut into blocks of ``BLOCK`` and compared block by block; no
-pair leaves a task, only link counts and a spanning star of each block's links do.
+pair leaves a task, only link counts and a spanning star of each block's links do.  A vector goes by a 64-bit hash, and by
+another one where two vectors share the first; joins on vectors and components deal out keys that hold many rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._graph import connected_components
-from lodestone.llm._scratch import Scratch, broadcast_if_small
+from lodestone.llm._scratch import Scratch, broadcast_if_small, checked, exact_name, spread_join
 
 THRESHOLD = 0.95
 #: Members of a filter that are compared in one block; larger filters become pairs of blocks.
@@ -98,15 +99,21 @@ def near_vectors(
     scratch = Scratch(spark)
     usable = vectors.filter(_usable("embedding"))
     classes = usable.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
-    classes = scratch.save(classes.select(F.xxhash64("embedding").alias("node"), "vec_id", "n", "embedding"))
+    hashes = {"node": F.xxhash64("embedding"), "check": F.xxhash64(F.lit(1), "embedding")}
+    classes = scratch.save(classes.select(*[h.alias(k) for k, h in hashes.items()], "vec_id", "n", "embedding"))
+    name = exact_name(classes.groupBy("node").agg(*checked()), "node")
+    classes = classes.withColumn("node", name).drop("check")
     total = classes.count()
     code_words = 1 << max(4, int(np.ceil(np.log2(max(1, 4 * total)) / 2)))
 
+    # The products of a slice with all code words take about as much memory whatever their number.
+    slice_rows = max(16, min(1024, (1 << 20) // code_words))
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[CapCodes]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
                 nodes, n, column = (part.column(k) for k in range(3))
                 values, sizes = _matrix(column)
                 ends = np.cumsum(sizes)
@@ -199,11 +206,11 @@ def near_vectors(
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = connected_components(scratch, found.filter("a <> b").select("a", "b"))
     named = classes.select("node", "vec_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(links, "node", "left")
+    named = scratch.save(named.join(links, "node", "left"))
     names = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    named = scratch.save(named.join(names, "root").select("node", "n", "links", "component_id"))
-    rows = vectors.select("vec_id", F.when(_usable("embedding"), F.xxhash64("embedding")).alias("node"))
-    rows = rows.join(named, "node", "left")
+    named = scratch.save(spread_join(named, names, "root").select("node", "n", "links", "component_id"))
+    rows = vectors.select("vec_id", *[F.when(_usable("embedding"), h).alias(k) for k, h in hashes.items()])
+    rows = spread_join(rows.select("vec_id", name.alias("node")), named, "node", "left", by=("vec_id",))
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select(
         "vec_id",
