@@ -5,12 +5,14 @@ term is swapped for another of its group, and the squared change of the sentence
 fit, so that naming a group does not by itself move a score.
 
 The vocabulary is chosen by chi-square over all sampled texts in Spark; the fit uses a bounded sample of labelled
-rows (``max_fit_rows``, lowest hashes of doc_id first).  Scoring covers every whole text.
+rows (``max_fit_rows``, lowest hashes of doc_id first), one text for each id.  The penalty of all sentences together is a
+quadratic form over the features of identity terms, some hundreds; its matrix is summed in Spark, so that what the driver
+gets does not grow with the number of sentences.  Scoring covers every whole text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _bytes
+from lodestone.llm._scratch import Scratch
 from lodestone.llm.quality import held_out, labelled_sample
 
 MAX_FIT_ROWS = 20_000
@@ -140,20 +143,45 @@ def _changes(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) -> Ite
             yield change
 
 
+#: Products of two features' changes are summed as integers of this fraction, so that no sum depends on its order.
+_UNIT = float(1 << 30)
+
+
+def _products(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    """``i, j, sum``: the changes' products of two features, i <= j, over all sentences of a task; the number of sentences as (-1, -1).
+
+    Only features of identity terms change, so a task gives at most their number squared of rows.
+    """
+    sums: defaultdict[tuple[int, int], int] = defaultdict(int)
+    for _, raw, offsets in _bytes.chunks(batches):
+        for change in _changes(_bytes.lower(raw), offsets, model):
+            sums[-1, -1] += 1
+            for i, x in change.items():
+                for j, z in change.items():
+                    if i <= j:
+                        sums[i, j] += round(x * z * _UNIT)
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["i", "j", "sum"]
+        )
+
+
 def _fit_weights(rows, cols, values, y, changes, n_features: int, ridge: float, fairness: float, positive: float, steps: int):
-    """Adam on weighted log loss, a ridge, and ``fairness`` times the mean squared score change of the swaps."""
+    """Adam on weighted log loss, a ridge, and ``fairness`` times the mean squared score change of the swaps.
+
+    ``changes``: features (i, j) and the mean product of their changes, each pair in both orders.
+    """
     w = np.zeros(n_features + 1)
     w[-1] = -2.0
     cost = np.where(y == 1, positive, 1.0)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    c_rows, c_cols, c_values, n_changes = changes
+    c_i, c_j, c_mean = changes
     for t in range(1, steps + 1):
         z = np.bincount(rows, weights=values * w[cols], minlength=len(y)) + w[-1]
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
         g = np.append(np.bincount(cols, weights=values * r[rows], minlength=n_features) / len(y) + ridge * w[:-1], r.mean())
-        if n_changes:
-            moved = np.bincount(c_rows, weights=c_values * w[c_cols], minlength=n_changes)
-            g[:-1] += 2 * fairness * np.bincount(c_cols, weights=c_values * moved[c_rows], minlength=n_features) / n_changes
+        if len(c_i):
+            g[:-1] += 2 * fairness * np.bincount(c_i, weights=c_mean * w[c_j], minlength=n_features)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -162,9 +190,17 @@ def _fit_weights(rows, cols, values, y, changes, n_features: int, ridge: float,
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, vocabulary: int = VOCABULARY, fairness: float = 1.0
 ) -> ToxicityModel:
-    """Fit ``labels.toxic``; at most ``max_fit_rows`` labelled ids are read, never held-out ones."""
+    """Fit ``labels.toxic``; at most ``max_fit_rows`` labelled ids are read, never held-out ones.
+
+    Of several texts of one id, the one with the smallest hash counts.  The sample is read once and written.
+    """
     sample = F.broadcast(labelled_sample(labels, "toxic", max_fit_rows))  # at most max_fit_rows small rows
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "y")
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id"))
+    repeated = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"), F.count("*").alias("k")).filter("k > 1")
+    if not repeated.isEmpty():
+        one = texts.join(repeated, "doc_id", "left").filter("h IS NULL OR xxhash64(text) = h").select("doc_id", "text", "y")
+        texts = scratch.save(one.dropDuplicates(["doc_id"]))
     seen = texts.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     n, toxic = seen["n"], seen["t"] or 0
     base = (toxic + 1) / (n + 2)
@@ -183,29 +219,25 @@ def fit_toxicity(
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in _bytes.chunks(batches):
-            data = _bytes.lower(raw)
-            doc, at, count = model.counts(data, offsets)
-            edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            y = part.column(part.schema.get_field_index("y")).to_pylist()
-            rows = [(y[k], at[edge[k] : edge[k + 1]], np.log1p(count[edge[k] : edge[k + 1]])) for k in range(part.num_rows)]
-            rows += [(-1, list(c), list(c.values())) for c in _changes(data, offsets, model)]
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["y", "at", "value"]
-            )
-
-    table = texts.mapInArrow(design, "y int, at array<int>, value array<double>")
-    # The sums of the fit must not depend on the order in which partitions arrive.
-    found = sorted(zip(*(c.to_pylist() for c in table.toArrow().columns), strict=True))
-    y = np.array([f[0] for f in found])
-    sizes = np.array([len(f[1]) for f in found], np.int64)
-    cols = np.concatenate([np.asarray(f[1], np.int64) for f in found])
-    values = np.concatenate([np.asarray(f[2], float) for f in found])
-    rows = np.repeat(np.arange(len(y)), sizes)
-    swap = y[rows] == -1
-    n_swaps = int((y == -1).sum())  # they come first
+            doc, at, count = model.counts(_bytes.lower(raw), offsets)
+            edge = np.cumsum(np.append(0, np.bincount(doc, minlength=part.num_rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (at.astype(np.int32), count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("doc_id", "y")), *lists], ["doc_id", "y", "at", "n"])
+
+    # One row an id, of at most as many entries as the vocabulary has; in an order that doesn't depend on partitions.
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    table = texts.mapInArrow(design, f"doc_id {kind}, y int, at array<int>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists = table["at"].combine_chunks()
+    rows = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    values = np.log1p(table["n"].combine_chunks().flatten().to_numpy())
+    sums = texts.mapInArrow(lambda batches: _products(batches, model), "i int, j int, sum long")
+    sums = sums.groupBy("i", "j").agg(F.sum("sum").alias("sum")).orderBy("i", "j").toPandas()  # pairs of identity terms' features
+    n_swaps = int(sums["sum"][sums["i"] == -1].sum())
+    i, j, mean = (sums[c][sums["i"] >= 0].to_numpy() for c in ("i", "j", "sum"))
+    mean, apart = mean / _UNIT / max(1, n_swaps), i != j
+    changes = np.append(i, j[apart]), np.append(j, i[apart]), np.append(mean, mean[apart])
     weights, intercept = _fit_weights(
-        rows[~swap] - n_swaps, cols[~swap], values[~swap], y[n_swaps:].astype(float), (rows[swap], cols[swap], values[swap], n_swaps),
+        rows, lists.flatten().to_numpy(), values, table["y"].to_numpy().astype(float), changes,
         len(model.vocabulary), ridge=1e-5, fairness=fairness, positive=2.0, steps=400,
     )
     return ToxicityModel(model.vocabulary, weights, intercept)
