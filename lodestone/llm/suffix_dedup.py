@@ -12,9 +12,13 @@ the corpus, suffixes are sorted in groups that provably hold all equal strings:
 3. Windows at one offset are equal where both sorted orders agree over enough bytes, so one sweep over the offsets
    with the two arrays of common extensions finds every repeated window, and no others.
 
-Windows whose smallest gram is not unique (periodic text) are compared by their own hash, one row for each different
-window of a text; so are the windows of groups beyond ``HOT_GROUP`` occurrences, by aggregation, so that no group is
-gathered whole.  Each different text is handled once: copies of a text are known by a 64-bit hash.
+Windows whose smallest gram is not unique (periodic text) are grouped by their own hash, one row for each different window
+of a text, and sorted like the others.  A group beyond ``HOT_GROUP`` contexts is never sorted in one task: contexts that are
+equal, byte by byte, repeat each other whole and only one of them goes on; what is still too much is split in two by
+halves of the windows' offsets, each half grouped by the longer string that its windows have in common, and so on.
+
+Each different text is handled once.  It goes by a 64-bit hash, and by another one where two texts share the first.  A text
+with very many copies is read from one row.
 """
 
 from __future__ import annotations
@@ -24,18 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import _bytes
-from lodestone.llm._scratch import Scratch, broadcast_if_small
+from lodestone.llm._scratch import Scratch, broadcast_if_small, checked, exact_name, spread_join
 
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM  # an anchor is at most so far from a window's start
-HOT_GROUP = 50_000
+#: Contexts of a group that one task sorts.
+HOT_GROUP = 2_048
+#: Texts with more than one part in so many of all rows as copies are read from one row each; fewer than this can be.
+MANY_COPIES = 1_000_000
 #: Places or spans (8 and 16 bytes) that are broadcast at most; beyond, texts are joined with them by shuffle.
 MAX_BROADCAST_PLACES = 3_000_000
+#: Hot groups that are broadcast at most.
+MAX_HOT_GROUPS = 100_000
 #: Long texts are cut into overlapping segments of so many bytes; windows don't care.
 SEGMENT = 8 << 20
 _PLACE_BITS = np.uint64(24)
@@ -208,8 +218,10 @@ class SuffixSorter:
         return order, common
 
 
-def repeated_reach(contexts: np.ndarray, before: np.ndarray, after: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the largest and least offset of a repeated window, -1 without one.
+def repeated_reach(
+    contexts: np.ndarray, before: np.ndarray, after: np.ndarray, bounds: np.ndarray, lo: np.ndarray, hi: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the largest and least offset, ``lo`` to ``hi``, of a repeated window, -1 without one.
 
     A context row has REACH bytes before the anchor (``before`` of them valid) and LENGTH from it on (``after`` valid).
     """
@@ -218,7 +230,7 @@ def repeated_reach(contexts: np.ndarray, before: np.ndarray, after: np.ndarray,
     (by_right, r_common), (by_left, l_common) = right.sorted_extensions(), left.sorted_extensions()
     most, least = np.full(len(contexts), -1, np.int64), np.full(len(contexts), -1, np.int64)
     r_run, l_run = np.empty(len(contexts), np.int64), np.empty(len(contexts), np.int64)
-    for o in range(REACH + 1):
+    for o in range(int(lo.min(initial=REACH)), int(hi.max(initial=0)) + 1):
         r_run[by_right] = np.cumsum(r_common < LENGTH - o)
         l_run[by_left] = np.cumsum(l_common < o)
         key = r_run * (len(contexts) + 1) + l_run
@@ -227,14 +239,18 @@ def repeated_reach(contexts: np.ndarray, before: np.ndarray, after: np.ndarray,
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        twice &= (before >= o) & (after >= LENGTH - o)
+        twice &= (before >= o) & (after >= LENGTH - o) & (lo <= o) & (o <= hi)
         most[twice] = o
         least[twice & (least < 0)] = o
     return most, least
 
 
+_CONTEXT = "hash long, text_hash long, start long, lo int, hi int, before int, context binary"
+_NAMES = ["hash", "text_hash", "start", "lo", "hi", "before", "context"]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each wanted anchor of a text: hash, text_hash, start, bytes before it, context."""
+    """One row for each wanted place of a text: what its windows reach.  A tied window's place is its own start."""
     seen: set[int] = set()
     for batch in batches:
         for row in range(batch.num_rows):
@@ -243,15 +259,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             seen.add(name)
             text = (batch.column(0)[row].as_py() or "").encode()
-            places = batch.column(2)[row]
-            start = places.values.field("start").to_numpy()
-            hashes = places.values.field("hash").to_numpy()
-            before = np.minimum(start, REACH)
+            places = batch.column(2)[row].values
+            start, hashes = (places.field(c).to_numpy() for c in ("start", "hash"))
+            hi = np.where(places.field("tied").to_numpy(zero_copy_only=False), 0, REACH).astype(np.int32)
+            before = np.minimum(start, hi).astype(np.int32)
             found = [text[s - b : s + LENGTH] for s, b in zip(start.tolist(), before.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), pa.array(np.full(len(start), name)), pa.array(start), pa.array(before.astype(np.int32)), pa.array(found, pa.binary())],
-                ["hash", "text_hash", "start", "before", "context"],
-            )
+            columns = [hashes, np.full(len(start), name), start, np.zeros(len(start), np.int32), hi, before]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found, pa.binary())], _NAMES)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each context once for either half of its offsets, cut to what these windows reach, under what they all share."""
+    for batch in batches:
+        out: list[tuple] = []
+        for _, text, start, lo, hi, before, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle = (lo + hi) // 2
+            for low, high in ((lo, middle), (middle + 1, hi)):
+                if before >= low and len(context) - before >= LENGTH - high:
+                    shared = context[before - low : before + LENGTH - high]
+                    name = hashlib.blake2b(shared, digest_size=8, salt=bytes((low, high))).digest()
+                    left = min(before, high)
+                    out.append((int.from_bytes(name, "little", signed=True), text, start, low, high, left, context[before - left : before + LENGTH - low]))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema, strict=True)], _NAMES)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,13 +306,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = table.filter(pa.array(new))
             hashes, text, start = hashes[new], text[new], start[new]
         bounds = np.append(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), len(hashes))
-        most, least = repeated_reach(*_unpack(table), bounds)
+        lo, hi = (table[c].to_numpy().astype(np.int64) for c in ("lo", "hi"))
+        most, least = repeated_reach(*_unpack(table), bounds, lo, hi)
         hit = most >= 0
         return pa.RecordBatch.from_arrays(
             [pa.array(text[hit]), pa.array(start[hit] - most[hit]), pa.array(start[hit] - least[hit] + LENGTH)], ["text_hash", "start", "stop"]
         )
 
-    kept: pa.Table | None = None  # the group that the last batch may not have ended, at most HOT_GROUP rows
+    kept: pa.Table | None = None  # the group that the last batch may not have ended, of about HOT_GROUP rows
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([kept, table]) if kept is not None else table
@@ -295,56 +326,85 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(kept.combine_chunks())
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context by its hash, for groups too large to be sorted in one task."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            table = pa.Table.from_batches([batch.slice(at, 1000)])
-            rows, before, after = _unpack(table)
-            hasher = _bytes.Hasher(rows.ravel())
-            o = np.arange(REACH + 1)
-            fits = (before[:, None] >= o) & (after[:, None] >= LENGTH - o)
-            row, off = np.nonzero(fits)
-            begin = row * rows.shape[1] + REACH - off
-            start = table["start"].to_numpy()[row] - off
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hasher.spans(begin, begin + LENGTH).view(np.int64)), pa.array(table["text_hash"].to_numpy()[row]), pa.array(start)],
-                ["hash", "text_hash", "start"],
-            )
-
-
 def _twice(rows: DataFrame) -> DataFrame:
-    """Hashes that start in several places; copies of one place don't count."""
-    places = rows.groupBy("hash").agg(F.min(F.struct("text_hash", "start")).alias("x"), F.max(F.struct("text_hash", "start")).alias("y"))
-    return places.filter("x <> y").select("hash")
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP) -> DataFrame:
-    """``text_hash, spans``: what repeats in each different text, as an array of (start, stop) that may overlap."""
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    """Hashes that start in several places, and ``n_``, the number of their rows; copies of one place don't count."""
+    place = F.struct("text_hash", "start")
+    places = rows.groupBy("hash").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n_"))
+    return places.filter("x <> y").select("hash", "n_")
+
+
+def _sorted_groups(contexts: DataFrame) -> DataFrame:
+    """Spans of repeated windows within groups, each sorted in one task."""
+    partitions = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = contexts.select(*_NAMES).repartition(partitions, "hash").sortWithinPartitions("hash", "text_hash", "start")
+    return rows.mapInArrow(_compared, "text_hash long, start long, stop long")
+
+
+def _group_spans(scratch: Scratch, contexts: DataFrame, hot_group: int) -> list[DataFrame]:
+    """Spans of repeated windows of all contexts, groups beyond ``hot_group`` of them split until none is left."""
+    spans = []
+
+    def parted(rows: DataFrame) -> DataFrame | None:
+        """What is in hot groups; the others are sorted."""
+        sizes = scratch.save(rows.groupBy("hash").agg(F.count("*").alias("n_")).filter(F.col("n_") > hot_group))
+        if sizes.isEmpty():
+            spans.append(_sorted_groups(rows))
+            return None
+        hot = sizes.select("hash")
+        few = broadcast_if_small(hot, MAX_HOT_GROUPS)
+        join = lambda how: rows.join(few, "hash", how) if few is not hot else spread_join(rows, hot, "hash", how)
+        spans.append(_sorted_groups(join("left_anti")))
+        return join("left_semi")
+
+    pending = parted(contexts)
+    while pending is not None:
+        whole = F.struct("hash", "lo", "hi", "before", "context")
+        pending = scratch.save(pending.withColumn("whole", whole))
+        equal = pending.groupBy("whole").agg(F.count("*").alias("n_"), F.min(F.struct("text_hash", "start")).alias("place"))
+        equal = scratch.save(equal)
+        repeated = equal.filter("n_ > 1")
+        rows = spread_join(pending, repeated.select("whole"), "whole", sizes=repeated.select("whole", "n_"), by=("text_hash", "start"))
+        most = F.least("hi", "before")
+        least = F.greatest(F.col("lo"), F.lit(LENGTH) - (F.octet_length("context") - F.col("before")))
+        covered = rows.filter(most >= least)
+        spans.append(covered.select("text_hash", (F.col("start") - most).alias("start"), (F.col("start") - least + LENGTH).alias("stop")))
+        left = parted(scratch.save(equal.select("whole.*", "place.*").select(*_NAMES)))
+        # Equal contexts being gone, a group of single windows has none that repeats.
+        pending = None if left is None else parted(scratch.save(left.filter("lo < hi").mapInArrow(_halves, _CONTEXT)))
+    return spans
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP) -> tuple[DataFrame, Column]:
+    """``text_hash, spans``: what repeats in each different text, as an array of (start, stop) that may overlap; and the
+    name ``text_hash`` as an expression of ``text_hash`` and ``check`` (see ``_hashed``).
+
+    ``docs``: text, at (a hash of the row's other columns, which tells copies apart).
+    """
+    hashed = _hashed(docs).filter(F.octet_length("text") >= LENGTH)
+
+    def copies_of(name: Column) -> DataFrame:
+        rows = hashed.select(name.alias("text_hash"), "check", "at", F.octet_length("text").cast("long").alias("stop")).groupBy("text_hash")
+        return scratch.save(rows.agg(F.count("*").alias("n"), F.max("stop").alias("stop"), F.min("at").alias("one"), *checked()).filter("n > 1"))
+
+    name = F.col("text_hash")
+    copies = copies_of(name)
+    if not copies.filter("check_x <> check_y").isEmpty():
+        name = exact_name(copies, "text_hash")
+        copies = copies_of(name)
+    many = copies.filter(F.col("n") > F.lit(max(1, docs.count() // MANY_COPIES))).select("text_hash", "one")
+    texts = hashed.select("text", "at", name.alias("text_hash")).join(F.broadcast(many), "text_hash", "left")  # MANY_COPIES rows at most
+    texts = texts.filter("one IS NULL OR at = one").select("text", "text_hash")
     found = scratch.save(texts.mapInArrow(_scan, _FOUND))
 
-    anchors = found.filter("kind = 0").select("hash", "text_hash", "start")
-    wanted = scratch.save(_twice(anchors))
-    places = scratch.save(anchors.join(wanted, "hash").distinct())
-    lists = places.groupBy("text_hash").agg(F.collect_list(F.struct("start", "hash")).alias("places"))
-    read = texts.join(_small_lists(scratch.save(lists), "places"), "text_hash").select("text", "text_hash", "places")
-    contexts = scratch.save(read.mapInArrow(_contexts, "hash long, text_hash long, start long, before int, context binary"))
-    hot = scratch.save(places.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > hot_group).select("hash"))
-    hot = broadcast_if_small(hot, 100_000)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = contexts.join(hot, "hash", "left_anti").repartition(max(1, partitions), "hash").sortWithinPartitions("hash", "text_hash", "start")
-    spans = [sorted_rows.mapInArrow(_compared, "text_hash long, start long, stop long")]
-
-    windows = contexts.join(hot, "hash", "left_semi").mapInArrow(_window_rows, "hash long, text_hash long, start long")
-    tied = found.filter("kind IN (1, 2)").select("hash", "text_hash", "start", "kind")
-    for rows, single in ((windows, F.lit(True)), (tied, F.col("kind") == 1)):
-        hits = rows.filter(single).join(_twice(rows.select("hash", "text_hash", "start")), "hash").select("text_hash", "start")
-        spans.append(hits.withColumn("stop", F.col("start") + LENGTH))
+    starts = found.filter("kind <= 2").select("hash", "text_hash", "start", (F.col("kind") > 0).alias("tied"))
+    wanted = scratch.save(_twice(starts))
+    places = scratch.save(spread_join(starts, wanted.select("hash"), "hash", sizes=wanted, by=("text_hash", "start")).distinct())
+    lists = scratch.save(places.groupBy("text_hash").agg(F.collect_list(F.struct("start", "hash", "tied")).alias("places")))
+    read = _join_lists(texts, lists, "places").select("text", "text_hash", "places")
+    contexts = scratch.save(read.mapInArrow(_contexts, _CONTEXT))
+    spans = _group_spans(scratch, contexts, hot_group)
     spans.append(found.filter("kind = 3").select("text_hash", "start", "stop"))
     # Copies of a text repeat it whole.
-    copies = texts.select("text_hash", F.octet_length("text").cast("long").alias("stop")).filter(F.col("stop") >= LENGTH)
-    copies = copies.groupBy("text_hash").agg(F.count("*").alias("n"), F.max("stop").alias("stop")).filter("n > 1")
     spans.append(copies.select("text_hash", F.lit(0).cast("long").alias("start"), "stop"))
     every = spans[0]
     for more in spans[1:]:
@@ -352,13 +412,23 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot_g
     joined = every.groupBy("text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = scratch.save(joined)
     scratch.drop(found, contexts, places)
-    return joined
+    return joined, name
 
 
-def _small_lists(lists: DataFrame, column: str) -> DataFrame:
-    """A broadcast only where all lists together are within MAX_BROADCAST_PLACES entries."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"text_hash": F.xxhash64("text"), "check": F.xxhash64(F.lit(1), "text")})
+
+
+def _join_lists(rows: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the lists of their texts: by broadcast only where all lists together are within MAX_BROADCAST_PLACES entries."""
     total = lists.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
-    return F.broadcast(lists) if total <= MAX_BROADCAST_PLACES else lists
+    return rows.join(F.broadcast(lists), "text_hash", how) if total <= MAX_BROADCAST_PLACES else spread_join(rows, lists, "text_hash", how)
+
+
+def _other_columns(docs: DataFrame) -> Column:
+    """A hash of a row's columns beside its text, as far as they are of plain types."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and isinstance(f.dataType, T.AtomicType)]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
@@ -369,7 +439,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, hot_group: int = HOT_GR
     whatever their names; columns named like a result are replaced.  An empty table gives an empty result.
     """
     scratch = Scratch(spark)
-    spans = repeated_spans(spark, docs.select(F.coalesce("text", F.lit("")).alias("text")), scratch, hot_group)
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), _other_columns(docs).alias("at"))
+    spans, name = repeated_spans(spark, texts, scratch, hot_group)
 
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -392,9 +463,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, hot_group: int = HOT_GR
 
     cut.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
     cut_udf = F.arrow_udf(cut, "n_bytes long, n_removed long, n_spans long, kept binary")
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    rows = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(_small_lists(spans, "spans"), "text_hash", "left")
+    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    rows = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"), _other_columns(docs).alias("at"))
+    rows = _hashed(rows).withColumn("text_hash", name).drop("check")
+    rows = _join_lists(rows, spans, "spans", "left")
     return rows.withColumn("cut", cut_udf("text", "spans")).select("row.*", "cut.*")
 
 
