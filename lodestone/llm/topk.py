@@ -10,6 +10,7 @@ candidates can still reach its k-th best exact score; those possible members are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,62 +31,89 @@ TILE = 128
 
 
 class ImpactIndex:
-    """Posting segments of one shard, highest impact first."""
+    """Posting segments of one shard, highest impact first: lists of (candidate, value) by level and term."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
+        self.ids, self.values, self.terms = ids, values, values.shape[1]
         size = np.abs(values).astype(float)
         top = size.max(initial=0.0)
-        self.segments: list[np.ndarray] = []  # the postings of a level as rows by candidate, others zero
-        self.left: list[np.ndarray] = []  # each candidate's norm of the postings below the level
-        self.below: list[float] = []  # the largest impact below the level
-        above = np.inf
-        for share in LEVELS:
-            floor = np.ceil(share * top)
-            inside = (size >= floor) & (size < above)
-            rest = np.where(size < floor, size, 0.0)
-            self.segments.append(np.where(inside, values, 0).astype(float))
-            self.left.append(np.sqrt((rest**2).sum(1)))
-            self.below.append(float(rest.max(initial=0.0)))
-            above = floor
+        floors = np.array([np.ceil(share * top) for share in LEVELS])
+        at = np.flatnonzero(size.ravel())  # a component of 0 is no posting
+        impact, term = size.ravel()[at], at % max(1, self.terms)
+        level = len(LEVELS) - np.searchsorted(floors[::-1], impact, "right")
+        order = np.lexsort((-impact, term, level))
+        self.candidate, self.value = (at[order] // max(1, self.terms)).astype(np.int32), values.ravel()[at[order]].astype(float)
+        self.edges = np.searchsorted((level * self.terms + term)[order], np.arange(len(LEVELS) * self.terms + 1))
+        self.norm = np.sqrt((size**2).sum(1))
+        #: Each candidate's norm of the postings below a level, and the largest impact below it.
+        rests = [np.where(size < floor, size, 0.0) for floor in floors]
+        self.left, self.below = [np.sqrt((rest**2).sum(1)) for rest in rests], [float(rest.max(initial=0.0)) for rest in rests]
+
+    def accumulate(self, level: int, queries: np.ndarray, partial: np.ndarray) -> None:
+        """Adds a segment's postings, list by list, to the partial scores (candidates by queries)."""
+        for term in range(self.terms):
+            lo, hi = self.edges[level * self.terms + term : level * self.terms + term + 2]
+            if lo < hi:
+                partial[self.candidate[lo:hi]] += self.value[lo:hi, None] * queries[None, :, term]
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per tile: query number, candidate number and exact score of every possible member, k best at least."""
         few = max(8 * k, len(self.ids) // 100)
         for at in range(0, len(queries), TILE):
             active = np.arange(at, min(at + TILE, len(queries)))
-            partial = np.zeros((len(active), len(self.ids)))
-            for level, segment in enumerate(self.segments):
+            partial = np.zeros((len(self.ids), len(active)))
+            for level in range(len(LEVELS)):
                 q = queries[active].astype(float)
-                partial += q @ segment.T
-                seen = np.where(self.ids[None, :] == q_ids[active, None], -np.inf, partial)
+                self.accumulate(level, q, partial)
+                seen = np.where(self.ids[None, :] == q_ids[active, None], -np.inf, partial.T)
                 n = min(k, seen.shape[1])
                 lead = np.argpartition(-seen, n - 1, axis=1)[:, :n]
                 exact = np.einsum("qd,qkd->qk", queries[active], self.values[lead])
                 exact = np.where(np.isinf(np.take_along_axis(seen, lead, 1)), np.iinfo(np.int64).min, exact)
                 worst = exact.min(1).astype(float)
-                gain = np.minimum(
-                    np.linalg.norm(q, axis=1)[:, None] * self.left[level][None, :], np.abs(q).sum(1)[:, None] * self.below[level]
-                )
-                possible = seen + gain * (1 + 1e-9) + 0.5 >= worst[:, None]
-                done = (possible.sum(1) <= few) | (level == len(self.segments) - 1)
+                norm = np.linalg.norm(q, axis=1)[:, None]
+                gain = np.minimum(norm * self.left[level][None, :], np.abs(q).sum(1)[:, None] * self.below[level])
+                # What sums of doubles can be off by is far below a billionth of the norms' product.
+                possible = seen + gain + 1e-9 * norm * self.norm[None, :] + 0.5 >= worst[:, None]
+                done = (possible.sum(1) <= few) | (level == len(LEVELS) - 1)
                 rows, cols = np.nonzero(possible[done])
                 if len(rows):
                     own = active[done][rows]
                     keep = self.ids[cols] != q_ids[own]
                     own, cols = own[keep], cols[keep]
                     yield own, cols, np.einsum("nd,nd->n", queries[own], self.values[cols])
-                active, partial = active[~done], partial[~done]
+                active, partial = active[~done], partial[:, ~done]
                 if not len(active):
                     break
 
 
-def _whole(column: pa.Array, width: int = 0) -> np.ndarray:
-    """floor(SCALE * x) as integers, rows padded with zeros to the longest."""
+def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(SCALE * x) as integers, rows padded with zeros to the longest; which rows are too large for 64-bit sums, and
+    zero there; and the numbers themselves."""
     values, sizes = _matrix(column)
-    out = np.zeros((len(sizes), max(width, sizes.max(initial=0))))
+    out = np.zeros((len(sizes), sizes.max(initial=0)))
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values
-    return np.floor(SCALE * out).astype(np.int64)
+    with np.errstate(over="ignore"):
+        whole = np.floor(SCALE * out)
+    huge = (np.abs(whole) > np.sqrt(2.0**62 / max(1, out.shape[1]))).any(1)
+    return np.where(huge[:, None], 0, whole).astype(np.int64), huge, out
+
+
+def _exact(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) without a limit of size: doubles from 2**53 on are whole."""
+    return np.array([int(v) * SCALE if abs(v) >= 2.0**53 else int(np.floor(SCALE * v)) for v in x.ravel()], object).reshape(x.shape)
+
+
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def _beyond(score: int) -> bytes | None:
+    """Of a score beyond 64 bits: bytes that sort as such scores of one sign do."""
+    if _LEAST < score < _MOST:
+        return None
+    raw = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return raw if score > 0 else bytes(255 - b for b in raw)
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -95,6 +123,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50)
     Rows with the query's own vec_id are not its candidates.  A query with fewer candidates gets all of them.  Null
     vectors, vectors with null or non-finite components and rows without an id take no part; missing components of
     shorter vectors count as 0.  Repeated rows are candidates of their own and repeated query ids are asked once.
+    Components of any size count exactly; a score beyond 64 bits is ranked as it is and shown as the nearest of 64 bits.
     Other columns are ignored.  An empty table gives an empty result.
     """
     scratch = Scratch(spark)
@@ -113,25 +142,31 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50)
 
     def searched(table: pa.Table) -> pa.Table:
         asked = table["query"].to_numpy() == 1
-        values = _whole(table["embedding"].combine_chunks())
+        values, huge, numbers = _whole(table["embedding"].combine_chunks())
         ids = table["vec_id"].to_numpy()
-        index = ImpactIndex(ids[~asked], values[~asked])
-        q_ids, out = ids[asked], []
-        if asked.any() and not asked.all():
-            for own, cols, score in index.search(q_ids, values[asked], k):
-                order = np.lexsort((index.ids[cols], -score, own))
-                own, cols, score = own[order], cols[order], score[order]
-                first = np.searchsorted(own, own)
-                best = np.arange(len(own)) - first < k
-                out.append((q_ids[own[best]], index.ids[cols[best]], score[best]))
-        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"]).cast(
-            pa.schema([("query_id", table["vec_id"].type), ("vec_id", table["vec_id"].type), ("score", pa.int64())])
-        )
+        own, plain = np.flatnonzero(asked), np.flatnonzero(asked & ~huge)
+        index, large = ImpactIndex(ids[~asked & ~huge], values[~asked & ~huge]), np.flatnonzero(~asked & huge)
+        out = []
+        if len(plain) and len(index.ids):
+            for q, cols, score in index.search(ids[plain], values[plain], k):
+                order = np.lexsort((index.ids[cols], -score, q))
+                q, cols, score = q[order], cols[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out += zip(ids[plain][q[best]].tolist(), index.ids[cols[best]].tolist(), score[best].tolist(), strict=True)
+        # What 64 bits can't sum: few rows if any, in integers of any size.
+        for q in own if len(large) or huge[own].any() else ():
+            others = np.flatnonzero(~asked) if huge[q] else large
+            others = others[ids[others] != ids[q]]
+            found = zip((_exact(numbers[others]) @ _exact(numbers[q])).tolist() if len(others) else (), ids[others].tolist(), strict=True)
+            out += [(int(ids[q]), i, score) for score, i in heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1]))]
+        names = ["query_id", "vec_id", "score", "beyond"]
+        columns = [[r[0] for r in out], [r[1] for r in out], [min(max(r[2], _LEAST), _MOST) for r in out], [_beyond(r[2]) for r in out]]
+        kinds = [table["vec_id"].type, table["vec_id"].type, pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     both = candidates.unionByName(queries).groupBy("shard", "block")
-    found = scratch.save(both.applyInArrow(searched, f"query_id {kind}, vec_id {kind}, score long"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = scratch.save(both.applyInArrow(searched, f"query_id {kind}, vec_id {kind}, score long, beyond binary"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

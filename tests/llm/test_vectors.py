@@ -81,6 +81,18 @@ def test_top_k_with_fewer_candidates_and_ties(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 32768), (0, 2, 2, 32768)]
 
 
+def test_top_k_of_components_beyond_64_bits(spark):
+    """Finite components of any size take part and are ranked exactly."""
+    rows = [(0, [1e300, 1.0]), (1, [1.0, 2.0]), (2, [-1e300, 0.0]), (3, [1e300, 3.0]), (4, [1e300, 2.0]), (5, [9e15, 1e10]), (50, [0.5, -0.25]), (100, [2e9, 0.0])]
+    exact = {i: [int(c) * 256 if abs(c) >= 2**53 else int(np.floor(256 * c)) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], v)), j) for j, v in exact.items() if j != q)[:5]
+        want += [(q, k + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, j) in enumerate(scores)]
+    got = [tuple(r) for r in topk.top_k(spark, frame(spark, [(i, list(map(float, v))) for i, v in rows])).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_vectors(spark, empty).count() == 0 and topk.top_k(spark, empty).count() == 0
