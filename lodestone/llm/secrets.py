@@ -1,19 +1,23 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are values assigned to a telling name and long runs of token characters.  Each is described by its length,
-its character transitions, how much of it dictionary words cover, its path and its neighbouring words, and a random
-forest trained on labelled findings tells secrets from placeholders, names, numbers and digests.
+Candidates are private key blocks, passwords in connection URLs, values assigned to a telling name and long runs of token
+characters.  Each is described by its length, its character transitions, how much of it dictionary words cover, its path
+and its neighbouring words, and a random forest trained on labelled findings tells secrets from placeholders, names,
+numbers and digests.  The dictionary is made of the words that most documents hold, beside a few that placeholders are
+made of.  A forest is fitted once for a dictionary and kept in the shared folder.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._scratch import Scratch
+from lodestone.llm._scratch import Scratch, shared_dir, spread_join
 
 #: A name, an assignment and a value; or a run of token characters.
 NAMES = r"(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|auth|private)[_-]?key)s?"
@@ -22,10 +26,14 @@ _TOKEN = r"[A-Za-z0-9_+/=.\-]"
 KEY = rf"(?<!{_TOKEN}){_TOKEN}*?{NAMES}(?:[_.\-][A-Za-z0-9_.\-]*)?[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
 ASSIGNED = rf"(?i:{KEY}[^\s\"']{{6,}})"
 RUN = rf"{_TOKEN}{{16,}}+"
-CANDIDATE = f"{ASSIGNED}|{RUN}"
+#: A password between a connection URL's user and host, and a private key from its first line to its last.
+_URL_USER = rf"(?<!{_TOKEN})(?:[A-Za-z_][A-Za-z0-9_.\-]*={{1,2}}[\"']?)?[A-Za-z][A-Za-z0-9+.\-]{{1,30}}://[^\s:/@\"']{{0,64}}:"
+CONNECTION = rf"{_URL_USER}[^\s/@\"']{{6,128}}(?=@)"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{16,8192}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+CANDIDATE = f"{KEY_BLOCK}|{CONNECTION}|{ASSIGNED}|{RUN}"
 #: A run that is itself an assignment, of a value long enough to be a run.
 _RUN_KEY = r"[A-Za-z_][A-Za-z0-9_.\-]*={1,2}"
-_VALUE = rf"^(?:(?i:{KEY})([^\s\"']{{6,}})|{_RUN_KEY}([A-Za-z0-9_+/.\-]{{16,}}=*))$"
+_VALUE = rf"^(?:{_URL_USER}([^\s/@\"']{{6,128}})|(?i:{KEY})([^\s\"']{{6,}})|{_RUN_KEY}([A-Za-z0-9_+/.\-]{{16,}}=*))$"
 _MARK = "\u0001"
 #: Characters of text before and after a candidate that count as its neighbourhood.
 NEAR = 48
@@ -36,7 +44,9 @@ THRESHOLD = 0.5
 MAX_FIT_ROWS = 50_000
 #: Secrets of all texts that are broadcast for redaction at most; beyond, texts are joined by shuffle.
 MAX_BROADCAST_SECRETS = 300_000
-#: Words whose presence in a value speaks against a secret.
+#: Words of the corpus, held by most documents, that count as a dictionary; the version of ``labelled_findings``.
+CORPUS_WORDS, FINDINGS_VERSION = 3_000, 2
+#: Words whose presence in a value, even inside a longer one, speaks against a secret.
 DICTIONARY = [
     "access", "account", "admin", "article", "auth", "blog", "change", "client", "code", "com", "config", "data", "default",
     "demo", "dummy", "example", "fake", "file", "foo", "guest", "here", "home", "html", "http", "image", "index", "insert",
@@ -45,8 +55,9 @@ DICTIONARY = [
     "user", "value", "web", "www", "your",
 ]
 FEATURES = [
-    "n_chars", "n_distinct", "transitions", "digit_share", "upper_share", "lower_share", "hex_only", "digits_only", "dictionary",
+    "n_chars", "n_distinct", "transitions", "digit_share", "upper_share", "lower_share", "hex_only", "digits_only", "dictionary", "corpus_words",
     "longest_repeat", "separators", "known_prefix", "assigned", "quoted", "near_secret", "near_digest", "near_sample", "path_sample",
+    "in_url", "key_block",
 ]
 
 
@@ -58,12 +69,21 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def described(found: DataFrame) -> DataFrame:
-    """``found`` (candidate, before, after, path) with a column ``features``."""
+def corpus_words(docs: DataFrame, n: int = CORPUS_WORDS) -> list[str]:
+    """The ``n`` words of four to twelve letters that most rows of ``docs`` hold, two at least, ties by the alphabet; sorted."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{4,12}(?![a-z0-9])"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    return sorted(r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(n).collect())
+
+
+def described(found: DataFrame, words: list[str]) -> DataFrame:
+    """``found`` (candidate, before, after, path) with a column ``features``; ``words`` are those of the corpus."""
     c = F.col("candidate")
+    # Letters between other characters, and between a small and a large one.
+    pieces = F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    held = F.filter(pieces, lambda w: w.isin(words)) if words else F.array().cast("array<string>")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
-    words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
-    uncovered = F.regexp_replace(F.lower(c), words, "")
+    uncovered = F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")
     before, after, path = (F.lower(F.coalesce(x, F.lit(""))) for x in ("before", "after", "path"))
     values = {
         "n_chars": F.least(F.length(c), F.lit(512)),
@@ -75,6 +95,7 @@ def described(found: DataFrame) -> DataFrame:
         "hex_only": _flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": _flag(c.rlike("^[0-9.+\\-/]+$")),
         "dictionary": 1 - F.length(uncovered) / F.greatest(F.length(c), F.lit(1)),
+        "corpus_words": F.length(F.array_join(held, "")) / F.greatest(F.length(c), F.lit(1)),
         "longest_repeat": _flag(c.rlike(r"(.)\1{3}")),
         "separators": _share(c, r"[_.\-/]"),
         "known_prefix": _flag(c.rlike(r"^(?:AKIA[0-9A-Z]{12}|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ[A-Za-z0-9])")),
@@ -84,17 +105,32 @@ def described(found: DataFrame) -> DataFrame:
         "near_digest": _flag(before.rlike(r"commit|sha-?\d*|md5|checksum|digest|hash|uuid|revision|etag")),
         "near_sample": _flag(F.concat_ws(" ", before, after).rlike(r"example|sample|dummy|placeholder|your|e\.g\.|template")),
         "path_sample": _flag(path.rlike(r"test|example|sample|fixture|mock|docs?/|readme")),
+        "in_url": _flag(before.rlike(r"://[^\s:/@]*:$") & after.startswith("@")),
+        "key_block": _flag(c.startswith("-----BEGIN")),
     }
     return found.withColumn("features", F.array(*[values[f].cast("double") for f in FEATURES]))
 
 
+def _parts(text: Column) -> Column:
+    """A text cut at its candidates: every second part is one, with its name if it is an assignment."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    return F.split(F.regexp_replace(plain, CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def _cut(hit: Column) -> tuple[Column, Column, Column]:
+    """What of a part stands before the candidate, the candidate, and what stands after it."""
+    value = F.concat(*[F.regexp_extract(hit, _VALUE, k) for k in (1, 2, 3)])
+    candidate = F.when(value == "", hit).otherwise(F.regexp_replace(value, r"[^A-Za-z0-9_+/=]+$", ""))
+    key = F.when(value == "", F.lit("")).otherwise(F.left(hit, F.length(hit) - F.length(value)))
+    return key, candidate, F.when(value == "", F.lit("")).otherwise(F.substring(value, F.length(candidate) + 1, F.length(value)))
+
+
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each candidate of each row: the row's other columns, ``nth``, ``candidate``, ``before``, ``after``.
 
     The text is marked and split once, so the work is linear in it.  Control character 1 counts as a space.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
-    parts = F.split(F.regexp_replace(plain, CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    parts = _parts(F.col(text))
     rows = docs.drop("nth", "candidate", "before", "after", "parts").withColumn("parts", parts).drop(text)
     rows = rows.filter(F.size("parts") > 1)
     p = F.col("parts")
@@ -108,25 +144,23 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     rows = rows.select(*[c for c in rows.columns if c != "parts"], F.posexplode(hits).alias("nth", "found"))
-    hit = F.col("found.hit")
-    value = F.concat(F.regexp_extract(hit, _VALUE, 1), F.regexp_extract(hit, _VALUE, 2))
-    candidate = F.when(value == "", hit).otherwise(F.regexp_replace(value, r"[^A-Za-z0-9_+/=]+$", ""))
-    key = F.when(value == "", F.lit("")).otherwise(F.left(hit, F.length(hit) - F.length(value)))
+    key, candidate, rest = _cut(F.col("found.hit"))
     rows = rows.select(
         *[c for c in rows.columns if c not in ("nth", "found")],
         F.col("nth").cast("long").alias("nth"),
         candidate.alias("candidate"),
         F.concat(F.col("found.left"), key).alias("before"),
-        F.concat(F.when(value == "", F.lit("")).otherwise(F.substring(value, F.length(candidate) + 1, F.lit(NEAR))), F.col("found.after")).alias("after"),
+        F.concat(F.left(rest, F.lit(NEAR)), F.col("found.after")).alias("after"),
     )
     # A run of letters alone, without an assignment, is a word.
     return rows.filter((F.length("candidate") >= 6) & (F.col("candidate").rlike("[0-9]") | F.col("before").rlike(r"[:=]\s*[\"']?$")))
 
 
-def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 8_000, words: list[str] | None = None) -> DataFrame:
     """``candidate, before, after, path, label``: findings of known kind, made from hashes of a row number.
 
-    They stand in for reviewed findings of earlier scans; pass your own to ``fit_forest`` where there are some.
+    They stand in for reviewed findings of earlier scans; pass your own to ``fit_forest`` where there are some.  Names
+    in harmless ones are made of ``words`` (of a corpus) and of DICTIONARY.
     """
     i = F.col("id")
     h = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
@@ -134,7 +168,8 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "\n", "")
     names = ['token = "', "api_key: ", 'secret="', "password=", "auth_key = '", 'access-key: "', "TOKEN = ", "credentials: "]
     prose = ["and then the ", "see ", "of which ", "found at ", "in the year ", "by mail to ", "(", ""]
-    w = lambda salt: pick(salt, DICTIONARY)
+    w = lambda salt: pick(salt, DICTIONARY + (words or [])[:: max(1, len(words or []) // 400)])
+    safe = lambda salt, n: F.substring(F.regexp_replace(F.concat(b64(salt), b64(salt + "2")), "[^A-Za-z0-9]", "k"), 1, n)
     secret = [
         (F.substring(h("a"), 1, 40), "names"),
         (F.upper(F.substring(h("b"), 1, 40)), "names"),
@@ -144,6 +179,13 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64("f"), "[^A-Za-z0-9]", "z"), 1, 36)), "either"),
         (F.concat(pick("g", ["Xk", "9t", "Qz", "vR"]), F.substring(F.regexp_replace(b64("h"), "=", "!"), 1, 14)), "names"),
         (h("i"), "names"),
+        (F.concat(pick("pw1", ["Winter", "blue", "Horse", "q", "S3"]), F.substring(b64("pw2"), 1, 6)), "names"),
+        (F.concat(pick("pw3", ["s", "Tiger", "p4ss", "Zx"]), F.substring(b64("pw4"), 1, 7)), "url"),
+        (F.concat(F.lit("xoxb-"), F.conv(F.substring(h("s1"), 1, 9), 16, 10), F.lit("-"), safe("s2", 24)), "either"),
+        (F.concat(F.lit("sk_live_"), safe("s3", 24)), "either"),
+        (F.concat(F.lit("AIza"), safe("s4", 35)), "either"),
+        (F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), safe("s5", 40), F.lit("."), safe("s6", 43)), "either"),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), safe("s7", 60), F.lit("\n"), safe("s8", 60), F.lit("\n-----END RSA PRIVATE KEY-----")), "prose"),
     ]
     harmless = [
         (F.concat_ws("-", w("a"), w("b"), w("c"), F.lit("1")), "names"),
@@ -155,6 +197,13 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (F.concat(w("n"), pick("o", ["7", "19", "204"]), F.lit("."), F.lit("example."), pick("p", ["com", "org", "net"])), "prose"),
         (F.concat(F.lit("/"), w("q"), F.lit("/"), w("r"), F.lit("-"), F.pmod(i, F.lit(997)).cast("string"), F.lit(".html")), "prose"),
         (F.concat(w("s"), F.lit("."), w("t"), F.lit("."), pick("u", ["12", "v2", "2019"]), F.lit(".example")), "prose"),
+        (F.concat_ws("_", w("w1"), w("w2"), w("w3"), F.pmod(i, F.lit(31)).cast("string")), "prose"),
+        (F.concat(w("w4"), F.initcap(w("w5")), F.initcap(w("w6")), F.pmod(i, F.lit(9)).cast("string")), "prose"),
+        (F.concat(w("w7"), F.lit("-"), w("w8"), F.lit("-"), F.conv(F.substring(h("w9"), 1, 5), 16, 10)), "prose"),
+        (F.concat(F.lit("20"), F.substring(F.conv(F.substring(h("w10"), 1, 12), 16, 10), 1, 12), F.lit("."), F.pmod(i, F.lit(60)).cast("string")), "prose"),
+        (F.concat(pick("w11", ["required", "changeme", "password", "hidden", "optional", "string", "required."])), "names"),
+        (F.concat(pick("w12", ["password", "changeme", "secret", "example1"])), "url"),
+        (F.concat(F.lit("https/"), w("w13"), F.lit("/"), w("w14"), F.lit("/"), F.substring(h("w15"), 1, 6)), "prose"),
     ]
 
     def choose(items: list, part: int) -> Column:
@@ -165,6 +214,7 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
             if part == 1:
                 value = {
                     "names": pick("v", names), "prose": pick("w", prose), "either": F.when(i % 4 < 2, pick("v", names)).otherwise(pick("w", prose)),
+                    "url": F.concat(pick("u1", ["postgres", "mysql", "https", "amqp", "DATABASE_URL=redis"]), F.lit("://"), pick("u2", ["admin", "app", "", "root"]), F.lit(":")),
                     "digest": pick("x", ["commit ", "sha256: ", "md5 = ", "checksum: ", "uuid=", "revision "]),
                 }[value]
             out = F.when(kind == k, value).otherwise(out)
@@ -174,7 +224,8 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     rows = spark.range(0, n, 1, 4).select(
         F.when(label == 1, choose(secret, 0)).otherwise(choose(harmless, 0)).alias("candidate"),
         F.when(label == 1, choose(secret, 1)).otherwise(choose(harmless, 1)).alias("before"),
-        F.when(label == 1, pick("y", ['"', "'", " ", '";'])).otherwise(pick("z", ['"', " ", ", ", "."])).alias("after"),
+        F.when(F.when(label == 1, choose(secret, 1)).otherwise(choose(harmless, 1)).rlike("://"), F.lit("@db.internal/app"))
+        .when(label == 1, pick("y", ['"', "'", " ", '";'])).otherwise(pick("z", ['"', " ", ", ", "."])).alias("after"),
         F.when((label == 0) & (i % 6 == 0), F.lit("tests/sample")).otherwise(pick("path", ["src/app", "crawl", "conf/prod", "src0"])).alias("path"),
         label.alias("label"),
     )
@@ -185,9 +236,11 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     return numbered.withColumn("label", F.when(sample, 0.0).otherwise(F.col("label"))).drop("id")
 
 
-def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 5, max_fit_rows: int = MAX_FIT_ROWS) -> RandomForestClassificationModel:
+def fit_forest(
+    findings: DataFrame, words: list[str] = (), trees: int = 30, depth: int = 8, seed: int = 5, max_fit_rows: int = MAX_FIT_ROWS
+) -> RandomForestClassificationModel:
     """A forest for findings with ``label`` 0 or 1; at most ``max_fit_rows`` of them, lowest hashes first."""
-    rows = described(findings.filter("candidate IS NOT NULL AND label IS NOT NULL"))
+    rows = described(findings.filter("candidate IS NOT NULL AND label IS NOT NULL"), list(words))
     rows = rows.orderBy(F.xxhash64("candidate", "before", "after"), "label").limit(max_fit_rows)
     rows = rows.select("label", *[F.col("features")[k].alias(f) for k, f in enumerate(FEATURES)])
     rows = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows).select("label", "vector")
@@ -195,42 +248,75 @@ def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int =
     return forest.fit(rows)
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, model: RandomForestClassificationModel | None = None, path: str = "source") -> DataFrame:
+class Scanner:
+    """A dictionary and the forest that was fitted with it."""
+
+    def __init__(self, words: list[str], model: RandomForestClassificationModel):
+        self.words, self.model = words, model
+
+
+def trained_scanner(spark: SparkSession, docs: DataFrame) -> Scanner:
+    """The dictionary of ``docs`` and its forest, loaded from the shared folder if it was fitted there before."""
+    words = corpus_words(docs)
+    key = hashlib.blake2b(f"{FINDINGS_VERSION}|{FEATURES}|{DICTIONARY}|{CANDIDATE}|{words}".encode(), digest_size=12).hexdigest()
+    path = f"{shared_dir(spark)}/lodestone-forest-{key}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        return Scanner(words, RandomForestClassificationModel.load(path))
+    model = fit_forest(labelled_findings(spark, words=words), words)
+    model.write().overwrite().save(path)
+    store.create(target, True).close()
+    return Scanner(words, model)
+
+
+def scan_secrets(spark: SparkSession, docs: DataFrame, scanner: Scanner | None = None, path: str = "source") -> DataFrame:
     """One row for each candidate of each row of ``docs``: its columns but text, ``nth``, ``candidate``, ``before``,
     ``after``, ``score`` (the forest's probability of a secret) and ``is_secret``.
 
     ``nth`` counts candidates of the row from 0 (before those without a digit or assignment are left out).  Null and
     empty texts have none, a null or missing path says nothing, and repeated rows report alike.  Columns of ``docs``
-    named like a result are replaced.  An empty table gives an empty result.
+    named like a result (in any case) are replaced.  An empty table gives an empty result.
     """
-    model = model or fit_forest(labelled_findings(spark))
-    taken = ("nth", "candidate", "before", "after", "score", "is_secret", "path_", "features", "vector", "rawPrediction", "probability", "prediction")
-    kept = [c for c in docs.columns if c != "text" and c not in taken]
+    scanner = scanner or trained_scanner(spark, docs)
+    taken = ("text", "nth", "candidate", "before", "after", "score", "is_secret")
+    kept = [c for c in docs.columns if c.lower() not in taken]
     source = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row") if kept else F.lit(None).alias("row"), source.alias("path"), "text")
-    rows = described(find_candidates(rows))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(None).alias("row"), source.alias("path"), "text")
+    rows = described(find_candidates(rows), scanner.words)
     rows = rows.withColumn("parts", F.struct(*[F.col("features")[k].alias(f) for k, f in enumerate(FEATURES)])).select("*", "parts.*")
-    rows = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows))
+    rows = scanner.model.transform(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows))
     score = vector_to_array("probability")[1]
-    columns = [F.col(f"row.{c}").alias(c) for c in kept]
+    columns = [F.col(f"row.`{c}`").alias(c) for c in kept]
     return rows.select(*columns, "nth", "candidate", "before", "after", score.alias("score"), (score >= THRESHOLD).alias("is_secret"))
 
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, model: RandomForestClassificationModel | None = None, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found secret in ``text`` replaced by ``mask``; other texts and all other columns as they are."""
+def redact_secrets(spark: SparkSession, docs: DataFrame, scanner: Scanner | None = None, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every candidate that is a found secret of its text replaced by ``mask``, where it stands.
+
+    Candidates equal to a found secret of the same text go too, whatever stands around them; the same characters inside
+    other words stay.  Other texts and all other columns are as they are; in texts with a secret control character 1
+    becomes a space.  Null and empty texts stay, repeated rows are treated alike, an empty table gives an empty result.
+    """
     path = [F.col("source")] if "source" in docs.columns else []
     hashed = docs.select(*path, "text", F.xxhash64("text").alias("text_hash"))
-    found = scan_secrets(spark, hashed, model).filter("is_secret").groupBy("text_hash").agg(F.collect_set("candidate").alias("secrets"))
-    # Longest first, so that a secret inside another one leaves no rest.
-    found = found.withColumn("secrets", F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a)))
+    found = scan_secrets(spark, hashed, scanner).filter("is_secret").groupBy("text_hash").agg(F.collect_set("candidate").alias("secrets"))
     found = Scratch(spark).save(found)
     total = found.agg(F.coalesce(F.sum(F.size("secrets")), F.lit(0))).first()[0]
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.join(F.broadcast(found) if total <= MAX_BROADCAST_SECRETS else found, "text_hash", "left")
-    clean = F.aggregate("secrets", F.col("row.text"), lambda t, s: F.replace(t, s, F.lit(mask)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("text_hash"))
+    if total <= MAX_BROADCAST_SECRETS:
+        rows = rows.join(F.broadcast(found), "text_hash", "left")
+    else:
+        rows = spread_join(rows, found, "text_hash", "left")
+
+    def masked(part: Column, nth: Column) -> Column:
+        key, candidate, rest = _cut(part)
+        return F.when((nth % 2 == 1) & F.array_contains("secrets", candidate), F.concat(key, F.lit(mask), rest)).otherwise(part)
+
+    clean = F.array_join(F.transform(_parts(F.col("row.text")), masked), "")
     text = F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(clean)
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in names])
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
