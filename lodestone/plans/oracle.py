@@ -2,93 +2,22 @@
 
 from __future__ import annotations
 
-from lodestone.functions.html import DROPPED, ENTITIES, GENERIC_ANCHORS, QUESTION_STARTS
-from lodestone.operators.checks import CHECKS, PRICE
+from lodestone.operators.checks import CHECKS, LIGHT
 from lodestone.operators.retrieval import STOP, TIERS
 from lodestone.operators.scoring import BRAND_GROUPS, FACTORS, GRADES, MEASURED, PAGE_WEIGHTS, SECTIONS
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def squeeze(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g'))"
-
-
-def unescape(x: str) -> str:
-    for name, char in ENTITIES:
-        x = f"replace({x}, {q(name)}, {q(char)})"
-    return x
-
-
-def stripped(x: str) -> str:
-    return squeeze(unescape(f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"))
-
-
-def visible(x: str) -> str:
-    for pattern in DROPPED:
-        x = f"regexp_replace({x}, {q(pattern)}, ' ', 'g')"
-    return squeeze(unescape(x))
-
-
-def count(x: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({x}, {q(pattern)}))"
-
-
-def meta(name: str, attribute: str = "name") -> str:
-    after = rf"regexp_extract(html, '(?is)<meta[^>]*\b{attribute}=[\"'']{name}[\"''][^>]*\bcontent=[\"'']([^\"''>]*)', 1)"
-    before = rf"regexp_extract(html, '(?is)<meta[^>]*\bcontent=[\"'']([^\"''>]*)[\"''][^>]*\b{attribute}=[\"'']{name}[\"'']', 1)"
-    return squeeze(unescape(f"CASE WHEN {after} <> '' THEN {after} ELSE {before} END"))
+from lodestone.plans.oracle_pages import FEATURES, GENERIC, HOST, q, squeeze
 
 
 def r(x: str, digits: int = 1) -> str:
     return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
-HOST = "regexp_extract(lower({0}), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)"
-GENERIC = ", ".join(map(q, GENERIC_ANCHORS))
-STARTS = " OR ".join(f"starts_with(lower(trim(h)), {q(s)})" for s in QUESTION_STARTS)
+def verdict(check) -> str:
+    return f"CASE WHEN coalesce(status BETWEEN 1 AND 299, true) THEN {check.status.replace(' div ', ' // ')} ELSE 'na' END"
 
-FEATURES = rf"""
-raw AS (SELECT page_id, url, coalesce(html, '') AS html, {HOST.format("url")} AS host, lower({meta("robots")}) AS robots FROM pages),
-lists AS (
-  SELECT *, list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*>(.*?)</a>', 1), lambda a: lower({stripped("a")})) AS anchors,
-    regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"''>]*)', 1) AS hrefs,
-    list_transform(regexp_extract_all(html, '(?is)<h[23]\b[^>]*>(.*?)</h[23]>', 1), lambda h: {stripped("h")}) AS subheads,
-    {visible("html")} AS text,
-    {squeeze(unescape("regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)"))} AS title,
-    {meta("description")} AS description
-  FROM raw),
-feats AS (
-  SELECT *, starts_with(lower(url), 'https://') AS is_https, length(title) AS n_title, length(description) AS n_description,
-    {count("html", r"(?i)<h1[ \t\n\r\f>]")} AS n_h1,
-    {stripped(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)")} AS first_h1,
-    regexp_extract(html, '(?is)<html[^>]*\blang=["'']([^"''>]*)', 1) AS lang,
-    regexp_extract(html, '(?is)<meta[^>]*\bname=["'']viewport["'']', 0) <> '' AS has_viewport,
-    regexp_matches(robots, 'noindex|none') AS noindex, regexp_matches(robots, 'nosnippet|max-snippet:0') AS nosnippet, contains(robots, 'noarchive') AS noarchive,
-    {count(r"regexp_extract(html, '(?is)<head\b.*?</head>', 0)", r"(?i)<script[^>]*\bsrc=|<link[^>]*\brel=[" + '"' + r"']stylesheet")} AS n_blocking,
-    {count("html", r"(?i)<(?:script|iframe)[^>]*\bsrc=[" + '"' + r"']http://|<link[^>]*\brel=[" + '"' + r"']stylesheet[" + '"' + r"'][^>]*\bhref=[" + '"' + r"']http://")} AS n_active_http,
-    {count("html", r"(?i)<(?:img|video|audio|source)[^>]*\bsrc=[" + '"' + r"']http://")} AS n_passive_http,
-    {count("html", r"(?i)<img[ \t\n\r\f]")} AS n_img,
-    {count("html", r"(?i)<img[ \t\n\r\f]")} - {count("html", r"(?i)<img[^>]*\bwidth=[^>]*\bheight=|<img[^>]*\bheight=[^>]*\bwidth=")} AS n_img_bare,
-    len(list_filter(hrefs, lambda u: (starts_with(u, '/') AND NOT starts_with(u, '//')) OR ({HOST.format("u")} = host AND host <> ''))) AS n_internal,
-    len(list_filter(anchors, lambda t: t IN ({GENERIC}))) AS n_generic,
-    CAST({meta("og:title", "property")} <> '' AS INT) + CAST({meta("og:description", "property")} <> '' AS INT) + CAST({meta("og:image", "property")} <> '' AS INT) AS n_og,
-    {count("html", r"(?i)<link[^>]*\bhreflang=")} AS n_hreflang,
-    {count("html", r"(?i)<script[^>]*application/ld\+json")} AS n_jsonld,
-    {count("html", r"(?i)<article[ \t\n\r\f>]")} AS n_article,
-    CAST(coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<(?:nav|footer|header)\b.*?</(?:nav|footer|header)>'), lambda b: {count("b", r"(?i)<a[ \t\n\r\f]")})), 0) AS BIGINT) AS n_chrome_links,
-    len(hrefs) AS n_links, {count("html", r"(?i)<li[ \t\n\r\f>]")} AS n_li,
-    len(list_filter(anchors, lambda t: contains(t, 'about'))) > 0 AS has_about, len(list_filter(anchors, lambda t: contains(t, 'contact'))) > 0 AS has_contact,
-    len(list_filter(anchors, lambda t: regexp_matches(t, 'editorial|policy|corrections'))) > 0 AS has_policy,
-    CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words,
-    len(subheads) AS n_subheads, len(list_filter(subheads, lambda h: contains(h, '?') OR {STARTS})) AS n_questions,
-    {count("text", PRICE)} AS n_prices, regexp_matches(text, '\bBy [A-Z]') AS has_byline
-  FROM lists)"""
 
 CHECK_ROWS = " UNION ALL ".join(
-    f"SELECT page_id, host, {k} AS ord, {q(c.id)} AS check_id, {q(c.id[0])} AS section, {c.status} AS status, {q(c.severity)} AS severity FROM feats"
+    f"SELECT page_id, host, {k} AS ord, {q(c.id)} AS check_id, {q(c.id[0])} AS section, {verdict(c)} AS status, {q(c.severity)} AS severity FROM feats"
     for k, c in enumerate(CHECKS)
 )
 FINDINGS = FEATURES + f",\nfindings AS ({CHECK_ROWS})"
@@ -208,6 +137,8 @@ URL_KEY = r"regexp_replace(lower(regexp_extract(u, '^([^/]*//[^/]*)?', 0)) || re
 ORACLE = {
     "page_features": f"WITH {FEATURES} SELECT page_id, host, is_https, title, n_title, n_h1, first_h1, lang, words, n_links, n_internal, n_chrome_links, n_generic, n_li, n_article, has_byline, md5(text) AS text_md5 FROM feats",
     "page_checks_long": f"WITH {FINDINGS} SELECT page_id, ord, check_id, section, status, severity FROM findings",
+    "light_checks_long": f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT page_id, {q(c.id)} AS check_id, {verdict(c)} AS status FROM feats" for c in LIGHT),
+    "page_signals": f"WITH {FEATURES} SELECT page_id, array_to_string(directives, ';') AS directives, canonical, canonical_self, n_nested_h1, n_skipped, n_faq_visible, faq_method, n_faq_schema, n_faq_matched, n_entities, n_without_id, n_people, n_credentialed, array_to_string(authors, ';') AS authors, n_local, n_local_geo, city_key, city_in_title, n_locales, n_schema_prices, n_fresh, n_stale, n_profiles, n_disguised, has_about, has_contact, has_policy, n_schema_authors FROM feats",
     "section_status_counts": f"WITH {FINDINGS} SELECT page_id AS audit_id, section, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in ("pass", "warn", "fail", "na")) + " FROM findings GROUP BY page_id, section",
     "section_scores": f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT audit_id, '{s}' AS section, score_{s} AS score FROM scored" for s in SECTIONS),
     "audit_scorecard": f"WITH {SCORES}, {BAP} SELECT audit_id, host, pcr, {grade('pcr')} AS grade, n_fail, n_warn, bap, bap_confidence, {r('pcr * 0.8::DOUBLE + coalesce(bap, pcr) * 0.2::DOUBLE')} AS combined FROM scored LEFT JOIN bap USING (audit_id)",
@@ -218,7 +149,7 @@ named AS (SELECT page_id AS audit_id, status, CASE check_id WHEN 'D1_structured_
 per AS (SELECT audit_id, {_fractions} FROM (SELECT *, {_factor} AS factor FROM named) GROUP BY audit_id),
 gated AS (SELECT page_id AS audit_id, CASE WHEN page_id % 5 <> 0 THEN page_id % 7 <> 0 END AS bots, words >= 300 AS rendered, is_https FROM feats),
 listed AS (SELECT *, concat_ws(',', CASE WHEN bots = false THEN 'ai_bot_allowed' END, CASE WHEN NOT is_https THEN 'https' END, CASE WHEN NOT rendered THEN 'server_rendered' END) AS failed_gates FROM gated)
-SELECT audit_id, CASE WHEN audit_id % 11 = 0 THEN NULL WHEN failed_gates <> '' THEN 0.0 ELSE {r(f'greatest(least({_cite} * 100, 100), 0)')} END AS cite_score, failed_gates,
+SELECT audit_id, CASE WHEN audit_id % 11 = 0 THEN NULL WHEN failed_gates <> '' THEN 0.0 WHEN {_cite} IS NULL THEN NULL ELSE {r(f'greatest(least({_cite} * 100, 100), 0)')} END AS cite_score, failed_gates,
   CASE WHEN audit_id % 3 = 0 THEN 'local_service' ELSE 'product' END AS business_type, CASE WHEN audit_id % 3 = 0 THEN 1.0 ELSE 0.4 END AS own_site_weight FROM listed LEFT JOIN per USING (audit_id)""",
     "legacy_composites": f"WITH {SCORES} SELECT audit_id, {r(weighted({s: f'score_{s}' for s in 'ABCD'}, {'A': .3, 'B': .2, 'C': .25, 'D': .25}))} AS seo_score, {r(weighted({s: f'score_{s}' for s in 'EFGH'}, {'E': .3, 'F': .3, 'G': .2, 'H': .2}))} AS aeo_score, {r(weighted({s: f'score_{s}' for s in 'FEDG'}, {'F': .35, 'E': .25, 'D': .25, 'G': .15}))} AS citation_readiness FROM scored",
     "latest_audit_per_domain": f"WITH {AUDITS} SELECT domain, audit_id, score, grade FROM audits QUALIFY row_number() OVER (PARTITION BY domain ORDER BY audit_id DESC) = 1",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import html as H
 from lodestone.functions.rounding import py_round
 from lodestone.operators import checks, clusters, crawl, retrieval, scoring, store, visibility
+from lodestone.plans import enriched
 from lodestone.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,12 +31,23 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The moment that dates are compared with.
+AS_OF = "2026-06-20 12:00:00"
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Crawled pages with what they lack, and their responses."""
+    rows = read(spark, folder, "pages").selectExpr(*enriched.select("locate('://', url)"))
+    headers = F.map_filter(F.create_map(*[x for name, c in enriched.HEADERS.items() for x in (F.lit(name), F.col(c))]), lambda _, v: v.isNotNull())
+    return rows.withColumn("headers", headers)
+
+
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.page_features(read(spark, folder, "pages"))
+    return checks.page_features(pages(spark, folder), F.lit(AS_OF).cast("timestamp"))
 
 
-def findings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = checks.page_checks(features(spark, folder)).withColumnRenamed("page_id", "audit_id")
+def findings(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
+    rows = checks.page_checks(features(spark, folder) if found is None else found).withColumnRenamed("page_id", "audit_id")
     return rows.withColumn("observed_method", scoring.observed_method(F.col("check_id"), F.lit(False)))
 
 
@@ -53,6 +65,19 @@ def audits(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.join(scores, "audit_id").withColumn("created", F.col("audit_id"))
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the cluster's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` written and read again, for what is used more than once."""
+    at = shared_folder(rows.sparkSession, "tables")
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 @query
 def page_features(spark, folder):
     return features(spark, folder).select(
@@ -101,8 +126,8 @@ def bap_scores(spark, folder):
 
 @query
 def cite_readiness(spark, folder):
-    f = features(spark, folder)
-    rows = findings(spark, folder).withColumn("check_id", F.when(F.col("check_id") == "D1_structured_data", "D9_x").when(F.col("check_id") == "F6b_question_headings", "F6_x").otherwise(F.col("check_id")))
+    f = once(features(spark, folder))
+    rows = findings(spark, folder, f).withColumn("check_id", F.when(F.col("check_id") == "D1_structured_data", "D9_x").when(F.col("check_id") == "F6b_question_headings", "F6_x").otherwise(F.col("check_id")))
     gates = f.select(
         F.col("page_id").alias("audit_id"),
         F.when(F.col("page_id") % 5 != 0, F.col("page_id") % 7 != 0).alias("ai_bot_allowed"),
@@ -131,8 +156,9 @@ def audit_history(spark, folder):
 
 @query
 def audit_delta(spark, folder):
-    pairs = store.with_prior(audits(spark, folder).select("audit_id", "domain", "created")).filter("prior_id IS NOT NULL").select("audit_id", "prior_id")
-    return store.delta_summary(store.delta(pairs, findings(spark, folder)))
+    hosts = read(spark, folder, "pages").select(F.col("page_id").alias("audit_id"), H.host_of(F.col("url")).alias("domain"), F.col("page_id").alias("created"))
+    pairs = store.with_prior(hosts).filter("prior_id IS NOT NULL").select("audit_id", "prior_id")
+    return store.delta_summary(store.delta(pairs, once(findings(spark, folder).select("audit_id", "ord", "check_id", "status"))))
 
 
 @query
@@ -153,7 +179,7 @@ def check_summary(spark, folder):
 
 @query
 def anchor_text_generic(spark, folder):
-    rows = read(spark, folder, "pages").select(F.explode(H.anchor_texts(F.col("html"))).alias("anchor"))
+    rows = pages(spark, folder).select(F.explode(H.anchor_texts(F.col("html"))).alias("anchor"))
     return rows.filter(F.col("anchor").isin(H.GENERIC_ANCHORS)).groupBy("anchor").agg(F.count("*").alias("n"))
 
 
@@ -439,8 +465,7 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 def _drained(rows: DataFrame, name: str) -> DataFrame:
     """What a stream has written once its source is used up: each batch's whole result replaces the last one's files."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    at = f"{base.rstrip('/')}/streams/{name}/{uuid.uuid4().hex}"
+    at = shared_folder(spark, f"streams/{name}")
     # A source without files makes no batch.
     spark.createDataFrame([], rows.schema).write.parquet(f"{at}/out")
     started = rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out"))
@@ -462,3 +487,19 @@ def stream_monthly_usage(spark, folder):
 @query
 def stream_sessions(spark, folder):
     return _drained(jobs.sessions(_stream(spark, folder)), "sessions")
+
+
+@query
+def light_checks_long(spark, folder):
+    """The checks of the light profile."""
+    return checks.page_checks(features(spark, folder), checks.LIGHT).select("page_id", "check_id", "status")
+
+
+@query
+def page_signals(spark, folder):
+    """What the checks look at, page by page: directives, canonical links, questions, structured data."""
+    return features(spark, folder).select(
+        "page_id", F.array_join("directives", ";").alias("directives"), "canonical", "canonical_self", "n_nested_h1", "n_skipped", "n_faq_visible", "faq_method", "n_faq_schema",
+        "n_faq_matched", "n_entities", "n_without_id", "n_people", "n_credentialed", F.array_join("authors", ";").alias("authors"), "n_local", "n_local_geo", "city_key",
+        "city_in_title", "n_locales", "n_schema_prices", "n_fresh", "n_stale", "n_profiles", "n_disguised", "has_about", "has_contact", "has_policy", "n_schema_authors",
+    )
