@@ -42,7 +42,7 @@ REACH = LENGTH - GRAM  # an anchor is at most so far from a window's start
 HOT_GROUP = 2_048
 #: Texts with more than one part in so many of all rows as copies are read from one row each; fewer than this can be.
 MANY_COPIES = 1_000_000
-#: Places or spans (8 and 16 bytes) that are broadcast at most; beyond, texts are joined with them by shuffle.
+#: Places or spans (12 and 32 bytes) that are broadcast at most; beyond, texts are joined with them by shuffle.
 MAX_BROADCAST_PLACES = 3_000_000
 #: Hot groups that are broadcast at most.
 MAX_HOT_GROUPS = 100_000
@@ -250,7 +250,7 @@ _NAMES = ["hash", "text_hash", "start", "lo", "hi", "before", "context"]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each wanted place of a text: what its windows reach.  A tied window's place is its own start."""
+    """One row for each wanted place of a text: what its windows reach.  A tied window's place is its own start, with all bits turned."""
     seen: set[int] = set()
     for batch in batches:
         for row in range(batch.num_rows):
@@ -259,9 +259,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             seen.add(name)
             text = (batch.column(0)[row].as_py() or "").encode()
-            places = batch.column(2)[row].values
-            start, hashes = (places.field(c).to_numpy() for c in ("start", "hash"))
-            hi = np.where(places.field("tied").to_numpy(zero_copy_only=False), 0, REACH).astype(np.int32)
+            place, hashes = (batch.column(k)[row].values.to_numpy() for k in (2, 3))
+            start, hi = np.where(place < 0, ~place, place).astype(np.int64), np.where(place < 0, 0, REACH).astype(np.int32)
             before = np.minimum(start, hi).astype(np.int32)
             found = [text[s - b : s + LENGTH] for s, b in zip(start.tolist(), before.tolist(), strict=True)]
             columns = [hashes, np.full(len(start), name), start, np.zeros(len(start), np.int32), hi, before]
@@ -399,8 +398,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot_g
     starts = found.filter("kind <= 2").select("hash", "text_hash", "start", (F.col("kind") > 0).alias("tied"))
     wanted = scratch.save(_twice(starts))
     places = scratch.save(spread_join(starts, wanted.select("hash"), "hash", sizes=wanted, by=("text_hash", "start")).distinct())
-    lists = scratch.save(places.groupBy("text_hash").agg(F.collect_list(F.struct("start", "hash", "tied")).alias("places")))
-    read = _join_lists(texts, lists, "places").select("text", "text_hash", "places")
+    place = F.when(F.col("tied"), F.bitwise_not("start")).otherwise(F.col("start")).cast("int")
+    lists = places.groupBy("text_hash").agg(F.collect_list(F.struct(place.alias("place"), "hash")).alias("found"))
+    lists = scratch.save(lists.select("text_hash", F.col("found.place").alias("places"), F.col("found.hash").alias("hashes")))
+    read = _join_lists(texts, lists, "places").select("text", "text_hash", "places", "hashes")
     contexts = scratch.save(read.mapInArrow(_contexts, _CONTEXT))
     spans = _group_spans(scratch, contexts, hot_group)
     spans.append(found.filter("kind = 3").select("text_hash", "start", "stop"))
