@@ -114,7 +114,10 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
 def _parts(text: Column) -> Column:
     """A text cut at its candidates: every second part is one, with its name if it is an assignment."""
     plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
-    return F.split(F.regexp_replace(plain, CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    # Without these marks there is no key block and no URL, and the search needn't try them at every place.
+    rare = plain.contains("://") | plain.contains("-----BEGIN")
+    marked = lambda pattern: F.regexp_replace(plain, pattern, f"{_MARK}$0{_MARK}")
+    return F.split(F.when(rare, marked(CANDIDATE)).otherwise(marked(f"{ASSIGNED}|{RUN}")), _MARK, -1)
 
 
 def _cut(hit: Column) -> tuple[Column, Column, Column]:
