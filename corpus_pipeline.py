@@ -14,28 +14,35 @@ from lodestone.llm._scratch import Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from ``labels`` outside the held-out fold."""
+    """Documents that the quality classifier accepts; it learns from ``labels`` outside the held-out fold.
+
+    A null text counts as empty, repeated rows are judged alike, an empty table stays empty, and without usable labels
+    every document is accepted (its score is 0.5).
+    """
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(quality.quality_score(model, F.col("text")) >= quality.THRESHOLD)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    """One document of each group of near-duplicates, that of the smallest doc_id.
+
+    Texts without words, null ones included, have no duplicates, but equal rows of them are one; see ``drop_near_duplicates``.
+    """
     return jaccard_join.drop_near_duplicates(spark, docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, found secrets masked in their texts."""
+    """All documents, found secrets masked in their texts; null and empty texts stay, repeated rows are treated alike."""
     return secrets.redact_secrets(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: null and empty texts weigh nothing, a null source is one of its own."""
     return mixing.write_mix(spark, docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's doc_id, lang, source, token ids, their number, and a digest of their decoded text."""
+    """Every row's doc_id, lang, source, token ids, their number, and a digest of their decoded text; no ids for null and empty texts."""
     done = bpe.encode_digests(spark, docs, names=("doc_id", "lang", "source"), with_ids=True)
     return done.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
