@@ -48,7 +48,7 @@ def _pattern_regex(pattern: Column) -> Column:
 
 
 def robots_access(rules: DataFrame, paths: DataFrame, bots: list[str] = BOTS) -> DataFrame:
-    """``host, path, bot, allowed``: whether each bot may fetch each path (host, path); null without a rule.
+    """``host, path, bot, allowed``: whether each bot may fetch each path (host, path); what no rule forbids is allowed.
 
     A group's token is a case-insensitive beginning of the bot's name; the longest tokens win and ``*`` counts only
     where none fits.  The longest fitting pattern decides, allow before disallow; an empty disallow allows all.
@@ -66,15 +66,93 @@ def robots_access(rules: DataFrame, paths: DataFrame, bots: list[str] = BOTS) ->
     allows = (F.col("directive") == "allow") | empty
     length = F.when(empty, 0).otherwise(F.length("pattern"))
     verdict = F.max(F.when(F.coalesce(hit, F.lit(False)), F.struct(length.alias("n"), allows.alias("allows"))))
-    known = F.count("directive") > 0
-    out = met.groupBy("host", "path", "bot").agg(verdict.alias("v"), known.alias("known"))
-    return out.select("host", "path", "bot", F.when(F.col("v").isNotNull(), F.col("v.allows")).when(F.col("known"), True).alias("allowed"))
+    out = met.groupBy("host", "path", "bot").agg(verdict.alias("v"))
+    return out.select("host", "path", "bot", F.coalesce(F.col("v.allows"), F.lit(True)).alias("allowed"))
 
 
-def gate_access(access: DataFrame) -> DataFrame:
-    """``host, path, ai_bot_allowed``: false where any gate bot is denied, null where nothing is known."""
+def gate_access(access: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``host, path, ai_bot_allowed``: false where any gate bot is denied.
+
+    With ``files`` (host, code) it is null where the robots file could not be read (no response, or one of 500 and more);
+    a file that isn't there (400 to 499) forbids nothing.
+    """
     rows = access.filter(F.col("bot").isin(GATE_BOTS))
-    return rows.groupBy("host", "path").agg(F.bool_and("allowed").alias("ai_bot_allowed"))
+    out = rows.groupBy("host", "path").agg(F.bool_and("allowed").alias("ai_bot_allowed"))
+    if files is None:
+        return out
+    lost = files.filter("code = 0 OR code >= 500").select("host", F.lit(True).alias("lost")).distinct()
+    return out.join(lost, "host", "left").select("host", "path", F.when(F.col("lost").isNull(), F.col("ai_bot_allowed")).alias("ai_bot_allowed"))
+
+
+# The checks that ask whether crawlers are let in, and the crawlers of each.
+BOT_CHECKS = {"E1": ["PerplexityBot"], "E2": ["BingPreview"], "E3": ["Googlebot"], "E10": ["ClaudeBot", "ChatGPT-User", "Applebot"], "E13": ["CCBot"], "A10": ["Googlebot", "Bingbot"]}
+
+
+def robots_findings(access: DataFrame, files: DataFrame) -> DataFrame:
+    """``host, path, check_id, status``: fail where any of a check's crawlers is denied; A11 asks for a declared sitemap.
+
+    na where the robots file could not be read.  ``files``: host, code, body.
+    """
+    rows = [F.struct(F.lit(c).alias("check_id"), F.array(*map(F.lit, bots)).alias("bots")) for c, bots in BOT_CHECKS.items()]
+    by_bot = access.groupBy("host", "path").agg(F.collect_set(F.when(~F.col("allowed"), F.col("bot"))).alias("denied"))
+    known = files.select("host", F.col("code").between(1, 499).alias("read"), (F.col("code").between(200, 299) & F.col("body").rlike(r"(?im)^\s*sitemap\s*:")).alias("declares"))
+    by_bot = by_bot.join(known, "host")
+    found = by_bot.select("host", "path", "denied", "read", F.inline(F.array(*rows)))
+    found = found.select("host", "path", "check_id", F.when(~F.col("read"), "na").when(F.arrays_overlap("bots", "denied"), "fail").otherwise("pass").alias("status"))
+    maps = by_bot.select("host", "path", F.lit("A11").alias("check_id"), F.when(~F.col("read"), "na").when(F.col("declares"), "pass").otherwise("warn").alias("status"))
+    return found.unionByName(maps)
+
+
+def robots_checks(access: DataFrame, files: DataFrame) -> DataFrame:
+    """``host, path, check, status`` of the robots file itself: reachable, declares_sitemap, googlebot, ai_crawlers_all, target_path."""
+    ai = ["GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Google-Extended", "Applebot-Extended", "CCBot"]
+    by_path = access.groupBy("host", "path").agg(
+        F.bool_and(F.when(F.col("bot") == "Googlebot", F.col("allowed"))).alias("google"), F.count_if(F.col("bot").isin(ai) & ~F.col("allowed")).alias("n_ai"), F.bool_and("allowed").alias("all"),
+    )
+    code = F.col("code")
+    rows = by_path.join(files, "host")
+    band = lambda ok, bad: F.when((code == 0) | (code >= 500), "na").when(ok, "pass").otherwise(bad)
+    checks = {
+        "reachable": F.when(code.between(200, 299), "pass").when(code.isin(404, 410), "warn").otherwise("fail"),
+        "declares_sitemap": band(code.between(200, 299) & F.col("body").rlike(r"(?im)^\s*sitemap\s*:"), "warn"),
+        "googlebot": band(F.col("google"), "fail"),
+        "ai_crawlers_all": F.when((code == 0) | (code >= 500), "na").when(F.col("n_ai") == 0, "pass").when(F.col("n_ai") < len(ai), "warn").otherwise("fail"),
+        "target_path": F.when((code == 0) | (code >= 500), "na").when(code.between(400, 499), "warn").when(F.col("all"), "pass").otherwise("fail"),
+    }
+    return rows.select("host", "path", F.inline(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items()])))
+
+
+def sitemap_sources(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """``host, source, sitemap``: where each host's sitemaps are: declared in its robots file, else at the usual places.
+
+    ``files``: host, body.  ``probes``: host, path, code.  All declared ones count; of the usual ones the first that answers.
+    """
+    declared = files.select("host", F.explode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))).alias("sitemap"))
+    usual = F.when(F.col("path") == "/sitemap.xml", 1).when(F.col("path") == "/sitemap_index.xml", 2)
+    found = probes.withColumn("rank", usual).filter("rank IS NOT NULL AND code BETWEEN 200 AND 299")
+    found = found.join(declared.select("host").distinct(), "host", "left_anti").groupBy("host").agg(F.min_by("path", "rank").alias("sitemap"))
+    return declared.distinct().select("host", F.lit("robots").alias("source"), "sitemap").unionByName(found.select("host", F.lit("usual").alias("source"), "sitemap"))
+
+
+def sitemap_checks(urls: DataFrame, targets: DataFrame, probes: DataFrame) -> DataFrame:
+    """``host, urls, target, one_domain, size, alive``: each host's sitemap against its target page (host, url).
+
+    ``urls``: host, loc.  ``probes``: loc, code of a sample.  Other domains count among all URLs; alive is judged by the
+    probed ones: pass from 90 percent on, warn from 70.
+    """
+    key = lambda c: F.regexp_replace(F.lower(c), r"/+$", "")
+    own = urls.join(probes, "loc", "left").join(targets, "host", "left")
+    host_of = F.regexp_extract(F.lower("loc"), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1)
+    sums = own.groupBy("host").agg(
+        F.count("*").alias("urls"), F.bool_or(key(F.col("loc")) == key(F.col("url"))).alias("has"), F.count_if(host_of != F.col("host")).alias("others"),
+        F.count("code").alias("probed"), F.count_if(F.col("code").between(200, 399)).alias("good"),
+    )
+    share = F.col("good") / F.nullif(F.col("probed"), F.lit(0))
+    alive = F.when(share.isNull(), "na").when(share >= 0.9, "pass").when(share >= 0.7, "warn").otherwise("fail")
+    return sums.select(
+        "host", "urls", F.when(F.coalesce("has", F.lit(False)), "pass").otherwise("fail").alias("target"), F.when(F.col("others") == 0, "pass").otherwise("fail").alias("one_domain"),
+        F.when(F.col("urls") <= 50_000, "pass").otherwise("fail").alias("size"), alive.alias("alive"),
+    )
 
 
 def sitemap_entries(maps: DataFrame) -> DataFrame:
@@ -177,7 +255,7 @@ def mobile_parity(desktop: DataFrame, mobile: DataFrame) -> DataFrame:
     return rows.select("page_id", py_round(ratio, 2).alias("ratio"), lost.alias("lost_headings"), status.alias("status"))
 
 
-_ENTITY = "page_id long, block int, path string, depth int, type string, entity_id string, body string"
+_ENTITY = "page_id long, block int, path string, depth int, type string, entity_id string, body string, types array<string>"
 
 
 def _walk(node, path: str, depth: int) -> Iterator[tuple[str, int, dict]]:
@@ -193,26 +271,28 @@ def _walk(node, path: str, depth: int) -> Iterator[tuple[str, int, dict]]:
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "block", "path", "depth", "type", "entity_id", "body"]
+    names = ["page_id", "block", "path", "depth", "type", "entity_id", "body", "types"]
     for batch in batches:
         rows = []
         for page, block, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             try:
                 parsed = json.loads(raw)
             except ValueError:
-                rows.append((page, block, "$", 0, None, None, None))
+                rows.append((page, block, "$", 0, None, None, None, None))
                 continue
             for path, depth, node in _walk(parsed, "$", 0):
                 kinds = node["@type"] if isinstance(node["@type"], list) else [node["@type"]]
-                rows += [(page, block, path, depth, str(k), node.get("@id"), json.dumps(node)) for k in kinds[:1]]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                kinds = [str(k) for k in kinds]
+                rows.append((page, block, path, depth, next(iter(kinds), None), node.get("@id"), json.dumps(node), kinds))
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def jsonld_entities(pages: DataFrame) -> DataFrame:
-    """``page_id, block, path, depth, type, entity_id, body``: typed nodes of each page's JSON-LD, five levels deep.
+    """``page_id, block, path, depth, type, entity_id, body, types``: typed nodes of each page's JSON-LD, five levels deep.
 
-    ``@graph`` costs no level.  A block that is no JSON gives one row with a null type.
+    ``@graph`` costs no level.  ``type`` is the first of the types.  A block that is no JSON gives one row with null types.
+    Only blocks go to Python, not pages.
     """
     blocks = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     rows = pages.select("page_id", F.posexplode(blocks).alias("block", "raw"))
@@ -220,15 +300,42 @@ def jsonld_entities(pages: DataFrame) -> DataFrame:
 
 
 def entity_status(entities: DataFrame, specs: DataFrame) -> DataFrame:
-    """Each entity against its type's fields (type, tier, field): invalid, incomplete, valid or no_spec."""
-    need = specs.groupBy("type").agg(*[F.collect_set(F.when(F.col("tier") == t, F.col("field"))).alias(t) for t in ("required", "recommended")])
-    rows = entities.filter("type IS NOT NULL").join(need, "type", "left")
+    """Each entity against its type's fields (type, tier, field): invalid, incomplete, valid or no_spec.
+
+    Tiers are required, google_required and recommended.  Of several types the first that has fields counts, else the first.
+    """
+    sets = {t: F.collect_set(F.when(F.col("tier") == t, F.col("field"))) for t in ("required", "google_required", "recommended")}
+    need = specs.groupBy("type").agg(*[v.alias(k) for k, v in sets.items()])
+    key = ["page_id", "block", "path"]
+    rows = entities.filter("types IS NOT NULL")
+    kinds = rows.select(*key, F.posexplode("types").alias("at", "kind")).join(need.select(F.col("type").alias("kind")), "kind")
+    chosen = kinds.groupBy(*key).agg(F.min_by("kind", "at").alias("known"))
+    rows = rows.join(chosen, key, "left").withColumn("type", F.coalesce("known", "type")).join(need, "type", "left")
     held = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
     missing = lambda t: F.size(F.array_except(F.coalesce(t, F.array().cast("array<string>")), held))
     status = (
         F.when(F.col("required").isNull(), "no_spec")
-        .when(missing(F.col("required")) > 0, "invalid")
+        .when((missing(F.col("required")) > 0) | (missing(F.col("google_required")) > 0), "invalid")
         .when(missing(F.col("recommended")) > 0, "incomplete")
         .otherwise("valid")
     )
     return rows.select("page_id", "block", "path", "type", status.alias("status"))
+
+
+def schema_checks(entities: DataFrame, states: DataFrame) -> DataFrame:
+    """``page_id, parse, present, no_invalid, ids, recommended, known_types`` of each page that has structured data.
+
+    ``states`` are those of ``entity_status``.
+    """
+    judged = states.groupBy("page_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("invalid", "incomplete", "valid", "no_spec")])
+    sums = entities.groupBy("page_id").agg(
+        F.count_if(F.col("types").isNull()).alias("bad"), F.count("types").alias("n"), F.count_if(F.col("types").isNotNull() & (F.coalesce("entity_id", F.lit("")) == "")).alias("bare"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = sums.join(judged, "page_id", "left")
+    state = lambda ok, bad="fail": F.when(F.col("n") == 0, "na").when(ok, "pass").otherwise(bad)
+    return rows.select(
+        "page_id", F.when(F.col("bad") == 0, "pass").otherwise("fail").alias("parse"), F.when(F.col("n") > 0, "pass").otherwise("fail").alias("present"), state(zero("invalid") == 0).alias("no_invalid"),
+        F.when(F.col("n") == 0, "na").when(F.col("bare") == 0, "pass").when(2 * F.col("bare") >= F.col("n"), "fail").otherwise("warn").alias("ids"),
+        state(zero("incomplete") == 0, "warn").alias("recommended"), state(zero("no_spec") == 0, "warn").alias("known_types"),
+    )

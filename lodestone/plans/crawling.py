@@ -1,0 +1,218 @@
+"""Queries of what crawlers may see and did see, of the store's writes, and of streams, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import html as H
+from lodestone.operators import crawl, store
+from lodestone.plans.oracle import HOST, ORACLE, r
+from lodestone.plans.queries import _drained, _stream, pages, query, read
+from lodestone.streaming import jobs
+
+#: A robots file for each host, in SQL that both engines read; {nl} is a line break.
+_FILES = (
+    "CASE WHEN length(host) % 7 = 3 THEN 503 WHEN length(host) % 7 = 4 THEN 404 ELSE 200 END AS code, "
+    "CASE WHEN length(host) % 7 = 4 THEN '' WHEN host LIKE 'm.%' THEN concat('User-agent: *{nl}Disallow: /de/{nl}Allow: /de/1{nl}Sitemap: https://', host, '/s.xml{nl}sitemap: /t.xml') "
+    "WHEN length(host) % 2 = 0 THEN 'User-agent: CCBot{nl}User-agent: GPTBot{nl}Disallow: /{nl}' ELSE '# none' END AS body"
+)
+
+
+def _paths(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "pages").select("page_id", "url", H.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"://[^/?#]*([^#]*)", 1).alias("path"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    columns = _FILES.replace("{nl}", "\\n")
+    code, body = columns.split(" AS code, ")
+    return _paths(spark, folder).select("host").distinct().selectExpr("host", f"{code} AS code", body)
+
+
+def _access(spark: SparkSession, folder: str) -> DataFrame:
+    return crawl.robots_access(crawl.robots_rules(_files(spark, folder)), _paths(spark, folder))
+
+
+_PATHS = f"paths AS (SELECT DISTINCT {HOST.format('url')} AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS path FROM pages)"
+_ACCESS = f"""WITH {_PATHS},
+files AS (SELECT host, {_FILES.replace("{nl}", chr(10))} FROM (SELECT DISTINCT host FROM paths)),
+denied AS (SELECT p.host, p.path, code, body, body LIKE '%Disallow: /de/%' AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/1') AS every, body LIKE '%CCBot%' AS parts FROM paths p JOIN files USING (host))"""
+
+
+@query
+def robots_findings(spark, folder):
+    return crawl.robots_findings(_access(spark, folder), _files(spark, folder))
+
+
+ORACLE["robots_findings"] = _ACCESS + """, checks AS (SELECT unnest(['E1', 'E2', 'E3', 'E10', 'E13', 'A10', 'A11']) AS check_id)
+SELECT host, path, check_id, CASE WHEN code >= 500 THEN 'na' WHEN check_id = 'A11' THEN CASE WHEN code = 200 AND contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END WHEN every OR (parts AND check_id = 'E13') THEN 'fail' ELSE 'pass' END AS status FROM denied, checks"""
+
+
+@query
+def robots_checks(spark, folder):
+    return crawl.robots_checks(_access(spark, folder), _files(spark, folder))
+
+
+ORACLE["robots_checks"] = _ACCESS + """, checks AS (SELECT unnest(['reachable', 'declares_sitemap', 'googlebot', 'ai_crawlers_all', 'target_path']) AS name)
+SELECT host, path, name AS "check", CASE WHEN name = 'reachable' THEN CASE code WHEN 200 THEN 'pass' WHEN 404 THEN 'warn' ELSE 'fail' END WHEN code >= 500 THEN 'na'
+  WHEN name = 'declares_sitemap' THEN CASE WHEN code = 200 AND contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END WHEN name = 'googlebot' THEN CASE WHEN every THEN 'fail' ELSE 'pass' END
+  WHEN name = 'ai_crawlers_all' THEN CASE WHEN every THEN 'fail' WHEN parts THEN 'warn' ELSE 'pass' END WHEN code = 404 THEN 'warn' WHEN every OR parts THEN 'fail' ELSE 'pass' END AS status FROM denied, checks"""
+
+
+@query
+def robots_gate(spark, folder):
+    return crawl.gate_access(_access(spark, folder), _files(spark, folder).select("host", "code"))
+
+
+ORACLE["robots_gate"] = _ACCESS + " SELECT host, path, CASE WHEN code < 500 THEN NOT every AND NOT parts END AS ai_bot_allowed FROM denied"
+
+
+@query
+def sitemap_sources(spark, folder):
+    hosts = _files(spark, folder)
+    probes = hosts.selectExpr("host", "inline(array(named_struct('path', '/sitemap_index.xml', 'code', 200), named_struct('path', '/sitemap.xml', 'code', IF(length(host) % 3 = 0, 200, 404))))")
+    return crawl.sitemap_sources(hosts, probes)
+
+
+ORACLE["sitemap_sources"] = _ACCESS + """, m AS (SELECT host FROM files WHERE contains(body, 'Sitemap:'))
+SELECT host, 'robots' AS source, 'https://' || host || '/s.xml' AS sitemap FROM m UNION ALL SELECT host, 'robots', '/t.xml' FROM m
+UNION ALL SELECT host, 'usual', CASE WHEN length(host) % 3 = 0 THEN '/sitemap.xml' ELSE '/sitemap_index.xml' END FROM files WHERE host NOT IN (SELECT host FROM m)"""
+
+
+def _sitemaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Two files for each host: an index and a list of its pages' URLs, two in three of them dated."""
+    date = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<lastmod>2026-01-0"), F.col("page_id") % 9 + 1, F.lit("</lastmod>"))).otherwise("")
+    loc = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<![CDATA["), F.col("url"), F.lit("]]>"))).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    rows = _paths(spark, folder).withColumn("entry", F.concat(F.lit("<url><loc>"), loc, F.lit("</loc>"), date, F.lit("</url>")))
+    lists = rows.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("entry")), "").alias("entries"))
+    files = lists.select("host", F.lit("list.xml").alias("sitemap"), F.concat(F.lit('<urlset xmlns="http://s.example/x">'), "entries", F.lit("</urlset>")).alias("body"))
+    index = lists.select("host", F.lit("index.xml").alias("sitemap"), F.lit("<sitemapindex><sitemap><loc>list.xml</loc></sitemap><sitemap><loc>gone.xml</loc></sitemap></sitemapindex>").alias("body"))
+    return files.unionByName(index)
+
+
+def _walked(spark: SparkSession, folder: str) -> DataFrame:
+    roots = _paths(spark, folder).select("host").distinct().withColumn("sitemap", F.lit("index.xml"))
+    return crawl.walk_sitemaps(crawl.sitemap_entries(_sitemaps(spark, folder)), roots)
+
+
+@query
+def sitemap_urls(spark, folder):
+    return _walked(spark, folder)
+
+
+@query
+def sitemap_dates(spark, folder):
+    return crawl.sitemap_coverage(_walked(spark, folder))
+
+
+@query
+def sitemap_checks(spark, folder):
+    targets = _paths(spark, folder).groupBy("host").agg(F.min("url").alias("url")).filter("length(host) % 2 = 0")
+    probes = _paths(spark, folder).selectExpr("url AS loc", "page_id % 4 AS k").groupBy("loc").agg(F.min("k").alias("k")).filter("k > 0").selectExpr("loc", "IF(k = 3, 404, 200) AS code")
+    return crawl.sitemap_checks(_walked(spark, folder).select("host", "loc"), targets, probes)
+
+
+_WALKED = f"WITH walked AS (SELECT {HOST.format('url')} AS host, url AS loc, max(CASE WHEN page_id % 3 > 0 THEN '2026-01-0' || (page_id % 9 + 1) END) AS lastmod, min(page_id % 4) AS k FROM pages GROUP BY ALL)"
+ORACLE["sitemap_urls"] = _WALKED + " SELECT host, loc, 1 AS depth, lastmod FROM walked"
+ORACLE["sitemap_dates"] = _WALKED + f" SELECT host, count(*) AS urls, {r('count(lastmod) * 100.0::DOUBLE / count(*)')} AS dated_pct, CASE WHEN count(lastmod) * 100.0 / count(*) >= 80 THEN 'pass' WHEN count(lastmod) * 100.0 / count(*) >= 40 THEN 'warn' ELSE 'fail' END AS status FROM walked GROUP BY host"
+ORACLE["sitemap_checks"] = _WALKED + """, p AS (SELECT host, count(*) AS urls, count(*) FILTER (WHERE k > 0) AS probed, count(*) FILTER (WHERE k IN (1, 2)) AS good FROM walked GROUP BY host)
+SELECT host, urls, CASE WHEN length(host) % 2 = 0 THEN 'pass' ELSE 'fail' END AS target, 'pass' AS one_domain, 'pass' AS size, CASE WHEN probed = 0 THEN 'na' WHEN good * 1.0 / probed >= 0.9 THEN 'pass' WHEN good * 1.0 / probed >= 0.7 THEN 'warn' ELSE 'fail' END AS alive FROM p"""
+
+
+@query
+def ttfb_bands(spark, folder):
+    samples = read(spark, folder, "events").selectExpr("event_id % 700 AS page_id", "IF(user_id % 6 = 0, 500, 200) AS code", "CAST(event_id * 31 % 2600 AS INT) AS ms")
+    return crawl.ttfb_verdict(samples)
+
+
+ORACLE["ttfb_bands"] = """WITH s AS (SELECT event_id % 700 AS page_id, user_id % 6 <> 0 AS ok, CAST(event_id * 31 % 2600 AS INT) AS ms FROM events),
+g AS (SELECT page_id, list_sort(list(ms)) AS l FROM s WHERE ok GROUP BY page_id), p AS (SELECT page_id, l[len(l) // 2 + 1] AS median, l[least(CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT) + 1, len(l))] AS p95 FROM g)
+SELECT a.page_id, median, p95, CASE WHEN median IS NULL THEN 'na' WHEN median < 800 THEN 'pass' WHEN median < 1800 THEN 'warn' ELSE 'fail' END AS status FROM (SELECT DISTINCT page_id FROM s) a LEFT JOIN p USING (page_id)"""
+
+
+@query
+def mobile_parity(spark, folder):
+    """Pages against mobile renderings that lack words, headings or titles."""
+    rows = read(spark, folder, "pages").selectExpr("page_id", "CAST(page_id * 13 % 900 AS INT) AS words", "'t' AS title", "'h' AS h1", "array('a', 'b', 'c', 'd') AS headings")
+    mobile = rows.filter("page_id % 8 > 0").selectExpr("page_id", "CAST(IF(page_id % 3 = 0, words * 0.6, words) AS INT) AS words", "IF(page_id % 5 = 0, 'u', title) AS title", "h1", "CASE page_id % 7 WHEN 0 THEN array('a') WHEN 1 THEN array('a', 'b', 'c') ELSE headings END AS headings")
+    return crawl.mobile_parity(rows, mobile)
+
+
+ORACLE["mobile_parity"] = f"""WITH p AS (SELECT page_id, page_id * 13 % 900 AS words, CASE WHEN page_id % 8 > 0 THEN CAST(floor(CASE WHEN page_id % 3 = 0 THEN page_id * 13 % 900 * 0.6::DOUBLE ELSE page_id * 13 % 900 END) AS BIGINT) END AS m, CASE page_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS gone FROM pages)
+SELECT page_id, CASE WHEN words > 0 AND m IS NOT NULL THEN {r('CAST(m AS DOUBLE) / words', 2)} END AS ratio, CASE WHEN m IS NOT NULL THEN gone END AS lost_headings,
+  CASE WHEN m IS NULL OR words = 0 THEN 'na' WHEN CAST(m AS DOUBLE) / words < 0.5 OR gone = 3 THEN 'fail' WHEN CAST(m AS DOUBLE) / words < 0.85 OR gone > 0 OR page_id % 5 = 0 THEN 'warn' ELSE 'pass' END AS status FROM p"""
+
+#: Fields that types of structured data need.
+SPECS = [("Article", "required", "headline"), ("NewsArticle", "required", "headline"), ("NewsArticle", "recommended", "author"), ("NewsArticle", "recommended", "image"), ("BlogPosting", "google_required", "headline"),
+         ("Person", "required", "name"), ("FAQPage", "required", "mainEntity"), ("Dentist", "required", "address"), ("Dentist", "recommended", "telephone"), ("Organization", "required", "name"), ("ImageObject", "required", "url")]
+
+
+def _entities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    found = crawl.jsonld_entities(pages(spark, folder))
+    return found, crawl.entity_status(found, spark.createDataFrame(SPECS, "type string, tier string, field string"))
+
+
+@query
+def entity_states(spark, folder):
+    return _entities(spark, folder)[1].groupBy("type", "status").agg(F.count("*").alias("n"))
+
+
+_on = lambda *tests: f"page_id % 11 <> 10 AND page_id % 31 <> 30 AND ({' OR '.join(tests)})"
+ORACLE["entity_states"] = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS type, '{s}' AS status, count(*) AS n FROM pages WHERE {_on(c)}"
+    for t, s, c in [
+        ("NewsArticle", "incomplete", "page_id % 4 = 0"), ("BlogPosting", "no_spec", "false"), ("Article", "invalid", "page_id % 4 = 2"), ("FAQPage", "valid", "page_id % 5 < 2"), ("Dentist", "incomplete", "page_id % 7 = 1"),
+        ("PostalAddress", "no_spec", "page_id % 7 = 1"), ("GeoCoordinates", "no_spec", "page_id % 7 = 1"), ("Restaurant", "no_spec", "page_id % 7 = 2"), ("Organization", "valid", "page_id % 6 < 2"), ("ImageObject", "valid", "page_id % 6 < 2"),
+        ("BreadcrumbList", "no_spec", "page_id % 9 = 1"),
+    ]
+) + f" UNION ALL SELECT 'BlogPosting', 'no_spec', 0 FROM pages WHERE false UNION ALL SELECT 'BlogPosting', 'invalid', count(*) FROM pages WHERE {_on('page_id % 4 = 1')} UNION ALL SELECT 'Question', 'no_spec', 3 * count(*) FROM pages WHERE {_on('page_id % 5 < 2')} UNION ALL SELECT 'Person', 'valid', sum(n) FROM (SELECT count(*) AS n FROM pages WHERE {_on('page_id % 8 < 5')} UNION ALL SELECT count(*) FROM pages WHERE {_on('page_id % 4 = 1')})) WHERE n > 0"
+
+
+@query
+def schema_checks(spark, folder):
+    found, states = _entities(spark, folder)
+    rows = crawl.schema_checks(found, states)
+    return rows.groupBy("parse", "present", "no_invalid").agg(F.count("*").alias("n"))
+
+
+_any = "page_id % 4 < 3 OR page_id % 8 < 5 OR page_id % 5 < 2 OR page_id % 7 IN (1, 2) OR page_id % 6 < 2 OR page_id % 9 = 1"
+ORACLE["schema_checks"] = f"""WITH b AS (SELECT page_id, page_id % 31 = 30 AS bad, ({_any}) AS parts, page_id % 4 IN (1, 2) AS wrong FROM pages WHERE page_id % 31 = 30 OR page_id % 11 <> 10)
+SELECT CASE WHEN bad THEN 'fail' ELSE 'pass' END AS parse, CASE WHEN bad THEN 'fail' ELSE 'pass' END AS present, CASE WHEN bad THEN 'na' WHEN wrong THEN 'fail' ELSE 'pass' END AS no_invalid, count(*) AS n FROM b WHERE bad OR parts GROUP BY ALL"""
+
+
+@query
+def store_writes(spark, folder):
+    """Audits inserted where absent, children replaced and domains deleted, one after another."""
+    rows = read(spark, folder, "pages").select("page_id", H.host_of(F.col("url")).alias("domain"), F.lit("old").alias("evidence"))
+    held = store.insert_if_absent(rows.filter("page_id % 2 = 0"), rows.withColumn("evidence", F.lit("new")), "page_id", "domain")
+    children = rows.filter("page_id % 5 = 0").withColumn("evidence", F.repeat(F.lit("x"), 5000))
+    held = store.replace_children(held, children, "page_id")
+    gone = store.delete_domains(held, ["www.example.org"])
+    return gone.groupBy("evidence").agg(F.count("*").alias("n"))
+
+
+ORACLE["store_writes"] = f"SELECT CASE WHEN page_id % 5 = 0 THEN repeat('x', 4000) WHEN page_id % 2 = 0 THEN 'old' ELSE 'new' END AS evidence, count(*) AS n FROM pages WHERE regexp_replace({HOST.format('url')}, '^www\\.', '') <> 'example.org' GROUP BY ALL"
+
+
+@query
+def stream_shares(spark, folder):
+    return jobs.window_shares(_drained(jobs.tumbling_counts(_stream(spark, folder)), "shares"))
+
+
+ORACLE["stream_shares"] = "WITH n AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY start), 4) AS share FROM n"
+ORACLE["stream_sessions"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, nth"""
+
+
+@query
+def corpus_changes(spark, folder):
+    rows = read(spark, folder, "orders").selectExpr("CAST(o_orderdate AS DATE) AS updated")
+    return jobs.changed_since(rows, F.lit("1998-08-10").cast("date"), 14)
+
+
+ORACLE["corpus_changes"] = "SELECT max(CAST(o_orderdate AS DATE)) AS newest, count(*) FILTER (WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-10') <= 14) AS changed, count(*) FILTER (WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-10') <= 14) = 0 AS stale FROM orders"
+_GROUP = {"blog": "contains(host, 'blog')", "m": "starts_with(host, 'm.')"}
+ORACLE["robots_access"] = f"""WITH {_PATHS}, bots AS (SELECT unnest(['{"', '".join(crawl.BOTS)}']) AS bot),
+judged AS (SELECT host, bot, CASE WHEN {_GROUP['blog']} THEN CASE WHEN bot IN ('GPTBot', 'CCBot') THEN NOT starts_with(path, '/en/') OR starts_with(path, '/en/1') ELSE NOT regexp_matches(path, '^/de/.*5$') END
+  WHEN {_GROUP['m']} THEN bot IN ('Googlebot', 'Google-Extended') OR path = '' OR starts_with(path, '/fr/') ELSE true END AS allowed FROM paths, bots)
+SELECT host, bot, count(*) AS n, count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS denied FROM judged GROUP BY ALL"""

@@ -449,7 +449,7 @@ def upserted_audits(spark, folder):
 @query
 def robots_access(spark, folder):
     """Access of all bots to every page's path under robots files made from the host's name."""
-    pages = read(spark, folder, "pages").select(H.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"))
+    pages = read(spark, folder, "pages").select(H.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"://[^/?#]*([^#]*)", 1).alias("path"))
     body = F.when(F.col("host").contains("blog"), F.lit("User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /en/\nAllow: /en/1*\n\nUser-agent: *\nDisallow: /de/*5$\nDisallow:\n"))
     body = body.when(F.col("host").startswith("m."), F.lit("User-agent: *\nDisallow: /\nAllow: /fr/\n\nUser-agent: google\nDisallow:"))
     files = pages.select("host").distinct().withColumn("body", body.otherwise(F.lit("# nothing\n")))

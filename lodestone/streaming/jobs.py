@@ -114,6 +114,48 @@ def job_states(events: DataFrame, late: str = "1 minute") -> DataFrame:
     return keyed.transformWithStateInPandas(Reaper(), outputStructType="job_id string, status string", outputMode="Update", timeMode="EventTime")
 
 
+class LastTwo(StatefulProcessor):
+    """The verdict of each URL's newest check; a URL is reported when it and the one before are both broken."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "verdict string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows)).sort_values(["ts", "check_id"])
+        before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for check, verdict in zip(table["check_id"], table["verdict"], strict=True):
+            if verdict == "broken" and before == "broken":
+                out.append((key[0], int(check)))
+            before = verdict
+        self.last.update(Row(verdict=before))
+        yield pd.DataFrame(out, columns=["url", "check_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def broken_twice(checks: DataFrame) -> DataFrame:
+    """``url, check_id`` of every check (url, ts, check_id, verdict) of a stream that is the second broken one in a row.
+
+    Checks of a URL are taken in the order of their time within a batch; later batches come after earlier ones.
+    """
+    keyed = event_time(checks).groupBy("url")
+    return keyed.transformWithStateInPandas(LastTwo(), outputStructType="url string, check_id long", outputMode="Append", timeMode="None")
+
+
+def window_shares(counts: DataFrame) -> DataFrame:
+    """``tumbling_counts`` with each type's ``share`` of its window in percent."""
+    total = counts.groupBy("start").agg(F.sum("n").alias("all_n"))
+    return counts.join(total, "start").select("start", "event_type", "n", F.round(F.col("n") * 100.0 / F.col("all_n"), 4).alias("share"))
+
+
+def changed_since(rows: DataFrame, as_of: Any, days: int = 14) -> DataFrame:
+    """``newest, changed, stale``: the newest change of a corpus (updated), how many rows changed in ``days`` and whether none did."""
+    recent = F.datediff(F.lit(as_of), "updated") <= days
+    return rows.agg(F.max("updated").alias("newest"), F.count_if(recent).alias("changed"), (F.count_if(recent) == 0).alias("stale"))
+
+
 def progress(started: Any, now: Any, expected_s: float, tool_pct: Any, hint_pct: Any):
     """Progress in percent: the furthest of tools, elapsed time and hint, within 5 and 99."""
     elapsed = (F.unix_timestamp(now) - F.unix_timestamp(started)) * 100.0 / expected_s

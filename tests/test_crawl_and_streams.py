@@ -27,9 +27,13 @@ def test_robots(spark):
     got = {(r.host, r.path, r.bot): r.allowed for r in crawl.robots_access(crawl.robots_rules(files), paths).collect()}
     assert got["h", "/private/x", "Googlebot"] is False and got["h", "/private/open/y", "Googlebot"] is True
     assert got["h", "/", "GPTBot"] is False and got["h", "/", "Google-Extended"] is False and got["h", "/", "CCBot"] is True
-    assert got["h", "/private/x", "ClaudeBot"] is None and got["n", "/", "GPTBot"] is None
-    gate = {r.host: r.ai_bot_allowed for r in crawl.gate_access(crawl.robots_access(crawl.robots_rules(files), paths.filter("path = '/'"))).collect()}
-    assert gate == {"h": False, "n": None}
+    # What no rule forbids is allowed: a group without rules, and a file without groups.
+    assert got["h", "/private/x", "ClaudeBot"] is True and got["n", "/", "GPTBot"] is True
+    access = crawl.robots_access(crawl.robots_rules(files), paths.filter("path = '/'"))
+    assert {r.host: r.ai_bot_allowed for r in crawl.gate_access(access).collect()} == {"h": False, "n": True}
+    for code, want in ((404, True), (200, True), (503, None), (0, None)):
+        files = spark.createDataFrame([("n", code)], "host string, code int")
+        assert {r.host: r.ai_bot_allowed for r in crawl.gate_access(access, files).collect()} == {"h": False, "n": want}
 
 
 @pytest.mark.parametrize(("rule", "path", "allowed"), [("/a*b$", "/axxb", False), ("/a*b$", "/axxbc", True), ("/a.b", "/axb", True), ("", "/x", True), ("/", "/x", False)])
@@ -73,6 +77,10 @@ def test_jsonld(spark):
     assert {(r.block, r.depth, r.type) for r in got.collect()} == {(0, 0, "X"), (0, 1, "PostalAddress"), (1, 0, None)}
     specs = spark.createDataFrame([("X", "required", "name"), ("PostalAddress", "recommended", "streetAddress")], "type string, tier string, field string")
     assert {(r.type, r.status) for r in crawl.entity_status(got, specs).collect()} == {("X", "invalid"), ("PostalAddress", "incomplete")}
+    local = spark.createDataFrame([("LocalBusiness", "google_required", "address"), ("LocalBusiness", "required", "address")], "type string, tier string, field string")
+    assert {(r.type, r.status) for r in crawl.entity_status(got, local).collect()} == {("LocalBusiness", "valid"), ("PostalAddress", "no_spec")}
+    row = crawl.schema_checks(got, crawl.entity_status(got, specs)).first()
+    assert (row.parse, row.present, row.no_invalid, row.ids, row.recommended, row.known_types) == ("fail", "pass", "fail", "fail", "warn", "pass")
 
 
 def _drain(spark, stream, mode, tmp_path, name):
