@@ -41,8 +41,8 @@ class ImpactIndex:
         at = np.flatnonzero(size.ravel())  # a component of 0 is no posting
         impact, term = size.ravel()[at], at % max(1, self.terms)
         level = len(LEVELS) - np.searchsorted(floors[::-1], impact, "right")
-        order = np.lexsort((-impact, term, level))
-        self.candidate, self.value = (at[order] // max(1, self.terms)).astype(np.int32), values.ravel()[at[order]].astype(float)
+        order = np.lexsort((at, term, level))  # within a list by candidate: its order doesn't matter there, memory does
+        self.candidate, self.value = (at[order] // max(1, self.terms)).astype(np.int32), values.ravel()[at[order]].astype(np.float32)
         self.edges = np.searchsorted((level * self.terms + term)[order], np.arange(len(LEVELS) * self.terms + 1))
         self.norm = np.sqrt((size**2).sum(1))
         #: Each candidate's norm of the postings below a level, and the largest impact below it.
@@ -50,22 +50,23 @@ class ImpactIndex:
         self.left, self.below = [np.sqrt((rest**2).sum(1)) for rest in rests], [float(rest.max(initial=0.0)) for rest in rests]
 
     def accumulate(self, level: int, queries: np.ndarray, partial: np.ndarray) -> None:
-        """Adds a segment's postings, list by list, to the partial scores (candidates by queries)."""
+        """Adds a segment's postings, list by list, to the partial scores (candidates by queries, single precision)."""
+        queries = np.ascontiguousarray(queries.T, np.float32)
         for term in range(self.terms):
             lo, hi = self.edges[level * self.terms + term : level * self.terms + term + 2]
             if lo < hi:
-                partial[self.candidate[lo:hi]] += self.value[lo:hi, None] * queries[None, :, term]
+                partial[self.candidate[lo:hi]] += np.multiply.outer(self.value[lo:hi], queries[term])
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per tile: query number, candidate number and exact score of every possible member, k best at least."""
         few = max(8 * k, len(self.ids) // 100)
         for at in range(0, len(queries), TILE):
             active = np.arange(at, min(at + TILE, len(queries)))
-            partial = np.zeros((len(self.ids), len(active)))
+            partial = np.zeros((len(self.ids), len(active)), np.float32)
             for level in range(len(LEVELS)):
                 q = queries[active].astype(float)
                 self.accumulate(level, q, partial)
-                seen = np.where(self.ids[None, :] == q_ids[active, None], -np.inf, partial.T)
+                seen = np.where(self.ids[None, :] == q_ids[active, None], -np.inf, partial.T.astype(float))
                 n = min(k, seen.shape[1])
                 lead = np.argpartition(-seen, n - 1, axis=1)[:, :n]
                 exact = np.einsum("qd,qkd->qk", queries[active], self.values[lead])
@@ -73,8 +74,8 @@ class ImpactIndex:
                 worst = exact.min(1).astype(float)
                 norm = np.linalg.norm(q, axis=1)[:, None]
                 gain = np.minimum(norm * self.left[level][None, :], np.abs(q).sum(1)[:, None] * self.below[level])
-                # What sums of doubles can be off by is far below a billionth of the norms' product.
-                possible = seen + gain + 1e-9 * norm * self.norm[None, :] + 0.5 >= worst[:, None]
+                # What sums in single precision can be off by is below this share of the norms' product.
+                possible = seen + gain + (self.terms + 8) * 2.0**-22 * norm * self.norm[None, :] + 0.5 >= worst[:, None]
                 done = (possible.sum(1) <= few) | (level == len(LEVELS) - 1)
                 rows, cols = np.nonzero(possible[done])
                 if len(rows):
