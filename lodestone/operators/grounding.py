@@ -25,7 +25,7 @@ TIME = NUMBER + r"\s*(milliseconds?|msecs?|ms|minutes?|mins?|seconds?|secs?|s)\b
 SIZE = NUMBER + r"\s*(kilobytes?|kb|megabytes?|mb|gigabytes?|gb|bytes?)\b"
 SHARE = NUMBER + r"\s*(%|percent(?:age)?\b|pct\b)"
 COUNT = NUMBER + r"\s+(words?|characters?|chars?|links?|images?|requests?|redirects?|scripts?|elements?)\b"
-REFERENCE = r"(?i)(?:sieve\s+)?(rule|principle|anti[-_\s]?pattern|ap)s?\s*(?:\(\s*)?(?:id\s*[:#=]?\s*|#)\s*([0-9]{1,6})"
+REFERENCE = r"(?i)(rule|principle|anti[-_\s]?pattern|ap)s?\s*(?:\(\s*)?(?:id\s*[:#=]?\s*|#)\s*([0-9]{1,6})"
 KINDS = ["rule", "ap", "principle", "playbook"]
 HINTS, HARD_CAP, EVIDENCE = 8, 16, 200
 

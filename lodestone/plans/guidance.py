@@ -202,7 +202,7 @@ def narrative_references(spark, folder):
 
 ORACLE["narrative_references"] = WITH + r""",
 raw AS (SELECT item_id AS fix_id, list_transform(regexp_extract_all(concat('See rule #', item_id % 90, ', Anti-pattern id: ', item_id + 1, ' and rules (id ', item_id % 90, '); AP #7, principle id=', item_id * 2, ', rule #12, ap #99 ', text),
-  '(?i)(?:sieve\s+)?(rule|principle|anti[-_\s]?pattern|ap)s?\s*(?:\(\s*)?(?:id\s*[:#=]?\s*|#)\s*([0-9]{1,6})'), lambda x: regexp_replace(lower(x), '^(?:sieve\s+)?(rule|principle)?.*?([0-9]+)$', '\1:\2')) AS refs FROM benchmark),
+  '(?i)(rule|principle|anti[-_\s]?pattern|ap)s?\s*(?:\(\s*)?(?:id\s*[:#=]?\s*|#)\s*([0-9]{1,6})'), lambda x: regexp_replace(lower(x), '^(rule|principle)?.*?([0-9]+)$', '\1:\2')) AS refs FROM benchmark),
 spread AS (SELECT fix_id, unnest(refs) AS ref, unnest(range(1, len(refs) + 1)) AS pos FROM raw),
 once AS (SELECT fix_id, ref, min(pos) AS pos FROM spread GROUP BY ALL),
 ranked AS (SELECT fix_id, row_number() OVER (PARTITION BY fix_id ORDER BY pos) - 1 AS nth, CASE WHEN starts_with(ref, ':') THEN 'ap' ELSE split_part(ref, ':', 1) END AS kind, split_part(ref, ':', 2) AS id FROM once QUALIFY nth < 4)
