@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, embedding_dedup, jaccard_join, mixing, prefix_trie, quality, secrets, spelling, suffix_dedup, topk, toxicity, url_filter
+from lodestone.llm import bpe, embedding_dedup, jaccard_join, mixing, pii, prefix_trie, quality, secrets, spelling, suffix_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_pii": pii.op11_pii,
         "op12_spelling": spelling.op12_spelling,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
