@@ -3,8 +3,9 @@
 Candidates are private key blocks, passwords in connection URLs, values assigned to a telling name and long runs of token
 characters.  Each is described by its length, its character transitions, how much of it dictionary words cover, its path
 and its neighbouring words, and a random forest trained on labelled findings tells secrets from placeholders, names,
-numbers and digests.  The dictionary is made of the words that most documents hold, beside a few that placeholders are
-made of.  A forest is fitted once for a dictionary and kept in the shared folder.
+numbers and digests.  Dictionary and findings are fixed, so that one text gets one verdict in any corpus; names that the
+dictionary lacks are told by how they can be pronounced.  The forest is fitted once and kept in the shared folder.
+Neighbouring words count only where they stand alone, not inside other words or host names.
 """
 
 from __future__ import annotations
@@ -44,8 +45,12 @@ THRESHOLD = 0.5
 MAX_FIT_ROWS = 50_000
 #: Secrets of all texts that are broadcast for redaction at most; beyond, texts are joined by shuffle.
 MAX_BROADCAST_SECRETS = 300_000
-#: Words of the corpus, held by most documents, that count as a dictionary; the version of ``labelled_findings``.
-CORPUS_WORDS, FINDINGS_VERSION = 3_000, 2
+#: Words of a corpus, held by most documents, that a caller may add as a dictionary; the version of ``labelled_findings``.
+CORPUS_WORDS, FINDINGS_VERSION = 3_000, 3
+#: What stands before and after a word that stands alone.
+_ALONE = (r"(?<![\p{L}\p{Nd}@_.\-])", r"(?![\p{L}\p{Nd}@_]|[.\-][\p{L}\p{Nd}])")
+NEAR_DIGEST = rf"{_ALONE[0]}(?:commit|sha-?[0-9]{{0,3}}|md5|checksum|digest|hash|uuid|revision|etag){_ALONE[1]}"
+NEAR_SAMPLE = rf"{_ALONE[0]}(?:example|sample|dummy|placeholder|your|e\.g\.|template){_ALONE[1]}"
 #: Words whose presence in a value, even inside a longer one, speaks against a secret.
 DICTIONARY = [
     "access", "account", "admin", "article", "auth", "blog", "change", "client", "code", "com", "config", "data", "default",
@@ -57,7 +62,7 @@ DICTIONARY = [
 FEATURES = [
     "n_chars", "n_distinct", "transitions", "digit_share", "upper_share", "lower_share", "hex_only", "digits_only", "dictionary", "corpus_words",
     "longest_repeat", "separators", "known_prefix", "assigned", "quoted", "near_secret", "near_digest", "near_sample", "path_sample",
-    "in_url", "key_block",
+    "in_url", "key_block", "vowels", "consonant_runs",
 ]
 
 
@@ -102,11 +107,13 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
         "assigned": _flag(before.rlike(r"[:=]\s*[\"']?$")),
         "quoted": _flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "near_secret": _flag(before.rlike(NAMES)),
-        "near_digest": _flag(before.rlike(r"commit|sha-?\d*|md5|checksum|digest|hash|uuid|revision|etag")),
-        "near_sample": _flag(F.concat_ws(" ", before, after).rlike(r"example|sample|dummy|placeholder|your|e\.g\.|template")),
+        "near_digest": _flag(before.rlike(NEAR_DIGEST)),
+        "near_sample": _flag(before.rlike(NEAR_SAMPLE) | after.rlike(NEAR_SAMPLE)),
         "path_sample": _flag(path.rlike(r"test|example|sample|fixture|mock|docs?/|readme")),
         "in_url": _flag(before.rlike(r"://[^\s:/@]*:$") & after.startswith("@")),
         "key_block": _flag(c.startswith("-----BEGIN")),
+        "vowels": F.regexp_count(F.lower(c), F.lit("[aeiouy]")) / F.greatest(F.regexp_count(F.lower(c), F.lit("[a-z]")), F.lit(1)),
+        "consonant_runs": F.least(F.regexp_count(F.lower(c), F.lit("[bcdfghjklmnpqrstvwxz]{4}")), F.lit(6)),
     }
     return found.withColumn("features", F.array(*[values[f].cast("double") for f in FEATURES]))
 
@@ -171,7 +178,10 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, words: list[str] | No
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "\n", "")
     names = ['token = "', "api_key: ", 'secret="', "password=", "auth_key = '", 'access-key: "', "TOKEN = ", "credentials: "]
     prose = ["and then the ", "see ", "of which ", "found at ", "in the year ", "by mail to ", "(", ""]
-    w = lambda salt: pick(salt, DICTIONARY + (words or [])[:: max(1, len(words or []) // 400)])
+    listed = lambda salt: pick(salt, DICTIONARY + (words or [])[:: max(1, len(words or []) // 400)])
+    syllable = lambda salt: pick(salt, [a + b for a in ("b", "d", "k", "l", "m", "n", "r", "s", "t", "st", "ch", "pr") for b in ("a", "e", "i", "o", "u", "en", "er", "in")])
+    # Names are made of the dictionary, or of what can be pronounced alike.
+    w = lambda salt: F.when(F.pmod(F.xxhash64(F.lit(salt + "?"), i), F.lit(2)) == 0, listed(salt)).otherwise(F.concat(*[syllable(f"{salt}{k}") for k in range(3)]))
     safe = lambda salt, n: F.substring(F.regexp_replace(F.concat(b64(salt), b64(salt + "2")), "[^A-Za-z0-9]", "k"), 1, n)
     secret = [
         (F.substring(h("a"), 1, 40), "names"),
@@ -258,9 +268,9 @@ class Scanner:
         self.words, self.model = words, model
 
 
-def trained_scanner(spark: SparkSession, docs: DataFrame) -> Scanner:
-    """The dictionary of ``docs`` and its forest, loaded from the shared folder if it was fitted there before."""
-    words = corpus_words(docs)
+def trained_scanner(spark: SparkSession, docs: DataFrame | None = None) -> Scanner:
+    """The forest, loaded from the shared folder if it was fitted there before; with ``docs``, their words are a dictionary besides."""
+    words = corpus_words(docs) if docs is not None else []
     key = hashlib.blake2b(f"{FINDINGS_VERSION}|{FEATURES}|{DICTIONARY}|{CANDIDATE}|{words}".encode(), digest_size=12).hexdigest()
     path = f"{shared_dir(spark)}/lodestone-forest-{key}"
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
@@ -281,7 +291,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, scanner: Scanner | None =
     empty texts have none, a null or missing path says nothing, and repeated rows report alike.  Columns of ``docs``
     named like a result (in any case) are replaced.  An empty table gives an empty result.
     """
-    scanner = scanner or trained_scanner(spark, docs)
+    scanner = scanner or trained_scanner(spark)
     taken = ("text", "nth", "candidate", "before", "after", "score", "is_secret")
     kept = [c for c in docs.columns if c.lower() not in taken]
     source = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")

@@ -85,6 +85,24 @@ def test_secrets(spark):
     assert secrets.scan_secrets(spark, docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_every_planted_token_is_found(spark, folder):
+    """Every run of 40 hex digits that stands after the name token, whatever the words around it; nothing that isn't assigned."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text", "source")
+    planted = {(r.doc_id, t) for r in docs.filter(F.lower("text").contains("token")).collect() for t in re.findall(r"(?i)token\W{1,8}([0-9a-f]{40})(?![0-9a-z])", r.text)}
+    rows = secrets.scan_secrets(spark, docs).filter("is_secret").collect()
+    found = {(r.doc_id, r.candidate) for r in rows}
+    assert len(planted) >= 11 and planted <= found
+    assert len(found - planted) <= 0.02 * len(found)
+
+
+def test_words_inside_words_and_hosts_are_no_neighbours(spark):
+    hexed = "3f9905942d70851866611566acde9d4e71e33b54"
+    texts = [f'reshat lo token = "{hexed}" ofe', f'an.45@mail2.example.com token = "{hexed}" see www.example.com', f'commit {hexed} was', f"sha256: {hexed}"]
+    rows = secrets.scan_secrets(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [{r.is_secret for r in rows if r.doc_id == k and r.candidate == hexed} for k in range(4)] == [{True}, {True}, {False}, {False}]
+
+
 def test_prefixed_names_keep_their_assignment(spark):
     hexed, pat = "89abcdef0123456789abcdef0123456701234567", "ghp_x7Kq2mPz9RtYw4Vn8LbD3sFg6HjC1aEu5TiO"
     cases = {
