@@ -1,4 +1,4 @@
-"""Audit jobs and answer logs as streams: windows, repeats, last states, idempotent starts and a reaper."""
+"""Answer logs and calls as streams: windows, repeats, sessions, idempotent starts and last states."""
 
 from __future__ import annotations
 
@@ -24,11 +24,6 @@ def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour"
     )
 
 
-def sliding_counts(events: DataFrame, size: str = "1 day", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    rows = event_time(events).withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type")
-    return rows.agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """A user's events without a pause of ``gap``."""
     rows = event_time(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
@@ -81,39 +76,6 @@ def idempotent_starts(jobs: DataFrame) -> DataFrame:
     )
 
 
-class Reaper(StatefulProcessor):
-    """Last status of each job; a job still running after ``SECONDS`` of event time becomes an error."""
-
-    SECONDS = 1_200
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "status string, at double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows)).sort_values("ts")
-        status, at = table["status"].iloc[-1], table["ts"].iloc[-1].timestamp()
-        self.state.update(Row(status=status, at=at))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status in ("queued", "running"):
-            self.handle.registerTimer(int((at + self.SECONDS) * 1000))
-        yield pd.DataFrame([(key[0], status)], columns=["job_id", "status"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.update(Row(status="error", at=self.state.get()[1]))
-        yield pd.DataFrame([(key[0], "error")], columns=["job_id", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def job_states(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """``job_id, status`` whenever a job's status changes (job_id, ts, status), stuck jobs reaped by event time."""
-    keyed = event_time(events).withWatermark("ts", late).groupBy("job_id")
-    return keyed.transformWithStateInPandas(Reaper(), outputStructType="job_id string, status string", outputMode="Update", timeMode="EventTime")
-
-
 class LastTwo(StatefulProcessor):
     """The verdict of each URL's newest check; a URL is reported when it and the one before are both broken."""
 
@@ -154,10 +116,3 @@ def changed_since(rows: DataFrame, as_of: Any, days: int = 14) -> DataFrame:
     """``newest, changed, stale``: the newest change of a corpus (updated), how many rows changed in ``days`` and whether none did."""
     recent = F.datediff(F.lit(as_of), "updated") <= days
     return rows.agg(F.max("updated").alias("newest"), F.count_if(recent).alias("changed"), (F.count_if(recent) == 0).alias("stale"))
-
-
-def progress(started: Any, now: Any, expected_s: float, tool_pct: Any, hint_pct: Any):
-    """Progress in percent: the furthest of tools, elapsed time and hint, within 5 and 99."""
-    elapsed = (F.unix_timestamp(now) - F.unix_timestamp(started)) * 100.0 / expected_s
-    far = F.greatest(F.coalesce(tool_pct, F.lit(0.0)), elapsed, F.coalesce(hint_pct, F.lit(0.0)))
-    return F.greatest(F.least(far, F.lit(99.0)), F.lit(5.0)).cast("int")
