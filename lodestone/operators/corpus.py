@@ -143,11 +143,24 @@ def finalised(scores: DataFrame, unreached: DataFrame) -> DataFrame:
     return rows.select("audit_id", F.when(~gone & F.col("pcr").isNotNull(), F.greatest(F.least("pcr", F.lit(100.0)), F.lit(0.0))).alias("pcr"), F.when(gone, "INCONCLUSIVE").otherwise(F.col("grade")).alias("grade"))
 
 
+# What each rendering class says of access to content; all others fail.
+CONTENT_ACCESS = {"fully_accessible": "pass", "partial_ssr": "warn", "minimal_content": "warn"}
+
+
 def light_gates(pages: DataFrame) -> DataFrame:
-    """``page_id, crawlability, content_access, page_existence`` of the light profile (page_id, code, robots_allowed, words, same_as_404)."""
-    exists = F.when(F.col("code") <= 0, "unknown").when((F.col("code") >= 400) | F.coalesce("same_as_404", F.lit(False)), "fail").otherwise("pass")
-    crawl = F.when(F.col("robots_allowed").isNull(), "unknown").when(F.col("robots_allowed"), "pass").otherwise("fail")
-    return pages.select("page_id", crawl.alias("crawlability"), F.when(F.col("words") >= 200, "pass").when(F.col("words") > 0, "warn").otherwise("fail").alias("content_access"), exists.alias("page_existence"))
+    """``page_id, crawlability, content_access, page_existence`` of the light profile (page_id, rendering, bot_blocking, robots_code).
+
+    A page doesn't exist only if its transport failed: a shell equal to the 404 page is a matter of content.  A robots
+    file that is lost to a server error forbids all; one that can't be read otherwise is a warning.
+    """
+    rendering, code = F.coalesce("rendering", F.lit("")), F.coalesce("robots_code", F.lit(0))
+    exists = F.when(rendering.isin("http_error", "fetch_failed", "unresolved_redirect"), "fail").otherwise("pass")
+    blocked = (rendering == "bot_blocked") | F.coalesce("bot_blocking", F.lit(False)) | (code >= 500)
+    crawl = F.when(blocked, "fail").when((code < 1) | (code >= 400), "warn").otherwise("pass")
+    content = F.lit("fail")
+    for name, status in CONTENT_ACCESS.items():
+        content = F.when(rendering == name, status).otherwise(content)
+    return pages.select("page_id", crawl.alias("crawlability"), content.alias("content_access"), exists.alias("page_existence"))
 
 
 def page_kind(types: Column, url: Column) -> Column:

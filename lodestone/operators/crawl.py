@@ -84,42 +84,64 @@ def gate_access(access: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return out.join(lost, "host", "left").select("host", "path", F.when(F.col("lost").isNull(), F.col("ai_bot_allowed")).alias("ai_bot_allowed"))
 
 
-# The checks that ask whether crawlers are let in, and the crawlers of each.
-BOT_CHECKS = {"E1": ["PerplexityBot"], "E2": ["BingPreview"], "E3": ["Googlebot"], "E10": ["ClaudeBot", "ChatGPT-User", "Applebot"], "E13": ["CCBot"], "A10": ["Googlebot", "Bingbot"]}
+# The checks that ask whether crawlers are let in, and the crawlers of each; crawlers of AI companies.
+BOT_CHECKS = {
+    "E1": ["PerplexityBot"],
+    "E2": ["Bingbot", "BingPreview"],
+    "E3": ["Googlebot"],
+    "E10": ["ClaudeBot", "Claude-Web", "anthropic-ai", "GPTBot", "ChatGPT-User", "OAI-SearchBot", "Applebot", "Applebot-Extended"],
+    "E13": ["CCBot"],
+}
+AI_CRAWLERS = ["GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Google-Extended", "Applebot-Extended", "CCBot"]
+
+
+def _robots_known(access: DataFrame, files: DataFrame) -> DataFrame:
+    """``host, path, denied, code, body, read, declares, n_listed`` of each path: the bots that are denied, and its host's file.
+
+    A file is read if its host answers with less than 400.  ``n_listed``: crawlers of AI companies that it names.
+    """
+    body = F.coalesce("body", F.lit(""))
+    named = F.filter(F.array(*map(F.lit, AI_CRAWLERS)), lambda bot: F.rlike(body, F.concat(F.lit(r"(?im)^\s*user-agent\s*:\s*"), bot, F.lit(r"\s*(?:#.*)?$"))))
+    known = files.select(
+        "host", "code", body.alias("body"), F.coalesce(F.col("code").between(1, 399), F.lit(False)).alias("read"),
+        body.rlike(r"(?im)^\s*sitemap\s*:").alias("declares"), F.size(named).alias("n_listed"),
+    )
+    denied = access.groupBy("host", "path").agg(F.collect_set(F.when(~F.col("allowed"), F.col("bot"))).alias("denied"))
+    return denied.join(known, "host")
 
 
 def robots_findings(access: DataFrame, files: DataFrame) -> DataFrame:
-    """``host, path, check_id, status``: fail where any of a check's crawlers is denied; A11 asks for a declared sitemap.
+    """``host, path, check_id, status``: whether crawlers are let in (E1, E2, E3, E10, E13: those of a company; A10: all that
+    are looked at) and whether the file declares a sitemap (A11).
 
-    na where the robots file could not be read.  ``files``: host, code, body.
+    Where the robots file could not be read nothing is known: warn, and na for A11.  ``files``: host, code, body.
     """
-    rows = [F.struct(F.lit(c).alias("check_id"), F.array(*map(F.lit, bots)).alias("bots")) for c, bots in BOT_CHECKS.items()]
-    by_bot = access.groupBy("host", "path").agg(F.collect_set(F.when(~F.col("allowed"), F.col("bot"))).alias("denied"))
-    known = files.select("host", F.col("code").between(1, 499).alias("read"), (F.col("code").between(200, 299) & F.col("body").rlike(r"(?im)^\s*sitemap\s*:")).alias("declares"))
-    by_bot = by_bot.join(known, "host")
-    found = by_bot.select("host", "path", "denied", "read", F.inline(F.array(*rows)))
-    found = found.select("host", "path", "check_id", F.when(~F.col("read"), "na").when(F.arrays_overlap("bots", "denied"), "fail").otherwise("pass").alias("status"))
-    maps = by_bot.select("host", "path", F.lit("A11").alias("check_id"), F.when(~F.col("read"), "na").when(F.col("declares"), "pass").otherwise("warn").alias("status"))
-    return found.unionByName(maps)
+    rows = [F.struct(F.lit(c).alias("check_id"), F.arrays_overlap(F.array(*map(F.lit, bots)), "denied").alias("shut")) for c, bots in BOT_CHECKS.items()]
+    rows.append(F.struct(F.lit("A10").alias("check_id"), (F.size("denied") > 0).alias("shut")))
+    known = _robots_known(access, files)
+    found = known.select("host", "path", "read", F.inline(F.array(*rows)))
+    found = found.select("host", "path", "check_id", F.when(~F.col("read"), "warn").when(F.col("shut"), "fail").otherwise("pass").alias("status"))
+    maps = F.when(~F.col("read"), "na").when(F.col("declares"), "pass").otherwise("warn")
+    return found.unionByName(known.select("host", "path", F.lit("A11").alias("check_id"), maps.alias("status")))
 
 
 def robots_checks(access: DataFrame, files: DataFrame) -> DataFrame:
-    """``host, path, check, status`` of the robots file itself: reachable, declares_sitemap, googlebot, ai_crawlers_all, target_path."""
-    ai = ["GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Google-Extended", "Applebot-Extended", "CCBot"]
-    by_path = access.groupBy("host", "path").agg(
-        F.bool_and(F.when(F.col("bot") == "Googlebot", F.col("allowed"))).alias("google"), F.count_if(F.col("bot").isin(ai) & ~F.col("allowed")).alias("n_ai"), F.bool_and("allowed").alias("all"),
-    )
-    code = F.col("code")
-    rows = by_path.join(files, "host")
-    band = lambda ok, bad: F.when((code == 0) | (code >= 500), "na").when(ok, "pass").otherwise(bad)
+    """``host, path, check, status`` of the robots file itself: reachable, declares_sitemap, googlebot, ai_crawlers_all, target_path.
+
+    A file that is lost or absent fails to be reachable, an empty one warns.  Any denied crawler of an AI company fails;
+    all pass only if the file names all of them.  What a file that can't be read says about access is unknown: warn.
+    """
+    shut = lambda bad, good="pass": F.when(~F.col("read"), "warn").when(bad, "fail").otherwise(good)
+    all_named = F.when(F.col("n_listed") == len(AI_CRAWLERS), "pass").otherwise("warn")
     checks = {
-        "reachable": F.when(code.between(200, 299), "pass").when(code.isin(404, 410), "warn").otherwise("fail"),
-        "declares_sitemap": band(code.between(200, 299) & F.col("body").rlike(r"(?im)^\s*sitemap\s*:"), "warn"),
-        "googlebot": band(F.col("google"), "fail"),
-        "ai_crawlers_all": F.when((code == 0) | (code >= 500), "na").when(F.col("n_ai") == 0, "pass").when(F.col("n_ai") < len(ai), "warn").otherwise("fail"),
-        "target_path": F.when((code == 0) | (code >= 500), "na").when(code.between(400, 499), "warn").when(F.col("all"), "pass").otherwise("fail"),
+        "reachable": F.when(~F.col("read"), "fail").when(~F.col("body").rlike(r"\S"), "warn").otherwise("pass"),
+        "declares_sitemap": F.when(~F.col("read"), "na").when(F.col("declares"), "pass").otherwise("warn"),
+        "googlebot": shut(F.array_contains("denied", "Googlebot")),
+        "ai_crawlers_all": shut(F.arrays_overlap("denied", F.array(*map(F.lit, AI_CRAWLERS))), all_named),
+        "target_path": shut(F.size("denied") > 0),
     }
-    return rows.select("host", "path", F.inline(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items()])))
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items()]))
+    return _robots_known(access, files).select("host", "path", rows)
 
 
 def sitemap_sources(files: DataFrame, probes: DataFrame) -> DataFrame:
@@ -134,24 +156,33 @@ def sitemap_sources(files: DataFrame, probes: DataFrame) -> DataFrame:
     return declared.distinct().select("host", F.lit("robots").alias("source"), "sitemap").unionByName(found.select("host", F.lit("usual").alias("source"), "sitemap"))
 
 
-def sitemap_checks(urls: DataFrame, targets: DataFrame, probes: DataFrame) -> DataFrame:
+def sitemap_checks(urls: DataFrame, targets: DataFrame, probes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """``host, urls, target, one_domain, size, alive``: each host's sitemap against its target page (host, url).
 
-    ``urls``: host, loc.  ``probes``: loc, code of a sample.  Other domains count among all URLs; alive is judged by the
-    probed ones: pass from 90 percent on, warn from 70.
+    ``urls``: host, loc.  ``probes``: loc, code of a sample.  ``entries``: those of each file (host, sitemap, kind, loc); a
+    file holds 50,000 at most.  URLs are alike without scheme, www. and trailing slash.  Other domains are a warning.
+    Dead ones (neither 200 to 399 nor 403) pass from 90 percent of good ones on and warn from 70; 403 may be a challenge
+    and warns; na where nothing was probed.
     """
-    key = lambda c: F.regexp_replace(F.lower(c), r"/+$", "")
+    key = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^https?://(?:www\.)?", ""), r"/+$", "")
     own = urls.join(probes, "loc", "left").join(targets, "host", "left")
     host_of = F.regexp_extract(F.lower("loc"), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1)
+    code = F.col("code")
     sums = own.groupBy("host").agg(
         F.count("*").alias("urls"), F.bool_or(key(F.col("loc")) == key(F.col("url"))).alias("has"), F.count_if(host_of != F.col("host")).alias("others"),
-        F.count("code").alias("probed"), F.count_if(F.col("code").between(200, 399)).alias("good"),
+        F.count("code").alias("probed"), F.count_if(code.between(200, 399)).alias("good"), F.count_if(code == 403).alias("blocked"),
     )
+    if entries is None:
+        sums = sums.withColumn("largest", F.col("urls"))
+    else:
+        files = entries.filter("kind = 'urlset'").groupBy("host", "sitemap").agg(F.count("loc").alias("n")).groupBy("host").agg(F.max("n").alias("largest"))
+        sums = sums.join(files, "host", "left")
     share = F.col("good") / F.nullif(F.col("probed"), F.lit(0))
-    alive = F.when(share.isNull(), "na").when(share >= 0.9, "pass").when(share >= 0.7, "warn").otherwise("fail")
+    dead = F.col("probed") - F.col("good") - F.col("blocked")
+    alive = F.when(share.isNull(), "na").when(dead > 0, F.when(share >= 0.9, "pass").when(share >= 0.7, "warn").otherwise("fail")).when(F.col("blocked") > 0, "warn").otherwise("pass")
     return sums.select(
-        "host", "urls", F.when(F.coalesce("has", F.lit(False)), "pass").otherwise("fail").alias("target"), F.when(F.col("others") == 0, "pass").otherwise("fail").alias("one_domain"),
-        F.when(F.col("urls") <= 50_000, "pass").otherwise("fail").alias("size"), alive.alias("alive"),
+        "host", "urls", F.when(F.coalesce("has", F.lit(False)), "pass").otherwise("fail").alias("target"), F.when(F.col("others") == 0, "pass").otherwise("warn").alias("one_domain"),
+        F.when(F.coalesce("largest", F.lit(0)) <= 50_000, "pass").otherwise("fail").alias("size"), alive.alias("alive"),
     )
 
 
@@ -212,19 +243,22 @@ def rendering_class(code: Column, same_as_404: Column, words: Column, signals: C
 
 
 def cross_agent(probes: DataFrame, default: str = "default") -> DataFrame:
-    """Each probe (page_id, ua, http_code, words, final_url) beside its page's default one: cloaking, blocking, divergence."""
+    """Each probe (page_id, ua, http_code, words, final_url) beside its page's default one: cloaking, blocking, divergence.
+
+    One that is refused where the default is served is blocked, and nothing else is compared.  Cloaked: both served, and
+    words apart by more than 50 and by a fifth of the default's.  Diverged: both have a final URL, and not the same.
+    """
     base = probes.filter(F.col("ua") == default).select(
         "page_id", F.col("words").alias("words_0"), F.col("http_code").alias("code_0"), F.col("final_url").alias("final_0")
     )
     rows = probes.filter(F.col("ua") != default).join(base, "page_id")
-    apart = F.abs(F.col("words") - F.col("words_0"))
-    ok = lambda c: (c >= 200) & (c < 300)
-    return rows.select(
-        "page_id", "ua",
-        ((apart > 50) & (apart > 0.2 * F.greatest("words", "words_0"))).alias("cloaked"),
-        (ok(F.col("code_0")) & ~ok(F.col("http_code"))).alias("blocked"),
-        (F.col("final_url") != F.col("final_0")).alias("diverged"),
-    )
+    ok = lambda c: F.coalesce((c >= 200) & (c < 300), F.lit(False))
+    words, base_words = (F.coalesce(c, F.lit(0)) for c in ("words", "words_0"))
+    apart = F.abs(words - base_words)
+    blocked = ok(F.col("code_0")) & ~ok(F.col("http_code"))
+    cloaked = ok(F.col("code_0")) & ok(F.col("http_code")) & (apart > 50) & ((base_words == 0) | (apart > 0.2 * base_words))
+    named = (F.coalesce("final_0", F.lit("")) != "") & (F.coalesce("final_url", F.lit("")) != "")
+    return rows.select("page_id", "ua", cloaked.alias("cloaked"), blocked.alias("blocked"), (~blocked & named & (F.col("final_url") != F.col("final_0"))).alias("diverged"))
 
 
 def ttfb_verdict(samples: DataFrame) -> DataFrame:

@@ -169,14 +169,16 @@ def supports_fix(claimed: Column, source: Column) -> Column:
 
 
 def reground(cites: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``cite_id, kind, id, state``: each citation's row, of the kind it names or else of another one whose text fits.
+    """``cite_id, kind, id, state``: each citation's row, of the kind it names or else of another one, if its text fits.
 
-    ``cites``: cite_id, kind, id, text.  ``corpus``: kind, id, body.
+    A citation that says nothing is taken at its word: it stays with its kind and moves to no other.  One that says
+    something must be plausible for the kind it names too.  ``cites``: cite_id, kind, id, text.  ``corpus``: kind, id, body.
     """
     order = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("c.kind")), F.lit(99))
     rows = cites.alias("x").join(corpus.alias("c"), F.col("x.id") == F.col("c.id"), "left")
     same = F.col("x.kind") == F.col("c.kind")
-    fits = F.col("c.kind").isNotNull() & (same | plausible_text(F.col("x.text"), F.col("c.body")))
+    says = F.size(tokens(F.col("x.text"))) > 0
+    fits = F.col("c.kind").isNotNull() & (same | says) & plausible_text(F.col("x.text"), F.col("c.body"))
     rank = F.when(fits, F.struct(F.when(same, 0).otherwise(1).alias("other"), order.alias("place"), F.col("c.kind").alias("kind")))
     best = rows.groupBy("x.cite_id", F.col("x.id").alias("id"), F.col("x.kind").alias("claimed")).agg(F.min(rank).alias("b"))
     state = F.when(F.col("b").isNull(), "lost").when(F.col("b.other") == 0, "kept").otherwise("recovered")
@@ -197,23 +199,37 @@ def references(texts: DataFrame, corpus: DataFrame, most: int = 4) -> DataFrame:
     return rows.join(known, ["kind", "id"], "left").select("fix_id", "nth", "kind", "id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+# Words of a check's name that say nothing of its topic.
+NAME_STOP = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "be", "has", "have", "had", "no", "not", "check", "checks", "checked", "page", "pages",
+    "present", "presence", "missing", "valid", "invalid", "proper", "properly", "correct", "correctly", "ensure", "ensures", "without", "via",
+]
+
+
 def canonical_checks(found: DataFrame, canon: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``audit_id, check_id, renamed``: ids brought to the canonical one of their letter and number, if they mean the same.
+    """``audit_id, ord, check_id, renamed, vocab_status``: ids brought to the canonical one of their letter and number, if they mean the same.
 
-    An alias, or a word that both names hold, says that they do.  Two ids of an audit never get one name: an id that is
-    canonical itself keeps it, else the first by order takes it.  ``found``: audit_id, ord, check_id.  ``canon``:
-    canonical.  ``aliases``: variant, canonical.
+    An alias, or a telling word that both names hold, says that they do.  Two ids of an audit never get one name: an id
+    that is canonical itself keeps it, else the first by order takes it.  Ids of sub-checks (a letter after the number)
+    are left alone and have no status; the others are canonical, aliased or foreign.  ``found``: audit_id, ord, check_id.
+    ``canon``: canonical.  ``aliases``: variant, canonical.
     """
-    slot = lambda c: F.regexp_extract(c, r"^([A-J][0-9]+[a-z]?)(?:_|$)", 1)
-    tail = lambda c: F.filter(F.regexp_extract_all(F.lower(F.regexp_replace(c, r"^[A-J][0-9]+[a-z]?_?", "")), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
-    rows = found.withColumn("slot", slot(clean_id(F.col("check_id")))).join(canon.withColumn("slot", slot(F.col("canonical"))), "slot", "left")
-    known = aliases.select(F.col("variant").alias("check_id"), F.col("canonical").alias("alias"))
-    rows = rows.join(known, "check_id", "left")
-    same = (F.col("alias") == F.col("canonical")) | F.arrays_overlap(tail(clean_id(F.col("check_id"))), tail(F.col("canonical")))
-    rows = rows.withColumn("wanted", F.when(F.coalesce(same, F.lit(False)), F.col("canonical")))
-    w = Window.partitionBy("audit_id", "wanted").orderBy(F.when(F.col("check_id") == F.col("wanted"), 0).otherwise(1), "ord")
-    first = F.col("wanted").isNotNull() & (F.row_number().over(w) == 1)
-    return rows.select("audit_id", "ord", "check_id", F.when(first, F.col("wanted")).otherwise(F.col("check_id")).alias("renamed"))
+    part = lambda c, k: F.regexp_extract(c, r"^([A-J])([0-9]+)([a-z]?)_", k)
+    slot = lambda c: F.when(part(c, 1) != "", F.when(part(c, 3) == "", F.concat(part(c, 1), part(c, 2))))
+    words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, r"^[A-J][0-9]+[a-z]?_", "")), F.lit("[a-z0-9]+"), F.lit(0))
+    tail = lambda c: F.filter(words(c), lambda t: (F.length(t) >= 2) & ~t.isin(NAME_STOP))
+    check = F.col("check_id")
+    names = canon.select("canonical", slot(F.col("canonical")).alias("slot")).distinct()
+    of_slot = names.filter("slot IS NOT NULL").groupBy("slot").agg(F.max("canonical").alias("canonical"))
+    rows = found.withColumn("slot", slot(check)).join(of_slot, "slot", "left").join(aliases.select(F.col("variant").alias("check_id"), F.col("canonical").alias("alias")), "check_id", "left")
+    rows = rows.join(names.select(F.col("canonical").alias("check_id"), F.lit(True).alias("listed")), "check_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    same = (F.col("alias") == F.col("canonical")) | F.arrays_overlap(tail(check), tail(F.col("canonical")))
+    rows = rows.withColumn("wanted", F.when(F.col("listed"), check).when(F.coalesce(same, F.lit(False)), F.col("canonical")))
+    w = Window.partitionBy("audit_id", "wanted").orderBy(F.when(F.col("listed"), 0).otherwise(1), "ord")
+    aliased = F.col("wanted").isNotNull() & ~F.col("listed") & (F.row_number().over(w) == 1)
+    status = F.when(F.col("listed"), "canonical").when(F.col("aliased"), "aliased").when((part(check, 1) != "") & (part(check, 3) != ""), F.lit(None)).otherwise("foreign")
+    rows = rows.withColumn("aliased", aliased)
+    return rows.select("audit_id", "ord", "check_id", F.when(F.col("aliased"), F.col("wanted")).otherwise(check).alias("renamed"), status.alias("vocab_status"))
 
 
 def citation_line(rows: DataFrame) -> DataFrame:

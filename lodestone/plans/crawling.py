@@ -11,11 +11,14 @@ from lodestone.plans.oracle import HOST, ORACLE, r
 from lodestone.plans.queries import _drained, _stream, pages, query, read
 from lodestone.streaming import jobs
 
+#: Crawlers of AI companies, as the SQL knows them.
+_AI = ["GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Google-Extended", "Applebot-Extended", "CCBot"]
 #: A robots file for each host, in SQL that both engines read; {nl} is a line break.
 _FILES = (
     "CASE WHEN length(host) % 7 = 3 THEN 503 WHEN length(host) % 7 = 4 THEN 404 ELSE 200 END AS code, "
     "CASE WHEN length(host) % 7 = 4 THEN '' WHEN host LIKE 'm.%' THEN concat('User-agent: *{nl}Disallow: /de/{nl}Allow: /de/1{nl}Sitemap: https://', host, '/s.xml{nl}sitemap: /t.xml') "
-    "WHEN length(host) % 2 = 0 THEN 'User-agent: CCBot{nl}User-agent: GPTBot{nl}Disallow: /{nl}' ELSE '# none' END AS body"
+    "WHEN length(host) % 5 = 1 THEN '# all{nl}" + "".join(f"User-agent: {b}{{nl}}" for b in _AI) + "Allow: /{nl}' WHEN length(host) % 5 = 2 THEN 'User-agent: bingbot{nl}Disallow: /{nl}' "
+    "WHEN length(host) % 5 = 3 THEN ' ' WHEN length(host) % 2 = 0 THEN 'User-agent: CCBot{nl}User-agent: GPTBot{nl}Disallow: /{nl}' ELSE '# none' END AS body"
 )
 
 
@@ -36,7 +39,7 @@ def _access(spark: SparkSession, folder: str) -> DataFrame:
 _PATHS = f"paths AS (SELECT DISTINCT {HOST.format('url')} AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS path FROM pages)"
 _ACCESS = f"""WITH {_PATHS},
 files AS (SELECT host, {_FILES.replace("{nl}", chr(10))} FROM (SELECT DISTINCT host FROM paths)),
-denied AS (SELECT p.host, p.path, code, body, body LIKE '%Disallow: /de/%' AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/1') AS every, body LIKE '%CCBot%' AS parts FROM paths p JOIN files USING (host))"""
+denied AS (SELECT p.host, p.path, code, body, body LIKE '%Disallow: /de/%' AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/1') AS every, body LIKE 'User-agent: CCBot%' AS parts, body LIKE 'User-agent: bingbot%' AS bing, body LIKE '# all%' AS listed, code NOT BETWEEN 1 AND 399 AS lost FROM paths p JOIN files USING (host))"""
 
 
 @query
@@ -44,8 +47,16 @@ def robots_findings(spark, folder):
     return crawl.robots_findings(_access(spark, folder), _files(spark, folder))
 
 
-ORACLE["robots_findings"] = _ACCESS + """, checks AS (SELECT unnest(['E1', 'E2', 'E3', 'E10', 'E13', 'A10', 'A11']) AS check_id)
-SELECT host, path, check_id, CASE WHEN code >= 500 THEN 'na' WHEN check_id = 'A11' THEN CASE WHEN code = 200 AND contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END WHEN every OR (parts AND check_id = 'E13') THEN 'fail' ELSE 'pass' END AS status FROM denied, checks"""
+ORACLE["robots_findings"] = _ACCESS + """,
+checks AS (SELECT unnest(['E1', 'E2', 'E3', 'E10', 'E13', 'A10', 'A11']) AS check_id)
+SELECT host, path, check_id,
+       CASE WHEN check_id = 'A11' THEN CASE WHEN lost THEN 'na' WHEN contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END
+            WHEN lost THEN 'warn'
+            WHEN every THEN 'fail'
+            WHEN parts AND check_id IN ('E10', 'E13', 'A10') THEN 'fail'
+            WHEN bing AND check_id IN ('E2', 'A10') THEN 'fail'
+            ELSE 'pass' END AS status
+FROM denied, checks"""
 
 
 @query
@@ -53,10 +64,16 @@ def robots_checks(spark, folder):
     return crawl.robots_checks(_access(spark, folder), _files(spark, folder))
 
 
-ORACLE["robots_checks"] = _ACCESS + """, checks AS (SELECT unnest(['reachable', 'declares_sitemap', 'googlebot', 'ai_crawlers_all', 'target_path']) AS name)
-SELECT host, path, name AS "check", CASE WHEN name = 'reachable' THEN CASE code WHEN 200 THEN 'pass' WHEN 404 THEN 'warn' ELSE 'fail' END WHEN code >= 500 THEN 'na'
-  WHEN name = 'declares_sitemap' THEN CASE WHEN code = 200 AND contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END WHEN name = 'googlebot' THEN CASE WHEN every THEN 'fail' ELSE 'pass' END
-  WHEN name = 'ai_crawlers_all' THEN CASE WHEN every THEN 'fail' WHEN parts THEN 'warn' ELSE 'pass' END WHEN code = 404 THEN 'warn' WHEN every OR parts THEN 'fail' ELSE 'pass' END AS status FROM denied, checks"""
+ORACLE["robots_checks"] = _ACCESS + """,
+checks AS (SELECT unnest(['reachable', 'declares_sitemap', 'googlebot', 'ai_crawlers_all', 'target_path']) AS name)
+SELECT host, path, name AS "check",
+       CASE name
+         WHEN 'reachable' THEN CASE WHEN lost THEN 'fail' WHEN trim(body) = '' THEN 'warn' ELSE 'pass' END
+         WHEN 'declares_sitemap' THEN CASE WHEN lost THEN 'na' WHEN contains(body, 'Sitemap:') THEN 'pass' ELSE 'warn' END
+         WHEN 'googlebot' THEN CASE WHEN lost THEN 'warn' WHEN every THEN 'fail' ELSE 'pass' END
+         WHEN 'ai_crawlers_all' THEN CASE WHEN lost THEN 'warn' WHEN every OR parts THEN 'fail' WHEN listed THEN 'pass' ELSE 'warn' END
+         ELSE CASE WHEN lost THEN 'warn' WHEN every OR parts OR bing THEN 'fail' ELSE 'pass' END END AS status
+FROM denied, checks"""
 
 
 @query
@@ -108,15 +125,18 @@ def sitemap_dates(spark, folder):
 @query
 def sitemap_checks(spark, folder):
     targets = _paths(spark, folder).groupBy("host").agg(F.min("url").alias("url")).filter("length(host) % 2 = 0")
-    probes = _paths(spark, folder).selectExpr("url AS loc", "page_id % 4 AS k").groupBy("loc").agg(F.min("k").alias("k")).filter("k > 0").selectExpr("loc", "IF(k = 3, 404, 200) AS code")
+    probes = _paths(spark, folder).selectExpr("url AS loc", "page_id % 4 AS k").groupBy("loc").agg(F.min("k").alias("k")).filter("k > 0").selectExpr("loc", "CASE k WHEN 3 THEN 404 WHEN 2 THEN 403 ELSE 200 END AS code")
     return crawl.sitemap_checks(_walked(spark, folder).select("host", "loc"), targets, probes)
 
 
 _WALKED = f"WITH walked AS (SELECT {HOST.format('url')} AS host, url AS loc, max(CASE WHEN page_id % 3 > 0 THEN '2026-01-0' || (page_id % 9 + 1) END) AS lastmod, min(page_id % 4) AS k FROM pages GROUP BY ALL)"
 ORACLE["sitemap_urls"] = _WALKED + " SELECT host, loc, 1 AS depth, lastmod FROM walked"
 ORACLE["sitemap_dates"] = _WALKED + f" SELECT host, count(*) AS urls, {r('count(lastmod) * 100.0::DOUBLE / count(*)')} AS dated_pct, CASE WHEN count(lastmod) * 100.0 / count(*) >= 80 THEN 'pass' WHEN count(lastmod) * 100.0 / count(*) >= 40 THEN 'warn' ELSE 'fail' END AS status FROM walked GROUP BY host"
-ORACLE["sitemap_checks"] = _WALKED + """, p AS (SELECT host, count(*) AS urls, count(*) FILTER (WHERE k > 0) AS probed, count(*) FILTER (WHERE k IN (1, 2)) AS good FROM walked GROUP BY host)
-SELECT host, urls, CASE WHEN length(host) % 2 = 0 THEN 'pass' ELSE 'fail' END AS target, 'pass' AS one_domain, 'pass' AS size, CASE WHEN probed = 0 THEN 'na' WHEN good * 1.0 / probed >= 0.9 THEN 'pass' WHEN good * 1.0 / probed >= 0.7 THEN 'warn' ELSE 'fail' END AS alive FROM p"""
+ORACLE["sitemap_checks"] = _WALKED + """, p AS (SELECT host, count(*) AS urls, count(*) FILTER (WHERE k > 0) AS probed, count(*) FILTER (WHERE k = 1) AS good, count(*) FILTER (WHERE k = 3) AS dead FROM walked GROUP BY host)
+SELECT host, urls, CASE WHEN length(host) % 2 = 0 THEN 'pass' ELSE 'fail' END AS target, 'pass' AS one_domain, 'pass' AS size, 
+  CASE WHEN probed = 0 THEN 'na' WHEN dead > 0 AND good * 1.0 / probed >= 0.9 THEN 'pass' WHEN dead > 0 AND good * 1.0 / probed >= 0.7 THEN 'warn' WHEN dead > 0 THEN 'fail'
+       WHEN good < probed THEN 'warn' ELSE 'pass' END AS alive
+FROM p"""
 
 
 @query

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import corpus, grounding, retrieval, scoring, store
+from lodestone.operators import corpus, crawl, grounding, retrieval, scoring, store
 from lodestone.plans.oracle import AUDITS, ORACLE, SCORES, TOKENS, q, r
-from lodestone.plans.queries import audits, findings, query, read
+from lodestone.plans.oracle_pages import FEATURES
+from lodestone.plans.queries import audits, features, findings, query, read
 
 CHECK_IDS = ["A2_title_tag", "page:B1_ttfb", "C10_open_graph", "D4b_ids", "F3_faq", "H1_depth", "Z9_x", "plain"]
 #: A finding of each benchmark item, in SQL that both engines read.
@@ -182,14 +183,14 @@ SELECT audit_id, check_id, nth AS rank, kind, id, verdict FROM found JOIN best U
 
 @query
 def regrounded(spark, folder):
-    cites = guidance(spark, folder).selectExpr("id AS cite_id", "CASE WHEN id % 3 = 0 THEN kind ELSE 'rule' END AS kind", "CASE WHEN id % 10 = 9 THEN id + 1000000 ELSE id END AS id", "CASE WHEN id % 4 = 1 THEN 'nothing of the sort anywhere' ELSE substr(body, 1, 80) END AS text")
+    cites = guidance(spark, folder).selectExpr("id AS cite_id", "CASE WHEN id % 3 = 0 THEN kind ELSE 'rule' END AS kind", "CASE WHEN id % 10 = 9 THEN id + 1000000 ELSE id END AS id", "CASE WHEN id % 4 = 1 THEN 'nothing of the sort anywhere' WHEN id % 8 = 2 THEN NULL ELSE substr(body, 1, 80) END AS text")
     return grounding.reground(cites, guidance(spark, folder).select("kind", "id", "body"))
 
 
 ORACLE["regrounded"] = WITH + f""",
-cites AS (SELECT id AS cite_id, CASE WHEN id % 3 = 0 THEN kind ELSE 'rule' END AS kind, CASE WHEN id % 10 = 9 THEN id + 1000000 ELSE id END AS id, CASE WHEN id % 4 = 1 THEN 'nothing of the sort anywhere' ELSE substr(body, 1, 80) END AS text FROM guide),
+cites AS (SELECT id AS cite_id, CASE WHEN id % 3 = 0 THEN kind ELSE 'rule' END AS kind, CASE WHEN id % 10 = 9 THEN id + 1000000 ELSE id END AS id, CASE WHEN id % 4 = 1 THEN 'nothing of the sort anywhere' WHEN id % 8 = 2 THEN NULL ELSE substr(body, 1, 80) END AS text FROM guide),
 met AS (SELECT c.*, g.kind AS held, list_distinct({TOKENS.format('c.text')}) AS x, {TOKENS.format("coalesce(g.body, '')")} AS y FROM cites c LEFT JOIN guide g ON c.id = g.id),
-judged AS (SELECT *, held IS NOT NULL AND (held = kind OR coalesce(len(x), 0) = 0 OR len(list_intersect(x, y)) >= 2 OR len(list_intersect(x, y)) >= 0.34 * len(x)) AS fits FROM met)
+judged AS (SELECT *, held IS NOT NULL AND (held = kind OR coalesce(len(x), 0) > 0) AND (coalesce(len(x), 0) = 0 OR len(list_intersect(x, y)) >= 2 OR len(list_intersect(x, y)) >= 0.34 * len(x)) AS fits FROM met)
 SELECT cite_id, CASE WHEN fits THEN held ELSE kind END AS kind, id, CASE WHEN NOT fits THEN 'lost' WHEN held = kind THEN 'kept' ELSE 'recovered' END AS state FROM judged"""
 
 
@@ -211,17 +212,25 @@ SELECT fix_id, nth, r.kind, r.id, g.id IS NOT NULL AS known FROM ranked r LEFT J
 
 @query
 def canonical_check_ids(spark, folder):
-    variants = ["A1_https", "A1_https_check", "A1_robots_txt", "B1_speed", "B1_ttfb_median", "C10_social", "E14_llms", "X"]
-    rows = read(spark, folder, "events").selectExpr("event_id % 300 AS audit_id", "event_id AS ord", f"element_at(array({', '.join(map(q, variants))}), CAST(event_id * 7 % 8 AS INT) + 1) AS check_id")
-    canon = spark.createDataFrame([("A1_https_enforcement",), ("B1_ttfb_median",), ("C10_open_graph",), ("E14_llms_txt",)], "canonical string")
+    variants = ["A1_https", "A1_https_check", "A1_check_page", "B1_speed", "B1_ttfb_median", "C10_social", "E14_llms", "E14", "C10b_open_graph"]
+    rows = read(spark, folder, "events").selectExpr("event_id % 300 AS audit_id", "event_id AS ord", f"element_at(array({', '.join(map(q, variants))}), CAST(event_id * 7 % 9 AS INT) + 1) AS check_id")
+    canon = spark.createDataFrame([("A1_https_check_enforcement",), ("B1_ttfb_median",), ("C10_open_graph",), ("E14_llms_txt",)], "canonical string")
     aliases = spark.createDataFrame([("C10_social", "C10_open_graph")], "variant string, canonical string")
-    return grounding.canonical_checks(rows, canon, aliases).groupBy("check_id", "renamed").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+    named = grounding.canonical_checks(rows, canon, aliases)
+    return named.groupBy("check_id", "renamed", "vocab_status").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
-ORACLE["canonical_check_ids"] = """WITH rows_ AS (SELECT event_id % 300 AS audit_id, event_id AS ord, ['A1_https', 'A1_https_check', 'A1_robots_txt', 'B1_speed', 'B1_ttfb_median', 'C10_social', 'E14_llms', 'X'][CAST(event_id * 7 % 8 AS INT) + 1] AS check_id FROM events),
-wanted AS (SELECT *, CASE WHEN check_id IN ('A1_https', 'A1_https_check') THEN 'A1_https_enforcement' WHEN check_id = 'B1_ttfb_median' THEN 'B1_ttfb_median' WHEN check_id = 'C10_social' THEN 'C10_open_graph' WHEN check_id = 'E14_llms' THEN 'E14_llms_txt' END AS w FROM rows_),
-placed AS (SELECT *, row_number() OVER (PARTITION BY audit_id, w ORDER BY check_id <> w, ord) AS nth FROM wanted)
-SELECT check_id, CASE WHEN w IS NOT NULL AND nth = 1 THEN w ELSE check_id END AS renamed, count(*) AS n, min(ord) AS first_ord FROM placed GROUP BY ALL"""
+ORACLE["canonical_check_ids"] = """WITH rows_ AS (
+  SELECT event_id % 300 AS audit_id, event_id AS ord,
+         ['A1_https', 'A1_https_check', 'A1_check_page', 'B1_speed', 'B1_ttfb_median', 'C10_social', 'E14_llms', 'E14', 'C10b_open_graph'][CAST(event_id * 7 % 9 AS INT) + 1] AS check_id
+  FROM events),
+wanted AS (
+  SELECT *, CASE check_id WHEN 'A1_https' THEN 'A1_https_check_enforcement' WHEN 'A1_https_check' THEN 'A1_https_check_enforcement' WHEN 'C10_social' THEN 'C10_open_graph' WHEN 'E14_llms' THEN 'E14_llms_txt' END AS w FROM rows_),
+placed AS (SELECT *, w IS NOT NULL AND row_number() OVER (PARTITION BY audit_id, w ORDER BY ord) = 1 AS aliased FROM wanted)
+SELECT check_id, CASE WHEN aliased THEN w ELSE check_id END AS renamed,
+       CASE WHEN check_id = 'B1_ttfb_median' THEN 'canonical' WHEN aliased THEN 'aliased' WHEN check_id <> 'C10b_open_graph' THEN 'foreign' END AS vocab_status,
+       count(*) AS n, min(ord) AS first_ord
+FROM placed GROUP BY ALL"""
 
 
 @query
@@ -429,12 +438,24 @@ ORACLE["final_scores"] = f"WITH {AUDITS} SELECT audit_id, CASE WHEN audit_id % 9
 
 @query
 def light_gate_states(spark, folder):
-    rows = read(spark, folder, "pages").selectExpr("page_id", "CAST(page_id % 5 * 100 AS INT) AS code", "CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS robots_allowed", "CAST(page_id * 11 % 400 AS INT) AS words", "page_id % 7 = 0 AS same_as_404")
-    return corpus.light_gates(rows)
-
-
-ORACLE["light_gate_states"] = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END AS crawlability, CASE WHEN page_id * 11 % 400 >= 200 THEN 'pass' WHEN page_id * 11 % 400 > 0 THEN 'warn' ELSE 'fail' END AS content_access,
-  CASE WHEN page_id % 5 = 0 THEN 'unknown' WHEN page_id % 5 = 4 OR page_id % 7 = 0 THEN 'fail' ELSE 'pass' END AS page_existence FROM pages"""
+    """Gates of the pages from what was fetched of them and of their hosts' robots files."""
+    seen = features(spark, folder).select("page_id", "host", "words", "status")
+    files = seen.select("host").distinct().selectExpr("host", "CASE length(host) % 6 WHEN 0 THEN 503 WHEN 1 THEN 404 WHEN 2 THEN 0 ELSE 200 END AS robots_code")
+    rendering = crawl.rendering_class(F.when(F.col("page_id") % 19 == 3, 403).when(F.col("page_id") % 23 == 4, 301).otherwise(F.col("status")), F.col("page_id") % 7 == 0, F.col("words"), F.array().cast("array<string>"))
+    rows = seen.select("page_id", "host", rendering.alias("rendering"), (F.col("page_id") % 31 == 5).alias("bot_blocking"))
+    return corpus.light_gates(rows.join(files, "host"))
+
+
+ORACLE["light_gate_states"] = f"""WITH {FEATURES},
+seen AS (
+  SELECT page_id, words, CASE WHEN page_id % 19 = 3 THEN 403 WHEN page_id % 23 = 4 THEN 301 ELSE status END AS code,
+         CASE length(host) % 6 WHEN 0 THEN 503 WHEN 1 THEN 404 WHEN 2 THEN 0 ELSE 200 END AS robots
+  FROM feats)
+SELECT page_id,
+       CASE WHEN code IN (401, 403, 429) OR page_id % 31 = 5 OR robots = 503 THEN 'fail' WHEN robots <> 200 THEN 'warn' ELSE 'pass' END AS crawlability,
+       CASE WHEN code NOT BETWEEN 1 AND 299 OR page_id % 7 = 0 THEN 'fail' WHEN words >= 500 THEN 'pass' ELSE 'warn' END AS content_access,
+       CASE WHEN code NOT BETWEEN 1 AND 299 AND code NOT IN (401, 403, 429) THEN 'fail' ELSE 'pass' END AS page_existence
+FROM seen"""
 
 
 @query

@@ -168,7 +168,7 @@ SELECT audit_id, prior_id, count(*) FILTER (WHERE change = 'resolved') AS n_reso
     "host_median_depth": f"""WITH {FEATURES}, deep AS (SELECT host, max(words) AS words FROM feats WHERE host <> '' GROUP BY host)
 SELECT a.host, any_value(a.words) AS words, CAST(median(b.words) AS DOUBLE) AS median_words, count(b.host) AS hosts FROM deep a LEFT JOIN deep b ON a.host <> b.host AND b.words > 0 GROUP BY a.host""",
     "cross_variant_divergence": f"""WITH {FEATURES}, placed AS (SELECT page_id, host, words, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth, first_value(words) OVER (PARTITION BY host ORDER BY page_id) AS words_0 FROM feats)
-SELECT host, 'v' || page_id AS ua, abs(words - words_0) > 50 AND abs(words - words_0) > 0.2 * greatest(words, words_0) AS cloaked, page_id % 9 = 0 AS blocked, false AS diverged FROM placed WHERE nth > 1""",
+SELECT host, 'v' || page_id AS ua, page_id % 9 <> 0 AND abs(words - words_0) > 50 AND (words_0 = 0 OR abs(words - words_0) / CAST(words_0 AS DOUBLE) > 0.2) AS cloaked, page_id % 9 = 0 AS blocked, false AS diverged FROM placed WHERE nth > 1""",
     "rendering_classes": f"WITH {FEATURES} SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'bot_blocked' WHEN page_id % 17 = 0 THEN 'fetch_failed' WHEN page_id % 19 = 0 THEN 'unresolved_redirect' WHEN page_id % 23 = 0 THEN 'spa_no_ssr' WHEN words < 200 THEN 'minimal_content' WHEN words < 500 THEN 'partial_ssr' ELSE 'fully_accessible' END AS class FROM feats",
     "deterministic_sample": f"WITH raw AS (SELECT page_id, url, {HOST.format('url')} AS host FROM pages) SELECT host, row_number() OVER (PARTITION BY host ORDER BY md5(concat_ws('|', host, url)), url) AS nth, page_id FROM raw QUALIFY nth <= 3",
     "bm25_topk": f"WITH {bm25(5)} SELECT query_id, rank, doc_id, score FROM hits",

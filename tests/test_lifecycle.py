@@ -170,7 +170,7 @@ def test_share_of_voice_gives_out_finished_windows_only(spark, tmp_path):
 
 def test_progress(spark):
     cases = [("completed", 0, 0, None, None, 100), ("error", 9, 9, None, 50, 0), (None, 9, 9, None, None, 2), ("running", 0, 0, None, None, 5), ("running", 15, 10, None, None, 47), ("running", 40, 0, None, None, 95), ("running", 0, 180, None, None, 45), ("running", 0, 44, 45, None, 88), ("running", 0, 9999, None, 97.9, 97), ("running", None, None, None, 250.0, 99)]
-    rows = [(s, t, None if e is None else float(e), x, h, w) for s, t, e, x, h, w in cases]
+    rows = [(s, t, None if e is None else float(e), x, None if h is None else float(h), w) for s, t, e, x, h, w in cases]
     df = spark.createDataFrame(rows, "status string, tools int, elapsed double, expected int, hint double, want int")
     got = df.select(lifecycle.progress(*[F.col(c) for c in ("status", "tools", "elapsed", "expected", "hint")]).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
