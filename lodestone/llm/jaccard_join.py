@@ -41,6 +41,8 @@ SIMILARITY = (3, 4)
 MAX_FREQUENT = 1_000_000
 #: Shingles that a task counts at once.
 BLOCK_SHINGLES = 4_000_000
+#: Texts of so many bytes are shingled at a time: a quarter of the other operators', as two workers share an executor with a full heap.
+CHUNK_BYTES = 1 << 19
 #: Groups up to this size are listed pair by pair; larger ones are compared with hubs.
 SMALL_GROUP = 16
 #: Classes of a large group that are compared in one block.
@@ -86,6 +88,14 @@ def _prefix_length(n):
     return n + (-num * n) // den + 1
 
 
+def _lean_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Chunks of CHUNK_BYTES; Arrow's memory of a batch is given back once it is done with."""
+    for batch in batches:
+        yield from _bytes.chunks(iter([batch]), size=CHUNK_BYTES)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several different sets of a block hold, with their number."""
     seen: set[tuple[int, int]] = set()
@@ -95,7 +105,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, n = np.unique(np.concatenate(block), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
-    for _, data, offsets in _bytes.chunks(batches):
+    for _, data, offsets in _lean_chunks(batches):
         for s in shingle_sets(data, offsets):
             if len(s) and (name := _digest(s)) not in seen:
                 seen.add(name)
@@ -261,7 +271,7 @@ class _Verifier:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[tuple[int, int]] = set()
-            for _, data, offsets in _bytes.chunks(batches):
+            for _, data, offsets in _lean_chunks(batches):
                 found = {}
                 for s in shingle_sets(data, offsets):
                     if len(s) and (name := _digest(s)) not in seen:
@@ -349,7 +359,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, more: tuple[str, ..
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for part, data, offsets in _bytes.chunks(batches):
+        for part, data, offsets in _lean_chunks(batches):
             names, sizes, prefixes = [], [], []
             for s in shingle_sets(data, offsets):
                 name = _digest(s) if len(s) else None
