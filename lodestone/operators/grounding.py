@@ -28,6 +28,13 @@ COUNT = NUMBER + r"\s+(words?|characters?|chars?|links?|images?|requests?|redire
 REFERENCE = r"(?i)(rule|principle|anti[-_\s]?pattern|ap)s?\s*(?:\(\s*)?(?:id\s*[:#=]?\s*|#)\s*([0-9]{1,6})"
 KINDS = ["rule", "ap", "principle", "playbook"]
 HINTS, HARD_CAP, EVIDENCE = 8, 16, 200
+# Guidance that prescribes features of search results which are gone, and what a row says that reports just that.
+RETIRED = {
+    "howto": r"(?i)(?:(?<!not )(?<!n't )(?<!never )(?<!avoid )\b(?:add\w*|appl(?:y|ie)\w*|implement\w*|us(?:e[sd]?|ing)|adopt\w*|includ\w*|deploy\w*|leverag\w*|consider\w*|creat\w*|publish\w*)\b[^.!?]{0,80}?\bhow\s?-?to\s+(?:schema|markup|structured\s+data))|(?:\bhow\s?-?to\s+(?:schema|markup|structured\s+data)[^.!?]{0,100}?\brich\s+(?:results?|snippets?))|(?:\bhow\s?-?to\s+rich\s+(?:results?|snippets?))",
+    "faq": r"(?i)faq[a-z]*\s+(schema|markup|structured\s+data)(\s+markup)?[^.!?]{0,60}?(surface|qualify|eligib\w*|earn\w*)[^.!?]{0,60}?(?<!q&a\s)rich\s+(results?|snippets?)",
+}
+REPORTS_RETIRED = r"(?i)no\s+longer|do(?:es)?\s+not\s+rely|don'?t\s+rely|deprecat|discontinu|\bretired\b|\bsunset|restricted\s+to|not\s+supported|stopp?ed\s+(?:showing|supporting)|will\s+not\s+be\s+shown"
+GUIDANCE_TEXTS = ["name", "title", "if_condition", "then_action", "description", "statement", "explanation", "summary", "use_when", "avoid_when"]
 
 
 def quantity(value: Column) -> Column:
@@ -114,13 +121,26 @@ def resolve_checks(ids: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("check_id", F.coalesce("own", F.when(F.col("stem") != "", F.col("s.key")), "check_id").alias("key"))
 
 
+def retired_feature(corpus: DataFrame) -> Column:
+    """The retired feature (a name of ``RETIRED``) that a row's texts prescribe; null for none, or where they report it as retired.
+
+    Looks at whichever of ``GUIDANCE_TEXTS`` the table has, whole and joined by spaces; nulls are left out.
+    """
+    held = {c.lower() for c in corpus.columns}
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in GUIDANCE_TEXTS if c in held]
+    text = F.concat_ws(" ", F.lit(""), *texts)
+    said = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in RETIRED.items()])
+    return F.when(~text.rlike(REPORTS_RETIRED), said)
+
+
 def curated(asks: DataFrame, mapping: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """``query_id, rank, kind, id``: trusted rows that a check's mapping names and that apply to the page's type and industry.
 
     ``asks``: query_id, key, page_type, industry (null: any).  ``mapping``: key, kind, id.  ``corpus``: kind, id, tier,
-    confidence, page_types, industries (arrays, empty or null: all) and the trust columns.
+    confidence, page_types, industries (arrays, empty or null: all) and the trust columns.  Rows that prescribe a retired
+    feature (``retired_feature``) are left out before ranking.
     """
-    rows = asks.join(mapping, "key").join(trusted(corpus), ["kind", "id"])
+    rows = asks.join(mapping, "key").join(trusted(corpus).filter(retired_feature(corpus).isNull()), ["kind", "id"])
     applies = lambda tags, wanted: wanted.isNull() | (F.coalesce(F.size(tags), F.lit(0)) <= 0) | F.array_contains(tags, wanted) | F.array_contains(tags, "all")
     rows = rows.filter(applies(F.col("page_types"), F.col("page_type")) & applies(F.col("industries"), F.col("industry")))
     w = Window.partitionBy("query_id").orderBy("tier", F.col("confidence").desc(), "id")

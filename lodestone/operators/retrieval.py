@@ -198,11 +198,6 @@ def entailment_metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
-def verdict_key(*parts: Column) -> Column:
-    """Key of a cached verdict: SHA-256 over its parts."""
-    return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
 def sample_by_hash(rows: DataFrame, key: str, salt: Column, n: int, group: str) -> DataFrame:
     """``n`` rows of each group, lowest MD5 of salt and key first: the same rows on every run."""
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", salt, F.col(key).cast("string"))), key)

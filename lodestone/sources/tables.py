@@ -32,12 +32,32 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.octet_length("value").alias("size"), F.col("value").alias("content"))
 
 
-def read_database(spark: SparkSession, url: str, table: str, schema: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16) -> DataFrame:
-    """A database table, read in ``parts`` ranges of a numeric key where bounds are given; optional columns become null."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if key and bounds:
-        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return with_columns(reader.load(), schema)
+def key_bounds(spark: SparkSession, url: str, table: str, key: str, options: dict[str, str] | None = None) -> tuple[str, str] | None:
+    """The smallest and largest ``key`` of a database table, asked of the database; none where no row has one."""
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    asked = f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table} keyed"
+    found = spark.read.format("jdbc").options(**(options or {})).option("url", url).option("query", asked).load().first()
+    return None if found is None or found[0] is None else (str(found[0]), str(found[1]))
+
+
+def read_database(spark: SparkSession, url: str, table: str, schema: str, key: str | None = None, parts: int = 16, options: dict[str, str] | None = None) -> DataFrame:
+    """A database table as the columns of ``schema``; those that it lacks are null.
+
+    Which columns there are is probed from the table.  With a ``key`` (numeric, date or timestamp; compared without case) the
+    table is read in ``parts`` ranges between its bounds, which the database is asked for; rows without a key come with the
+    first range.  Only the columns of ``schema``, and filters on them, are asked of the database.
+    """
+    reader = spark.read.format("jdbc").options(**(options or {})).option("url", url).option("dbtable", table)
+    held = reader.load()
+    if key:
+        name = next((c for c in held.columns if c.lower() == key.lower()), None)
+        if name is None:
+            raise ValueError(f"{table} has no column {key}")
+        bounds = key_bounds(spark, url, table, name, options)
+        if bounds:
+            ranged = reader.option("partitionColumn", name).option("lowerBound", bounds[0]).option("upperBound", bounds[1])
+            held = ranged.option("numPartitions", parts).load()
+    return with_columns(held, schema)
 
 
 def export_snapshot(table: DataFrame, path: str, renames: dict[str, str] | None = None) -> None:
