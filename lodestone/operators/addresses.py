@@ -8,6 +8,7 @@ literal array: each address finds its interval by halving, inside the row, so ne
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,28 +74,36 @@ def _four(text: Column) -> Column:
     return F.when(fits, F.concat(_hex4(part(1) * 256 + part(2)), F.lit(":"), _hex4(part(3) * 256 + part(4))))
 
 
-def with_address(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with the IPv4 or IPv6 literal ``text`` (its zone left out) as 32 hex digits in ``name``; null where it is none.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which stands in the plan once however often it is used: copies of copies would grow without bound."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    Each step is a column of its own, since it is used more than once by the next one.
-    """
-    low, tail, four, sides, left, right, held = (F.col(f"{name}{x}") for x in ("_low", "_tail", "_four", "_sides", "_left", "_right", "_held"))
+
+def address(text: Column) -> Column:
+    """An IPv4 or IPv6 literal (its zone left out) as 32 hex digits; null where the text is none."""
     groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    rows = rows.withColumn(f"{name}_low", F.lower(F.regexp_replace(text, "%.+$", "")))
-    rows = rows.withColumn(f"{name}_tail", F.regexp_extract(low, r"([^:]*\.[^:]*)$", 1))
-    # A zone goes with IPv6 only.
-    rows = rows.withColumn(f"{name}_four", F.when(low.contains(":"), _four(tail)).otherwise(_four(F.col(text))))
-    whole = F.when(tail == "", low).when(low.contains(":"), F.concat(F.substr(low, F.lit(1), F.length(low) - F.length(tail)), four))
-    rows = rows.withColumn(f"{name}_sides", F.split(whole, "::", -1))
-    rows = rows.withColumns({f"{name}_left": groups(F.get(sides, 0)), f"{name}_right": groups(F.get(sides, 1))})
-    n = F.size(left) + F.size(right)
-    padded = F.when((F.size(sides) == 2) & (n <= 7), F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - n), right))
-    rows = rows.withColumn(f"{name}_held", F.when(F.size(sides) == 1, left).otherwise(padded))
-    fits = (F.size(held) == 8) & F.forall(held, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    six = F.when(fits, F.array_join(F.transform(held, lambda g: F.lpad(g, 4, "0")), ""))
-    mapped = F.when(~low.contains(":"), F.concat(F.lit("0" * 20 + "ffff"), F.replace(four, F.lit(":"), F.lit(""))))
-    rows = rows.withColumn(name, F.coalesce(mapped, six))
-    return rows.drop(*[f"{name}_{x}" for x in ("low", "tail", "four", "sides", "left", "right", "held")])
+
+    def joined(held: Column) -> Column:
+        fits = (F.size(held) == 8) & F.forall(held, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(fits, F.array_join(F.transform(held, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def padded(s: Column) -> Column:
+        n = F.size(s["l"]) + F.size(s["r"])
+        return F.when(s["n"] == 1, s["l"]).when((s["n"] == 2) & (n <= 7), F.concat(s["l"], F.array_repeat(F.lit("0"), F.lit(8) - n), s["r"]))
+
+    def six(low: Column) -> Column:
+        # Four parts at the end stand for two groups.
+        last = F.substring_index(low, ":", -1)
+        whole = _let(last, lambda t: F.when(t.contains("."), F.concat(F.substr(low, F.lit(1), F.length(low) - F.length(t)), _four(t))).otherwise(low))
+        sides = lambda x: F.struct(F.size(x).alias("n"), groups(F.get(x, 0)).alias("l"), groups(F.get(x, 1)).alias("r"))
+        return _let(_let(_let(F.split(whole, "::", -1), sides), padded), joined)
+
+    def either(t: Column) -> Column:
+        four = F.concat(F.lit("0" * 20 + "ffff"), F.replace(_four(t), F.lit(":"), F.lit("")))
+        bare = F.lower(F.when(F.endswith(t, F.lit("%")), t).otherwise(F.substring_index(t, "%", 1)))
+        return F.when(t.contains(":"), _let(bare, six)).otherwise(four)
+
+    return _let(text, either)
 
 
 def use_of(number: Column, ranges: dict[str, list[str]] | None = None) -> Column:
@@ -104,15 +113,17 @@ def use_of(number: Column, ranges: dict[str, list[str]] | None = None) -> Column
     uses = F.array(*[F.lit(use) for _, use in found])
     # The interval is the last one that starts at or before the address: halve between 1, which starts at 0, and the end.
     span = F.struct(F.lit(1).alias("lo"), F.lit(len(found)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(found).bit_length())))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        under = F.element_at(starts, mid) <= number
-        return F.struct(F.when(under, mid).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(mid - 1).alias("hi"))
+    def search(n: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+            under = F.element_at(starts, mid) <= n
+            return F.struct(F.when(under, mid).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(mid - 1).alias("hi"))
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, len(found).bit_length())))
-    at = F.aggregate(steps, span, halve, lambda s: s["lo"])
-    return F.when(number.isNotNull(), F.element_at(uses, at))
+        return F.when(n.isNotNull(), F.element_at(uses, F.aggregate(steps, span, halve, lambda s: s["lo"])))
+
+    return _let(number, search)
 
 
 def url_safety(rows: DataFrame, resolved: DataFrame | None = None, ranges: dict[str, list[str]] | None = None) -> DataFrame:
@@ -123,31 +134,42 @@ def url_safety(rows: DataFrame, resolved: DataFrame | None = None, ranges: dict[
     answer), ``unresolved`` for a name without answers and the use of any answer's range, the smallest address first.
     Answers that are no address are left out.  Names of hosts are compared without case.
     """
-    url, site = F.col("url_"), F.col("site_")
-    held = rows.withColumn("url_", F.regexp_replace(F.ltrim(F.coalesce("url", F.lit(""))), r"[\t\r\n]", ""))
-    held = held.withColumn("place_", F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    held = held.withColumns({"site_": F.regexp_replace("place_", r"^.*@", ""), "login_": F.regexp_extract("place_", r"^(.*)@", 1)})
-    held = held.withColumn("scheme_", F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
-    held = held.withColumn("bracket_", site.contains("[") | site.contains("]"))
-    name = F.when(F.col("bracket_"), F.regexp_extract(site, r"^\[([^\[\]]*)\](:[0-9]*)?$", 1)).otherwise(F.regexp_extract(site, r"^([^:]*)", 1))
-    held = with_address(held.withColumn("url_host", F.lower(F.trim(name))), "url_host", "number_")
-    held = held.withColumn("use_", use_of(F.col("number_"), ranges))
-    odd = F.col("bracket_") & (F.col("number_").isNull() | ~F.col("url_host").contains(":"))
-    held = held.withColumn("odd_", odd).drop("place_", "site_", "bracket_", "number_")
+    def cut(u: Column) -> Column:
+        return F.struct(
+            u.alias("url"), F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"),
+            F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("place"),
+        )
+
+    def sited(c: Column) -> Column:
+        site = F.substring_index(c["place"], "@", -1)
+        inside = F.regexp_extract(site, r"^\[([^\[\]]*)\](:[0-9]*)?$", 1)
+        bracket = site.contains("[") | site.contains("]")
+        name = F.when(bracket, inside).otherwise(F.substring_index(site, ":", 1))
+        login = F.substr(c["place"], F.lit(1), F.length(c["place"]) - F.length(site))
+        return F.struct(c["url"].alias("url"), c["scheme"].alias("scheme"), login.alias("login"), bracket.alias("bracket"), F.lower(F.trim(name)).alias("host"))
+
+    def judged(c: Column) -> Column:
+        def by_number(n: Column) -> Column:
+            odd = c["bracket"] & (n.isNull() | ~c["host"].contains(":"))
+            reason = (
+                F.when(c["url"] == "", "empty").when(~c["scheme"].isin("http", "https"), "scheme").when(odd | (c["host"] == ""), "host")
+                .when(~c["login"].isin("", "@", ":@"), "credentials").when(c["host"].isin(BLOCKED_HOSTS), "blocked")
+                .when(n.isNotNull(), use_of(n, ranges))
+            )
+            return F.struct(c["host"].alias("host"), reason.alias("reason"))
+
+        return _let(address(c["host"]), by_number)
+
+    # A use of "" is that of a literal which may be fetched: nothing is asked about it.
+    found = _let(_let(_let(F.regexp_replace(F.ltrim(F.coalesce("url", F.lit(""))), r"[\t\r\n]", ""), cut), sited), judged)
+    held = rows.withColumn("found_", found).withColumns({"url_host": F.col("found_.host"), "first_": F.col("found_.reason")}).drop("found_")
+    reason = F.nullif("first_", F.lit(""))
     if resolved is not None:
-        answers = resolved.select(F.lower(F.trim("host")).alias("url_host"), F.trim("address").alias("text_")).filter("url_host IS NOT NULL")
-        answers = with_address(answers, "text_", "number_").filter("number_ IS NOT NULL").withColumn("bad_", use_of(F.col("number_"), ranges))
+        answers = resolved.select(F.lower(F.trim("host")).alias("url_host"), address(F.trim("address")).alias("number_")).filter("url_host IS NOT NULL")
+        answers = answers.withColumn("bad_", use_of(F.col("number_"), ranges))
         worst = F.min(F.when(F.col("bad_") != "", F.struct("number_", "bad_")))["bad_"]
-        held = lookup(held, answers.groupBy("url_host").agg(worst.alias("bad_"), F.lit(True).alias("known_")), "url_host")
-    reason = (
-        F.when(F.col("url_") == "", "empty")
-        .when(~F.col("scheme_").isin("http", "https"), "scheme")
-        .when(F.col("odd_") | (F.col("url_host") == ""), "host")
-        .when(~F.col("login_").isin("", ":"), "credentials")
-        .when(F.col("url_host").isin(BLOCKED_HOSTS), "blocked")
-        .when(F.col("use_").isNotNull(), F.nullif("use_", F.lit("")))
-    )
-    if resolved is not None:
-        reason = reason.when(F.col("known_").isNull(), "unresolved").otherwise(F.col("bad_"))
+        held = lookup(held, answers.groupBy("url_host").agg(worst.alias("bad_"), (F.count("number_") > 0).alias("known_")), "url_host")
+        by_answer = F.when(F.coalesce("known_", F.lit(False)), F.col("bad_")).otherwise("unresolved")
+        reason = F.when(F.col("first_").isNotNull(), reason).otherwise(by_answer)
     kept = [c for c in rows.columns if c.lower() not in ("url_host", "allowed", "reason")]
     return held.withColumn("reason", reason).select(*[F.col(f"`{c}`") for c in kept], "url_host", F.col("reason").isNull().alias("allowed"), "reason")

@@ -46,7 +46,7 @@ def literals():
 
 def test_literals_and_their_ranges_are_those_of_the_standard_library(spark):
     texts = list(literals())
-    rows = addresses.with_address(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"), "text", "number")
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").withColumn("number", addresses.address(F.col("text")))
     got = {r["text"]: r["use"] for r in rows.withColumn("use", addresses.use_of(F.col("number"))).collect()}
     assert got.pop(None) is None
     assert {t: None if u is None else u != "" for t, u in got.items()} == {t: refused(t) for t in texts}
