@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._scratch import Scratch, broadcast_if_small
+from lodestone.llm._scratch import Scratch, broadcast_if_small, spread_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are broadcast up to so many; a longer list is joined by shuffle.
@@ -45,7 +45,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     the rule's path; the longest host + path wins, ties to the smaller text, and of contradicting copies of one
     rule the one whose verdict comes last by text (block before allow).  Rows without a rule get ``default``
     and a null rule.  Null URLs and URLs without ``://`` have an empty host and path.  Repeated rows stay;
-    columns of ``pages`` that share a name with a result are replaced.  Null parts of a rule count as empty; a
+    columns of ``pages`` that share a name with a result, in any case of letters, are replaced.  A host and path that
+    hold a large share of the rows are joined in parts.  Null parts of a rule count as empty; a
     rule with an empty host fits nothing but an empty host.  An empty table gives an empty result.
     """
     scratch = Scratch(spark)
@@ -62,8 +63,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     bound = rules.agg(F.max(F.length("r_host")), F.max(F.length("r_dir"))).first()
     max_host, max_dir = (bound[0] or 0), (bound[1] or 0)
 
-    # Copies of a host and path are judged once.
-    sites = pages.select(host.alias("host"), path.alias("path")).distinct()
+    # Copies of a host and path are judged once; how many there are tells which are dealt out below.
+    sites = scratch.save(pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n_")))
     tail = F.substring(F.concat(F.lit("."), "host"), -(max_host + 1), max_host + 1)
     head = F.substring("path", 1, max_dir)
     labels = F.split(tail, r"\.", -1)
@@ -88,11 +89,11 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     best = hits.groupBy("host", "path").agg(
         F.min(F.struct((-F.length(rule)).alias("rank"), rule.alias("rule"), "verdict")).alias("best")
     )
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    named = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
-    return named.join(best, ["host", "path"], "left").select(
-        "row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    site = F.struct("host", "path").alias("site")
+    named = pages.select(F.struct(*kept).alias("row"), F.struct(host.alias("host"), path.alias("path")).alias("site"))
+    judged = spread_join(named, best.select(site, "best"), "site", "left", sites.select(site, "n_"))
+    return judged.select("row.*", "site.host", "site.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

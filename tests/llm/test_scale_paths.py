@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import _scratch, bpe, embedding_dedup, jaccard_join, mixing, quality, secrets, suffix_dedup, toxicity
+from lodestone.llm import _scratch, bpe, embedding_dedup, jaccard_join, mixing, quality, secrets, suffix_dedup, toxicity, url_filter
 from lodestone.llm._graph import connected_components
 from lodestone.llm._scratch import Scratch, spread_join
 from test_texts import ODD, brute_components, counted
@@ -158,3 +158,17 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
                 assert done.columns == docs.columns
                 now = done
         assert bpe.encode(spark, now).count() == now.count()
+
+
+def test_one_site_holds_most_pages(spark, monkeypatch):
+    monkeypatch.setattr(_scratch, "LIGHT_ROWS", 4)
+    rules = [("hot.example", "/a/", "block"), ("other.example", "/", "block"), ("", "", "block")]
+    urls = ["https://hot.example/a/b"] * 300 + [None] * 200 + ["no scheme"] * 50 + ["http://other.example/"] + [f"http://h{k}.example/" for k in range(40)]
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, Host string, VERDICT string")
+    got = url_filter.filter_urls(spark, pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
+    assert len(rows) == len(urls) == got.count()
+    assert {rows[k] for k in range(300)} == {("hot.example", "/a/b", "hot.example/a/", "block")}
+    assert {rows[k] for k in range(300, 550)} == {("", "", "", "block")}
+    assert rows[550] == ("other.example", "/", "other.example/", "block") and {rows[k][2:] for k in range(551, len(urls))} == {(None, "allow")}
