@@ -174,3 +174,13 @@ def test_database_read(spark):
         tables.read_database(spark, url, "rules", "id long", "missing")
     spark.createDataFrame([], "id long").write.format("jdbc").option("url", url).option("dbtable", "bare").mode("overwrite").save()
     assert tables.read_database(spark, url, "bare", "id long", "id").count() == 0
+
+
+def test_full_text_is_the_same_with_words_joined_by_shuffle(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"word{(k * j) % 13}" for j in range(30))) for k in range(40)] + [(99, None), (98, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "word1 word5 word5"), (2, "nothing"), (3, None), (4, "word12")], "query_id long, text string")
+    rows = lambda n: sorted(tuple(r) for r in grounding.full_text(docs, queries, 5, broadcast_terms=n).collect())
+    assert rows(0) == rows(1000)
+    counts = {k: [f"word{(k * j) % 13}" for j in range(30)].count("word12") for k in range(40)}
+    best = sorted((-n, k) for k, n in counts.items() if n)[:5]
+    assert [r[2:] for r in rows(0) if r[0] == 4] == [(k, -n) for n, k in best]
