@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,77 +285,10 @@ def mobile_parity(desktop: DataFrame, mobile: DataFrame) -> DataFrame:
     return rows.select("page_id", py_round(ratio, 2).alias("ratio"), lost.alias("lost_headings"), status.alias("status"))
 
 
-_ENTITY = "page_id long, block int, path string, depth int, type string, entity_id string, body string, types array<string>"
-
-
-def _walk(node, path: str, depth: int) -> Iterator[tuple[str, int, dict]]:
-    if isinstance(node, list):
-        for k, item in enumerate(node):
-            yield from _walk(item, f"{path}[{k}]", depth)
-    elif isinstance(node, dict):
-        if "@type" in node:
-            yield path, depth, node
-        for key, value in node.items():
-            if isinstance(value, dict | list) and depth < 5:
-                yield from _walk(value, f"{path}.{key}", depth + (key != "@graph"))
-
-
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "block", "path", "depth", "type", "entity_id", "body", "types"]
-    for batch in batches:
-        rows = []
-        for page, block, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            try:
-                parsed = json.loads(raw)
-            except ValueError:
-                rows.append((page, block, "$", 0, None, None, None, None))
-                continue
-            for path, depth, node in _walk(parsed, "$", 0):
-                kinds = node["@type"] if isinstance(node["@type"], list) else [node["@type"]]
-                kinds = [str(k) for k in kinds]
-                rows.append((page, block, path, depth, next(iter(kinds), None), node.get("@id"), json.dumps(node), kinds))
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
-
-def jsonld_entities(pages: DataFrame) -> DataFrame:
-    """``page_id, block, path, depth, type, entity_id, body, types``: typed nodes of each page's JSON-LD, five levels deep.
-
-    ``@graph`` costs no level.  ``type`` is the first of the types.  A block that is no JSON gives one row with null types.
-    Only blocks go to Python, not pages.
-    """
-    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("block", "raw"))
-    return rows.mapInArrow(_entities, _ENTITY)
-
-
-def entity_status(entities: DataFrame, specs: DataFrame) -> DataFrame:
-    """Each entity against its type's fields (type, tier, field): invalid, incomplete, valid or no_spec.
-
-    Tiers are required, google_required and recommended.  Of several types the first that has fields counts, else the first.
-    """
-    sets = {t: F.collect_set(F.when(F.col("tier") == t, F.col("field"))) for t in ("required", "google_required", "recommended")}
-    need = specs.groupBy("type").agg(*[v.alias(k) for k, v in sets.items()])
-    key = ["page_id", "block", "path"]
-    rows = entities.filter("types IS NOT NULL")
-    kinds = rows.select(*key, F.posexplode("types").alias("at", "kind")).join(need.select(F.col("type").alias("kind")), "kind")
-    chosen = kinds.groupBy(*key).agg(F.min_by("kind", "at").alias("known"))
-    rows = rows.join(chosen, key, "left").withColumn("type", F.coalesce("known", "type")).join(need, "type", "left")
-    held = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
-    missing = lambda t: F.size(F.array_except(F.coalesce(t, F.array().cast("array<string>")), held))
-    status = (
-        F.when(F.col("required").isNull(), "no_spec")
-        .when((missing(F.col("required")) > 0) | (missing(F.col("google_required")) > 0), "invalid")
-        .when(missing(F.col("recommended")) > 0, "incomplete")
-        .otherwise("valid")
-    )
-    return rows.select("page_id", "block", "path", "type", status.alias("status"))
-
-
 def schema_checks(entities: DataFrame, states: DataFrame) -> DataFrame:
     """``page_id, parse, present, no_invalid, ids, recommended, known_types`` of each page that has structured data.
 
-    ``states`` are those of ``entity_status``.
+    Both come from ``structured``: ``entities`` and, from ``entity_status``, ``states``.
     """
     judged = states.groupBy("page_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("invalid", "incomplete", "valid", "no_spec")])
     sums = entities.groupBy("page_id").agg(

@@ -162,44 +162,6 @@ ORACLE["mobile_parity"] = f"""WITH p AS (SELECT page_id, page_id * 13 % 900 AS w
 SELECT page_id, CASE WHEN words > 0 AND m IS NOT NULL THEN {r('CAST(m AS DOUBLE) / words', 2)} END AS ratio, CASE WHEN m IS NOT NULL THEN gone END AS lost_headings,
   CASE WHEN m IS NULL OR words = 0 THEN 'na' WHEN CAST(m AS DOUBLE) / words < 0.5 OR gone = 3 THEN 'fail' WHEN CAST(m AS DOUBLE) / words < 0.85 OR gone > 0 OR page_id % 5 = 0 THEN 'warn' ELSE 'pass' END AS status FROM p"""
 
-#: Fields that types of structured data need.
-SPECS = [("Article", "required", "headline"), ("NewsArticle", "required", "headline"), ("NewsArticle", "recommended", "author"), ("NewsArticle", "recommended", "image"), ("BlogPosting", "google_required", "headline"),
-         ("Person", "required", "name"), ("FAQPage", "required", "mainEntity"), ("Dentist", "required", "address"), ("Dentist", "recommended", "telephone"), ("Organization", "required", "name"), ("ImageObject", "required", "url")]
-
-
-def _entities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    found = crawl.jsonld_entities(pages(spark, folder))
-    return found, crawl.entity_status(found, spark.createDataFrame(SPECS, "type string, tier string, field string"))
-
-
-@query
-def entity_states(spark, folder):
-    return _entities(spark, folder)[1].groupBy("type", "status").agg(F.count("*").alias("n"))
-
-
-_on = lambda *tests: f"page_id % 11 <> 10 AND page_id % 31 <> 30 AND ({' OR '.join(tests)})"
-ORACLE["entity_states"] = "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS type, '{s}' AS status, count(*) AS n FROM pages WHERE {_on(c)}"
-    for t, s, c in [
-        ("NewsArticle", "incomplete", "page_id % 4 = 0"), ("BlogPosting", "no_spec", "false"), ("Article", "invalid", "page_id % 4 = 2"), ("FAQPage", "valid", "page_id % 5 < 2"), ("Dentist", "incomplete", "page_id % 7 = 1"),
-        ("PostalAddress", "no_spec", "page_id % 7 = 1"), ("GeoCoordinates", "no_spec", "page_id % 7 = 1"), ("Restaurant", "no_spec", "page_id % 7 = 2"), ("Organization", "valid", "page_id % 6 < 2"), ("ImageObject", "valid", "page_id % 6 < 2"),
-        ("BreadcrumbList", "no_spec", "page_id % 9 = 1"),
-    ]
-) + f" UNION ALL SELECT 'BlogPosting', 'no_spec', 0 FROM pages WHERE false UNION ALL SELECT 'BlogPosting', 'invalid', count(*) FROM pages WHERE {_on('page_id % 4 = 1')} UNION ALL SELECT 'Question', 'no_spec', 3 * count(*) FROM pages WHERE {_on('page_id % 5 < 2')} UNION ALL SELECT 'Person', 'valid', sum(n) FROM (SELECT count(*) AS n FROM pages WHERE {_on('page_id % 8 < 5')} UNION ALL SELECT count(*) FROM pages WHERE {_on('page_id % 4 = 1')})) WHERE n > 0"
-
-
-@query
-def schema_checks(spark, folder):
-    found, states = _entities(spark, folder)
-    rows = crawl.schema_checks(found, states)
-    return rows.groupBy("parse", "present", "no_invalid").agg(F.count("*").alias("n"))
-
-
-_any = "page_id % 4 < 3 OR page_id % 8 < 5 OR page_id % 5 < 2 OR page_id % 7 IN (1, 2) OR page_id % 6 < 2 OR page_id % 9 = 1"
-ORACLE["schema_checks"] = f"""WITH b AS (SELECT page_id, page_id % 31 = 30 AS bad, ({_any}) AS parts, page_id % 4 IN (1, 2) AS wrong FROM pages WHERE page_id % 31 = 30 OR page_id % 11 <> 10)
-SELECT CASE WHEN bad THEN 'fail' ELSE 'pass' END AS parse, CASE WHEN bad THEN 'fail' ELSE 'pass' END AS present, CASE WHEN bad THEN 'na' WHEN wrong THEN 'fail' ELSE 'pass' END AS no_invalid, count(*) AS n FROM b WHERE bad OR parts GROUP BY ALL"""
-
-
 @query
 def store_writes(spark, folder):
     """Audits inserted where absent, children replaced and domains deleted, one after another."""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import crawl
+from lodestone.operators import crawl, structured
 from lodestone.plans import queries
 from lodestone.sources import tables
 from lodestone.streaming import jobs
@@ -73,13 +73,13 @@ def test_parity(spark):
 
 def test_jsonld(spark):
     html = '<script type="application/ld+json">{"@graph": [{"@type": ["X", "LocalBusiness"], "@id": "#a", "address": {"@type": "PostalAddress"}}]}</script><script type="application/ld+json">{oops</script>'
-    got = crawl.jsonld_entities(spark.createDataFrame([(1, html)], "page_id long, html string"))
-    assert {(r.block, r.depth, r.type) for r in got.collect()} == {(0, 0, "X"), (0, 1, "PostalAddress"), (1, 0, None)}
+    got = structured.entities(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert {(r.block, r.depth, r.type) for r in got.collect()} == {(0, 1, "X"), (0, 2, "PostalAddress"), (1, 0, None)}
     specs = spark.createDataFrame([("X", "required", "name"), ("PostalAddress", "recommended", "streetAddress")], "type string, tier string, field string")
-    assert {(r.type, r.status) for r in crawl.entity_status(got, specs).collect()} == {("X", "invalid"), ("PostalAddress", "incomplete")}
+    assert {(r.type, r.status) for r in structured.entity_status(got, specs).collect()} == {("X", "invalid"), ("PostalAddress", "incomplete")}
     local = spark.createDataFrame([("LocalBusiness", "google_required", "address"), ("LocalBusiness", "required", "address")], "type string, tier string, field string")
-    assert {(r.type, r.status) for r in crawl.entity_status(got, local).collect()} == {("LocalBusiness", "valid"), ("PostalAddress", "no_spec")}
-    row = crawl.schema_checks(got, crawl.entity_status(got, specs)).first()
+    assert {(r.type, r.status) for r in structured.entity_status(got, local).collect()} == {("LocalBusiness", "valid"), ("PostalAddress", "no_spec")}
+    row = crawl.schema_checks(got, structured.entity_status(got, specs)).first()
     assert (row.parse, row.present, row.no_invalid, row.ids, row.recommended, row.known_types) == ("fail", "pass", "fail", "fail", "warn", "pass")
 
 
