@@ -85,8 +85,10 @@ def query_text(check_id: Column, evidence: Column) -> Column:
     return F.when(said == "", base).when(F.size(fresh) > 0, F.concat(query, F.lit(" "), F.array_join(fresh, " "))).otherwise(query)
 
 
-def full_text(docs: DataFrame, queries: DataFrame, k: int, broadcast_terms: int = 200_000) -> DataFrame:
-    """``query_id, rank, doc_id, score``: documents with any of a query's words, by how often they hold them, ties to the smaller id.
+def full_text(docs: DataFrame, queries: DataFrame, k: int, broadcast_terms: int = 200_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, [by,] rank, doc_id, score``: documents with any of a query's words, by how often they hold them, ties to the smaller id.
+
+    ``k`` documents a query, or a query and values of the columns ``by``.
 
     Only postings of asked words are shuffled: the words are broadcast after they were counted, and joined by shuffle beyond
     ``broadcast_terms``.  Postings are summed for each document and query before they are ranked.
@@ -94,11 +96,11 @@ def full_text(docs: DataFrame, queries: DataFrame, k: int, broadcast_terms: int
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    postings = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    scores = postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("tf").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    words = docs.select("doc_id", *by, F.explode(tokens(F.col("text"))).alias("term"))
+    postings = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("doc_id", *by, "term").agg(F.count("*").alias("tf"))
+    scores = postings.join(asked, "term").groupBy("query_id", "doc_id", *by).agg(F.sum("tf").alias("score"))
+    w = Window.partitionBy("query_id", *by).orderBy(F.col("score").desc(), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", *by, "rank", "doc_id", "score")
 
 
 def layered(vector_hits: DataFrame, text_hits: DataFrame, same_space: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.html import url_specificity
 from lodestone.functions.rounding import py_round
+from lodestone.operators.nearest import nearest
 
 # Words that queries and documents leave out; BM25's parameters; floors and the band of relevance.
 STOP = (
@@ -65,21 +66,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, floor: float = VECTOR_FLOOR, block_rows: int = 2_000) -> DataFrame:
-    """``query_id, rank, vec_id, relevance``: each query's nearest vectors by cosine from the floor on, exactly.
-
-    Queries are a stated set against all rows.  They are dealt into blocks, each gathered into one array of bounded
-    size, and every vector meets every block once; a query's best are cut per task before they are shuffled.
-    """
-    n = max(1, -(-queries.count() // block_rows))
-    block = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    block = block.groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("asked"))
-    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(block, "block")
-    pairs = rows.select("vec_id", "embedding", F.explode("asked").alias("a")).filter(F.col("a.query_id") != F.col("vec_id"))
-    pairs = pairs.select(F.col("a.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("a.q"), F.col("embedding")), 6).alias("relevance"))
-    pairs = pairs.filter(F.col("relevance") >= floor)
-    w = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "relevance")
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, floor: float = VECTOR_FLOOR) -> DataFrame:
+    """``query_id, rank, vec_id, relevance``: each query's nearest other vectors by cosine from the floor on, exactly (``nearest``)."""
+    return nearest(vectors, queries, k, floor)
 
 
 def canonical_org(org: Column, names: dict[str, str] | None = None) -> Column:
@@ -109,12 +98,12 @@ def trusted(corpus: DataFrame) -> DataFrame:
     return corpus.filter(alive & (F.coalesce(F.trim("superseded_by"), F.lit("")) == ""))
 
 
-def band_rank(cites: DataFrame, k: int, floor: float = VECTOR_FLOOR) -> DataFrame:
+def band_rank(cites: DataFrame, k: int, floor: float | Column = VECTOR_FLOOR) -> DataFrame:
     """Each query's citations: relevance band first, then tier, confidence, relevance, URL, provenance, kind, id.
 
     ``cites``: query_id, kind, id, relevance, tier, confidence, source_url, provenance.
     """
-    proven = F.when(F.lower("provenance") == "extracted", 0).otherwise(1)
+    proven = F.when(F.lower("provenance") == "extracted", 0).when(F.lower("provenance") == "neighbor-inferred", 2).otherwise(1)
     w = Window.partitionBy("query_id").orderBy(
         (-F.floor(F.col("relevance") / BAND)), "tier", -py_round(F.col("confidence"), 1), -py_round(F.col("relevance"), 4),
         url_specificity(F.col("source_url")), proven, "kind", F.col("id").cast("string"),
