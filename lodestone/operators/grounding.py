@@ -90,15 +90,17 @@ def full_text(docs: DataFrame, queries: DataFrame, k: int, broadcast_terms: int
 
     ``k`` documents a query, or a query and values of the columns ``by``.
 
-    Only postings of asked words are shuffled: the words are broadcast after they were counted, and joined by shuffle beyond
-    ``broadcast_terms``.  Postings are summed for each document and query before they are ranked.
+    Asked words are broadcast after they were counted, and meet each document's words where it is read, so that only sums of
+    (query, document) are shuffled.  Beyond ``broadcast_terms`` rows of asked words, documents' words among them are counted
+    and joined by shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
     words = docs.select("doc_id", *by, F.explode(tokens(F.col("text"))).alias("term"))
-    postings = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("doc_id", *by, "term").agg(F.count("*").alias("tf"))
-    scores = postings.join(asked, "term").groupBy("query_id", "doc_id", *by).agg(F.sum("tf").alias("score"))
+    if asked.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        scores = words.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", *by).agg(F.count("*").alias("score"))
+    else:
+        postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", *by, "term").agg(F.count("*").alias("tf"))
+        scores = postings.join(asked, "term").groupBy("query_id", "doc_id", *by).agg(F.sum("tf").alias("score"))
     w = Window.partitionBy("query_id", *by).orderBy(F.col("score").desc(), "doc_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", *by, "rank", "doc_id", "score")
 

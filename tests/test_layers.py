@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import layers, nearest
+from lodestone.operators import grounding, layers, nearest
 
 VECTOR = "vec_id long, kind string, embedding array<float>"
 
@@ -95,3 +95,13 @@ def test_ranking_over_layers(spark):
     asks = spark.createDataFrame([(1, "title", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
     got = layers.layered_citations(spark.createDataFrame(rows, CORPUS), asks, spark.createDataFrame([], META), "m", 5)
     assert [(r.kind, r.id) for r in got.orderBy("rank").collect()] == [("playbook", 9), ("rule", 3), ("rule", 2), ("rule", 1), ("rule", 0)]
+
+
+def test_words_by_broadcast_and_by_shuffle(spark):
+    docs = spark.createDataFrame([(1, "k", "red red blue"), (2, "k", "blue"), (3, "j", "red"), (4, "j", None)], "doc_id long, kind string, text string")
+    asks = spark.createDataFrame([(1, "red blue blue"), (2, "blue"), (3, ""), (4, None)], "query_id long, text string")
+    for by in ((), ("kind",)):
+        both = [sorted(map(tuple, grounding.full_text(docs, asks, 2, rows, by).collect())) for rows in (100, 1)]
+        assert both[0] == both[1]
+        assert len(both[0]) == (5 if by else 4)
+    assert sorted(map(tuple, grounding.full_text(docs, asks, 2).collect())) == [(1, 1, 1, 3), (1, 2, 2, 1), (2, 1, 1, 1), (2, 2, 2, 1)]
