@@ -144,6 +144,31 @@ def test_pairs_see_whole_texts_and_null_blocks(spark, tmp_path):
     assert any(p is None for p, *_ in want) and not any(a < 6 and b < 6 for _, a, b, _ in want)
 
 
+def test_pairs_across_chunks_and_sizes(spark, tmp_path, monkeypatch):
+    """Sets of 1 to 600 tokens in chunks of a few rows, against brute force; the forest connects what all pairs do."""
+    monkeypatch.setattr(clusters, "CHUNK", 64)
+    monkeypatch.setattr(clusters, "CHUNK_BITS", 64)
+    rng = random.Random(5)
+    bags = []
+    for k in range(260):
+        near = rng.choice(bags) if k % 3 and bags else frozenset(f"t{rng.randrange(900)}" for _ in range(rng.choice([1, 2, 5, 30, 31, 60, 130, 600])))
+        drop = rng.choice([0, 0, 0.1, 0.2, 0.3])
+        bags.append(frozenset(t for t in near if rng.random() >= drop) or near)
+    rows = spark.createDataFrame([(k, "b", " ".join(sorted(x))) for k, x in enumerate(bags)], "id long, block string, name string")
+    least, want = {}, set()
+    for k, bag in enumerate(bags):
+        if least.setdefault(bag, k) < k:
+            want.add((least[bag], k, 1.0))
+    alike = lambda x, y: len(x & y) / len(x | y)
+    want |= {(*sorted((least[x], least[y])), round(alike(x, y), 6)) for x, y in itertools.combinations(least, 2) if alike(x, y) >= clusters.JACCARD}
+    got = [(r.a, r.b, r.jaccard) for r in clusters.candidate_pairs(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = clusters.candidate_pairs(rows, forest=True)
+    assert {(r.a, r.b) for r in few.collect()} <= {(a, b) for a, b, _ in want}
+    roots = lambda pairs: {(r.id, r.root) for r in clusters.components(pairs).collect()}
+    assert roots(few) == roots(clusters.candidate_pairs(rows))
+
+
 def test_plan_faults(spark):
     corpus = spark.createDataFrame([(1, "active", None), (2, "active", ""), (3, "Retired", None), (4, None, "1"), (5, "active", None), (6, "active", None)], "id long, status string, superseded_by string")
     plan = [(1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False), (1, 5, False), (6, 6, True), (6, 5, False), (6, 1, False), (6, 9, False)]
