@@ -194,3 +194,15 @@ def test_visibility(spark):
         visibility.mentions(F.lit("Ask ACME about it"), F.lit("shop.example"), F.lit("Acme Inc")).alias("named"),
     ).first()
     assert (row.cited, row.other, row.named) == (True, False, True)
+
+
+def test_bm25_shuffles_no_postings_by_term(spark):
+    """All postings of a frequent term met in one task."""
+    docs = spark.createDataFrame([(k, f"common word{k}") for k in range(9)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.bm25(docs, docs.limit(2).withColumnRenamed("doc_id", "query_id"), 3, 0.0)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
