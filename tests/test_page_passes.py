@@ -44,3 +44,8 @@ def test_checks_know_their_method_without_patterns(spark):
     for name in ("section_status_counts", "shadow_scores", "audit_history"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "model-judgment" not in re.sub(r"Generate inline\(.*", "", plan)
+
+
+def test_two_runs_share_their_features(spark):
+    plan = QUERIES["run_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" not in plan
