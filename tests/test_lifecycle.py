@@ -184,6 +184,61 @@ def test_a_key_has_one_timer_however_many_rows_wait():
     assert calls == ["append", 20_000, "append", "append", -20_000, 9_000]
 
 
+def test_starts_take_a_slot_at_once_and_moments_whole(monkeypatch):
+    """A task held all rows of a target, a step of Python each, and a failed start of the anchor's moment answered itself."""
+    monkeypatch.setattr(lifecycle.Starts, "step", lambda *a: pytest.fail("a step a row"))
+
+    class State:
+        def __init__(self):
+            self.rows, self.now = [], None
+
+        appendValue = lambda self, v: self.rows.append(v)
+        get = lambda self: iter(self.rows) if self.now is None and self.rows else self.now or (None if self.kind == "value" else iter(()))
+        update = lambda self, v: setattr(self, "now", v)
+
+        def clear(self):
+            self.rows, self.now = [], None
+
+    class Handle:
+        def make(self, kind):
+            state = State()
+            state.kind = kind
+            return state
+
+        getListState = lambda self, *a: self.make("list")
+        getValueState = lambda self, *a: self.make("value")
+        registerTimer = deleteTimer = lambda self, m: None
+
+    class Times:
+        def __init__(self, seconds):
+            self.getCurrentWatermarkInMs = lambda: seconds * 1000
+
+    rng = random.Random(7)
+    day = 86_400
+    rows = [(rng.choice("tuv"), rng.randrange(3 * day) // 7 * 7, f"j{k}", rng.random() < 0.3) for k in range(9_000)] + [("w", 50, "a", True), ("w", 50, "b", False), ("w", day - 1, "c", False), ("w", day + 58, "d", False), ("w", day + 60, "e", True), ("w", 9 * day, None, None)]
+    one, sizes = lifecycle.Starts(), []
+    one.init(Handle())
+    answered = one._answered
+    one._answered = lambda table, held: (sizes.append(len(table)), answered(table, held))[1]
+    rng.shuffle(rows)
+    table = pd.DataFrame(rows, columns=["target", "s", "job_id", "failed"])
+    table["ts"] = pd.to_datetime(table["s"], unit="s")
+    assert not [*one.handleInputRows((1,), iter([table[:4_000], table[4_000:]]), None)]
+    got = pd.concat([*one.handleExpiredTimer((1,), Times(2 * day - 40_000), None), *one.handleExpiredTimer((1,), Times(8 * day), None)])
+    want, last, moments = {}, {}, {}
+    for target, s, j, failed in rows:
+        moments.setdefault((target, s), []).append((j, failed))
+    for target, s in sorted(k for k in moments if k[1] <= 8 * day):
+        now = moments[target, s]
+        if not (target in last and s <= last[target][0] + 60) and not all(failed for _, failed in now):
+            last[target] = (s, min(j for j, failed in now if not failed))
+        open_now = target in last and s <= last[target][0] + 60
+        want |= {j: last[target][1] if open_now else j for j, _ in now}
+    assert dict(zip(got["job_id"], got["answered_by"])) == want and len(got) == len(want)
+    assert {j: want[j] for j in "abcde"} == {"a": "b", "b": "b", "c": "c", "d": "c", "e": "e"}
+    assert len(sizes) == 4 and max(sizes) < 3_500
+
+
 def test_share_of_voice_gives_out_finished_windows_only(spark, tmp_path):
     schema = "run_id long, ts timestamp, domain string"
     day = lambda n: AT + dt.timedelta(days=n)
