@@ -3,7 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import types
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import clusters, retrieval, store, visibility
@@ -169,6 +172,36 @@ def test_pairs_across_chunks_and_sizes(spark, tmp_path, monkeypatch):
     assert roots(few) == roots(clusters.candidate_pairs(rows))
 
 
+def test_sets_meet_by_their_rarest_tokens(spark, monkeypatch):
+    """Every pair of like sizes was compared, and each text cut into tokens twice by patterns."""
+    texts = ["Ab-ab 9z", None, "", "!?", "x" * 255 + " " + "x" * 300 + " " + "x" * 299 + "y " + "X" * 300, "\u212aelvin \u0130zmir \u00c4rger na\u00efve", "the THE of", "a\u0301b c" * 3, "longerthan8 longerthan9 longertha", "12345678 123456789 1234567890123456 12345678901234567"]
+    texts += ["".join(random.Random(k).choices("abAB09 .\u00e9\u65e5\u0130\n", k=400)) for k in range(40)]
+    hashes, places = clusters._token_hashes(pa.array([None, *texts]).slice(1))
+    names, seen = {}, []
+    for text, lo, hi in zip(texts, places[:-1], places[1:], strict=True):
+        tokens = re.findall("[a-z0-9]+", (text or "").lower())
+        assert len(tokens) == hi - lo
+        seen += [(names.setdefault(t, h) == h) for t, h in zip(tokens, hashes[lo:hi].tolist(), strict=True)]
+    assert all(seen) and len(set(names.values())) == len(names)
+    # The rarest tokens of a set of ten: the four that alike sets may lack, and those that they share at least.
+    alike = pa.array([" ".join([f"common{j}" for j in range(9)] + [f"rare{k}"]) for k in range(50)])
+    bags = list(clusters._bags(iter([pa.RecordBatch.from_arrays([pa.array(range(50)), pa.nulls(50, pa.string()), alike], ["id", "block", "name"])])))
+    counts = np.zeros(clusters.COUNTERS, np.int64)
+    for counted in clusters._counted(iter([b.select(["tokens"]) for b in bags])):
+        counts[counted["counter"].to_numpy()] += counted["rows"].to_numpy()
+    [sets] = clusters._prefixed(types.SimpleNamespace(value=counts), 0.6)(iter(bags))
+    first = [int.from_bytes(x[:4], "little") for x in sets["prefix"].to_pylist()]
+    assert len(set(first)) == 50 and {len(x) for x in sets["prefix"].to_pylist()} == {4 * 10}
+    # Sets that share frequent tokens only don't meet: nothing is compared pair by pair.
+    words = [f"w{k}" for k in range(4)]
+    rows = [(k, "b", " ".join(words + [f"u{k}x{j}" for j in range(40)])) for k in range(300)] + [(300, "b", " ".join(words + [f"u7x{j}" for j in range(2, 40)]))]
+    df = spark.createDataFrame(rows, "id long, block string, name string")
+    before, made = clusters.written, []
+    monkeypatch.setattr(clusters, "written", lambda rows: made.append(before(rows)) or made[-1])
+    assert [(r.a, r.b) for r in clusters.candidate_pairs(df).collect()] == [(7, 300)]
+    assert [x.count() for x in made if x.columns == ["cell", "block", "a", "b"]] == [1] and any("prefix" in x.columns for x in made)
+
+
 def test_plan_faults(spark):
     corpus = spark.createDataFrame([(1, "active", None), (2, "active", ""), (3, "Retired", None), (4, None, "1"), (5, "active", None), (6, "active", None)], "id long, status string, superseded_by string")
     plan = [(1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False), (1, 5, False), (6, 6, True), (6, 5, False), (6, 1, False), (6, 9, False)]
