@@ -191,7 +191,7 @@ def test_sets_meet_by_their_rarest_tokens(spark, monkeypatch):
         counts[counted["counter"].to_numpy()] += counted["rows"].to_numpy()
     [sets] = clusters._prefixed(types.SimpleNamespace(value=counts), 0.6)(iter(bags))
     first = [int.from_bytes(x[:4], "little") for x in sets["prefix"].to_pylist()]
-    assert len(set(first)) == 50 and {len(x) for x in sets["prefix"].to_pylist()} == {4 * 10}
+    assert len(set(first)) == 50 and {len(x) for x in sets["prefix"].to_pylist()} == {4 * (4 + clusters.OVERLAP)}
     # Sets that share frequent tokens only don't meet: nothing is compared pair by pair.
     words = [f"w{k}" for k in range(4)]
     rows = [(k, "b", " ".join(words + [f"u{k}x{j}" for j in range(40)])) for k in range(300)] + [(300, "b", " ".join(words + [f"u7x{j}" for j in range(2, 40)]))]
