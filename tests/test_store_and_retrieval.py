@@ -172,6 +172,13 @@ def test_pairs_across_chunks_and_sizes(spark, tmp_path, monkeypatch):
     assert roots(few) == roots(clusters.candidate_pairs(rows))
 
 
+def test_pairs_across_bands_of_sizes(spark, tmp_path, monkeypatch):
+    """Cells of many pairs are cut by size, and a row that meets very many is counted in parts."""
+    monkeypatch.setattr(clusters, "BAND_PAIRS", 1)
+    monkeypatch.setattr(clusters, "PAIRS", 16)
+    test_pairs_across_chunks_and_sizes(spark, tmp_path, monkeypatch)
+
+
 def test_sets_meet_by_their_rarest_tokens(spark, monkeypatch):
     """Every pair of like sizes was compared, and each text cut into tokens twice by patterns."""
     texts = ["Ab-ab 9z", None, "", "!?", "x" * 255 + " " + "x" * 300 + " " + "x" * 299 + "y " + "X" * 300, "\u212aelvin \u0130zmir \u00c4rger na\u00efve", "the THE of", "a\u0301b c" * 3, "longerthan8 longerthan9 longertha", "12345678 123456789 1234567890123456 12345678901234567"]
